@@ -106,7 +106,7 @@ def _taken(rows: DataFrame, weights: tuple[int, ...], share: float, cap: float)
     )
 
 
-def _sized(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def _sized(df: DataFrame, id_col: str, text_col: str, source_col: str, carry: list[str] = ()) -> DataFrame:
     return scratch.table(
         df.select(
             F.col(id_col).alias("doc_id"),
@@ -114,6 +114,7 @@ def _sized(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFr
             n_words(F.col(text_col)).alias("size"),
             _draw(F.col(id_col)).alias("draw"),
             F.monotonically_increasing_id().alias("row"),
+            *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("kept")] if carry else []),
         ),
         "sizes",
     )
@@ -148,23 +149,9 @@ def mixed_rows(
 ) -> DataFrame:
     """The rows of ``df`` as often as the mix takes them, with all their columns.
 
-    Copies are decided on slim rows; the copies of one id are then counted and
-    met with the documents by id, so texts are not put in order anywhere.
+    Plans and border rows are small tables that meet the documents where they
+    lie, so texts are not shuffled unless there are very many sources.
     """
-    decided = _taken(_sized(df, id_col, text_col, source_col), weights, share, cap)
-    name = "n_copies"
-    while name in df.columns:
-        name += "_"
-    # Rows with the same id, source and size draw alike only up to a border row; they share its copies evenly.
-    total = decided.groupBy("doc_id", "source", "size").agg(F.max("n_copies").alias(name))
-    keyed = total.select(
-        F.col("doc_id").alias(f"{name}i"), F.col("source").alias(f"{name}s"), F.col("size").alias(f"{name}w"), name
-    )
-    same = (
-        F.col(id_col).eqNullSafe(F.col(f"{name}i"))
-        & F.col(source_col).eqNullSafe(F.col(f"{name}s"))
-        & (n_words(F.col(text_col)) == F.col(f"{name}w"))
-    )
-    joined = df.join(keyed, same)
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    return joined.select(*columns, F.explode(F.array_repeat(F.lit(0), F.col(name).cast("int"))).alias(f"{name}x")).drop(f"{name}x")
+    decided = _taken(_sized(df, id_col, text_col, source_col, df.columns), weights, share, cap)
+    copies = decided.select("kept", F.explode(F.array_repeat(F.lit(0), F.col("n_copies").cast("int"))).alias("copy"))
+    return copies.select("kept.*")

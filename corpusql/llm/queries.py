@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusql.llm.exact_dedup import exact_duplicates
 from corpusql.llm.mixing import mix
 from corpusql.llm.packing import pack
+from corpusql.llm.simhash import near_duplicates
 from corpusql.llm.tokens import token_counts
 
 
@@ -16,6 +17,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir))
 
@@ -33,7 +38,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mixing, op3_token_counts, op5_packing, op8_exact_dedup)
+    f.__name__: f for f in (op1_simhash, op2_mixing, op3_token_counts, op5_packing, op8_exact_dedup)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
