@@ -11,6 +11,7 @@ from corpusql.llm.mixing import mix
 from corpusql.llm.packing import pack
 from corpusql.llm.simhash import near_duplicates
 from corpusql.llm.tokens import token_counts
+from corpusql.llm.toxicity import toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,12 +34,16 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_mixing, op3_token_counts, op5_packing, op8_exact_dedup)
+    f.__name__: f for f in (op1_simhash, op2_mixing, op3_token_counts, op5_packing, op7_toxicity, op8_exact_dedup)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
