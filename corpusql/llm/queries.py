@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusql.llm.exact_dedup import exact_duplicates
+from corpusql.llm.langid import languages
 from corpusql.llm.mixing import mix
 from corpusql.llm.packing import pack
 from corpusql.llm.simhash import near_duplicates
@@ -34,6 +35,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(_documents(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -43,7 +48,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_mixing, op3_token_counts, op5_packing, op7_toxicity, op8_exact_dedup)
+    f.__name__: f for f in (op1_simhash, op2_mixing, op3_token_counts, op5_packing, op6_language, op7_toxicity, op8_exact_dedup)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
