@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusql.llm.exact_dedup import exact_duplicates
 from corpusql.llm.langid import languages
+from corpusql.llm.lm import score
 from corpusql.llm.mixing import mix
 from corpusql.llm.packing import pack
 from corpusql.llm.simhash import near_duplicates
@@ -47,8 +48,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_documents(spark, sf_dir))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_mixing, op3_token_counts, op5_packing, op6_language, op7_toxicity, op8_exact_dedup)
+    f.__name__: f for f in (op1_simhash, op2_mixing, op3_token_counts, op5_packing, op6_language, op7_toxicity, op8_exact_dedup, op9_lm_scores)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
