@@ -13,6 +13,7 @@ from corpusql.llm.mixing import mix
 from corpusql.llm.packing import pack
 from corpusql.llm.simhash import near_duplicates
 from corpusql.llm.tokens import token_counts
+from corpusql.llm.topk import top_k
 from corpusql.llm.toxicity import toxicity
 
 
@@ -52,8 +53,12 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_documents(spark, sf_dir))
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_mixing, op3_token_counts, op5_packing, op6_language, op7_toxicity, op8_exact_dedup, op9_lm_scores)
+    f.__name__: f for f in (op1_simhash, op2_mixing, op3_token_counts, op5_packing, op6_language, op7_toxicity, op8_exact_dedup, op9_lm_scores, op10_topk)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -93,6 +98,20 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, size, source_size, target, (size * n_copies)::BIGINT AS taken, n_copies::BIGINT AS n_copies FROM n
     """,
+    "op10_topk": """
+        WITH e AS (
+            SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.row, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM e q JOIN e c ON q.vec_id % 100 = 0 AND c.row <> q.row AND len(c.v) = len(q.v)
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INT AS rank FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+    """,
     "op8_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
