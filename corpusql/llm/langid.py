@@ -173,8 +173,9 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int,
         .filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
         .filter(fold(F.col("id"), folds) != held)
     )
-    sample = labelled_sample(rows, "lang", TRAIN_ROWS, TRAIN_BYTES)
-    return train([r["text"] for r in sample], [r["lang"] for r in sample], inverse_frequencies(rows))
+    keys = rows.select("id", "lang", F.octet_length("text").cast("long").alias("size"))
+    sample = labelled_sample(rows.select("id", "text"), keys, "lang", TRAIN_ROWS, TRAIN_BYTES)
+    return train([r["text"] for r, _ in sample], [lang for _, lang in sample], inverse_frequencies(rows))
 
 
 def languages(

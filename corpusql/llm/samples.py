@@ -2,32 +2,35 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import Row
 
 
-def labelled_sample(df: DataFrame, groups: str, rows: int, max_bytes: int) -> list[Row]:
-    """Up to ``rows`` rows of each value of ``groups``, those with the smallest hash, whole texts.
+def labelled_sample(df: DataFrame, keys: DataFrame, groups: str, rows: int, max_bytes: int) -> list[tuple[Row, Any]]:
+    """Up to ``rows`` rows for each value of ``groups``, those with the smallest hash, with whole texts.
 
-    ``df`` has columns id, text and whatever else the rows shall hold. The
-    slim rows come first; texts are fetched for rows whose running size, in
-    order of hash, stays within ``max_bytes``, so the driver never holds more.
-    A value of ``groups`` that many rows share costs one partial limit per
-    task, not a sort of the group.
+    ``df`` has columns id, text and whatever else the rows shall hold; ``keys``
+    has id, size (bytes of text) and ``groups``, so that texts are never
+    shuffled. Texts are then fetched for rows whose running size, in order of
+    hash, stays within ``max_bytes``: the driver never holds more. A value of
+    ``groups`` that many rows share costs one partial limit per task, not a
+    sort of the group. Returns each row with its value of ``groups``.
     """
     order = F.xxhash64(F.col("id").cast("string"))
-    slim = df.select("id", groups, order.alias("h"), F.octet_length("text").cast("long").alias("size"))
-    ranked = slim.withColumn("place", F.row_number().over(Window.partitionBy(groups).orderBy("h", "id")))
-    first = ranked.filter(F.col("place") <= rows).orderBy("place", "h")
-    chosen, held = [], 0
-    for r in first.toLocalIterator():
+    ranked = keys.select("id", groups, order.alias("h"), "size").withColumn(
+        "place", F.row_number().over(Window.partitionBy(groups).orderBy("h", "id"))
+    )
+    chosen, held = {}, 0
+    for r in ranked.filter(F.col("place") <= rows).orderBy("place", "h").toLocalIterator():
         held += r["size"] or 0
         if held > max_bytes:
             break
-        chosen.append((r["id"],))
+        chosen[r["id"]] = r[groups]
     if not chosen:
         return []
-    ids = df.sparkSession.createDataFrame(chosen, df.select("id").schema)
-    found = df.join(F.broadcast(ids.distinct()), "id", "left_semi")  # at most ``rows`` ids for each group
-    return sorted(found.collect(), key=lambda r: (r["id"], r["text"]))
+    ids = df.sparkSession.createDataFrame([(i,) for i in chosen], df.select("id").schema)
+    found = df.join(F.broadcast(ids), "id", "left_semi")  # at most ``rows`` ids for each group
+    return [(r, chosen[r["id"]]) for r in sorted(found.collect(), key=lambda r: (r["id"], r["text"] or ""))]
