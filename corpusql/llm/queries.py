@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusql.llm.exact_dedup import exact_duplicates
 from corpusql.llm.langid import languages
+from corpusql.llm.licenses import license_scan
 from corpusql.llm.lm import score
 from corpusql.llm.mixing import mix
 from corpusql.llm.packing import pack
@@ -33,6 +35,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files /source/lang/doc_id."""
+    path = F.concat_ws("/", F.lit(""), "source", "lang", F.col("doc_id").cast("string"))
+    return license_scan(_documents(spark, sf_dir), "doc_id", "text", path)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir))
 
@@ -58,7 +66,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_mixing, op3_token_counts, op5_packing, op6_language, op7_toxicity, op8_exact_dedup, op9_lm_scores, op10_topk)
+    f.__name__: f for f in (op1_simhash, op2_mixing, op3_token_counts, op4_licenses, op5_packing, op6_language, op7_toxicity, op8_exact_dedup, op9_lm_scores, op10_topk)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
