@@ -159,13 +159,17 @@ def license_scan(docs: DataFrame, id_col: str, text_col: str, path: Column, thre
         rows += [(number, license_, t, w) for t, w in unit.items()]
     weights = spark.createDataFrame(rows, "template int, license string, term string, weight double")
     idf_table = spark.createDataFrame(list(idf.items()), "term string, idf double")
-    anchor = F.array(*map(F.lit, sorted(anchored)))
-    sentences = F.filter(
-        F.transform(F.split(F.col("text"), _SENTENCE_GAPS), terms), lambda t: F.arrays_overlap(t, anchor)
+    # Terms are letters and digits, so a term stands in a text exactly where no such character adjoins it.
+    anchor = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted(anchored))})(?![\p{{L}}\p{{N}}])"
+    sentences = F.filter(F.split(F.lower("text"), _SENTENCE_GAPS), lambda t: t.rlike(anchor))
+    # Words are cut only in the few texts that hold an anchor.
+    files = slim.select(F.monotonically_increasing_id().alias("row"), "doc_id", "path", sentences.alias("sentences"), "text").select(
+        "row",
+        "doc_id",
+        "path",
+        F.transform("sentences", terms).alias("sentences"),
+        F.when(F.size("sentences") > 0, terms(F.col("text"))).alias("whole"),
     )
-    files = slim.select(F.monotonically_increasing_id().alias("row"), "doc_id", "path", sentences.alias("sentences"), F.when(
-        F.arrays_overlap(terms(F.col("text")), anchor), terms(F.col("text"))
-    ).alias("whole"))
     files = scratch.table(files, "files")
     segments = files.filter(F.size("sentences") > 0).select(
         "row", F.posexplode("sentences").alias("part", "terms")
