@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusql.functions.text import words
 from corpusql.functions.vectors import DIGITS
 
 
-def retrieval_measures(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
-    """(query_id, precision_at_k, recall_at_k, reciprocal_rank) of every query in ``relevant``.
+def retrieval_measures(hits: DataFrame, totals: DataFrame, k: int) -> DataFrame:
+    """(query_id, precision_at_k, recall_at_k, reciprocal_rank) of every query in ``totals``.
 
-    ``hits`` has query_id, item_id and rank from 1; ``relevant`` has the pairs
-    (query_id, item_id) that should be found.
+    ``hits`` has query_id, rank from 1 and whether the hit is ``relevant``;
+    ``totals`` has query_id and how many items are relevant in all, so the
+    pairs of queries and relevant items need not be written out.
     """
-    good = hits.filter(F.col("rank") <= k).join(relevant.select("query_id", "item_id").distinct(), ["query_id", "item_id"])
+    good = hits.filter((F.col("rank") <= k) & F.col("relevant"))
     found = good.groupBy("query_id").agg(F.count("*").alias("n"), F.min("rank").alias("first"))
-    wanted = relevant.select("query_id", "item_id").distinct().groupBy("query_id").agg(F.count("*").alias("total"))
     n = F.coalesce("n", F.lit(0))
-    return wanted.join(found, "query_id", "left").select(
+    return totals.join(found, "query_id", "left").select(
         "query_id",
         F.round(n / k, DIGITS).alias("precision_at_k"),
-        F.round(n / F.col("total"), DIGITS).alias("recall_at_k"),
+        F.round(F.coalesce(F.try_divide(n, F.col("total")), F.lit(0.0)), DIGITS).alias("recall_at_k"),
         F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), DIGITS).alias("reciprocal_rank"),
     )
 
@@ -36,34 +39,44 @@ def mean_measures(measures: DataFrame) -> DataFrame:
     )
 
 
-def _grams(tokens: Column, n: int) -> Column:
-    at = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+def _gram_counts(tokens: list[str], n: int) -> Counter[tuple[str, ...]]:
+    return Counter(zip(*(tokens[i:] for i in range(n)), strict=False))
 
 
-def _shared(a: Column, b: Column) -> Column:
-    """Number of shared elements, each as often as in the rarer of both."""
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda total, x: total + F.least(count(a, x), count(b, x)))
+def _words_of(text: str | None) -> list[str]:
+    return (text or "").lower().split()
 
 
 def rouge(candidate: Column, reference: Column, n: int = 1) -> Column:
-    """Struct of precision, recall and f1 of shared n-grams of lower-cased words."""
-    a, b = _grams(words(F.lower(candidate)), n), _grams(words(F.lower(reference)), n)
-    both = _shared(a, b)
-    part = lambda of: F.coalesce(F.try_divide(both, F.size(of)), F.lit(0.0))
-    f1 = F.coalesce(F.try_divide(2 * both, F.size(a) + F.size(b)), F.lit(0.0))
-    return F.struct(F.round(part(a), DIGITS).alias("precision"), F.round(part(b), DIGITS).alias("recall"), F.round(f1, DIGITS).alias("f1"))
+    """Struct of precision, recall and f1 of shared n-grams of lower-cased words, each counted as often as in the rarer text."""
+
+    @F.pandas_udf("precision double, recall double, f1 double")
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(a, b, strict=True):
+            one, two = _gram_counts(_words_of(x), n), _gram_counts(_words_of(y), n)
+            shared, m, k = (one & two).total(), one.total(), two.total()
+            rows.append([round(shared / d, DIGITS) if d else 0.0 for d in (m, k)] + [round(2 * shared / (m + k), DIGITS) if m + k else 0.0])
+        return pd.DataFrame(rows, columns=["precision", "recall", "f1"])
+
+    return run(candidate, reference)
 
 
 def bleu(candidate: Column, reference: Column, n: int = 4) -> Column:
     """BLEU with clipped counts up to n words, one added to matches and totals beyond single words, and brevity penalty."""
-    a, b = words(F.lower(candidate)), words(F.lower(reference))
-    logs = []
-    for size in range(1, n + 1):
-        grams = _grams(a, size)
-        more = 0 if size == 1 else 1
-        logs.append(F.ln(F.try_divide(_shared(grams, _grams(b, size)) + more, F.size(grams) + more)))
-    mean = sum(logs[1:], logs[0]) / n
-    brevity = F.when(F.size(a) >= F.size(b), 1.0).otherwise(F.exp(1 - F.try_divide(F.size(b), F.size(a))))
-    return F.round(F.coalesce(F.exp(mean) * brevity, F.lit(0.0)), DIGITS)
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        scores = []
+        for x, y in zip(a, b, strict=True):
+            one, two = _words_of(x), _words_of(y)
+            logs = []
+            for size in range(1, n + 1):
+                grams, more = _gram_counts(one, size), int(size > 1)
+                matched = (grams & _gram_counts(two, size)).total() + more
+                logs.append(math.log(matched / (grams.total() + more)) if matched else -math.inf)
+            brevity = 1.0 if len(one) >= len(two) else math.exp(1 - len(two) / len(one)) if one else 0.0
+            scores.append(round(math.exp(sum(logs) / n) * brevity, DIGITS))
+        return pd.Series(scores, dtype="float64")
+
+    return run(candidate, reference)

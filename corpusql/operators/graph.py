@@ -220,23 +220,40 @@ def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def _dependencies(source: int, heads: np.ndarray, tails: np.ndarray, n: int) -> np.ndarray:
-    """Each node's share of the shortest paths from one source, by levels of edges."""
-    distance, ways = np.full(n, -1), np.zeros(n)
-    distance[source], ways[source] = 0, 1
-    levels = []
-    while True:
-        out = np.flatnonzero((distance[heads] == len(levels)) & (distance[tails] < 0))
-        if not len(out):
-            break
-        levels.append(out)
-        ways += np.bincount(tails[out], weights=ways[heads[out]], minlength=n)
-        distance[tails[out]] = len(levels)
-    share = np.zeros(n)
-    for out in reversed(levels):
-        share += np.bincount(heads[out], weights=ways[heads[out]] / ways[tails[out]] * (1 + share[tails[out]]), minlength=n)
-    share[source] = 0
-    return share
+class _Shares:
+    """Each node's share of the shortest paths from one source after another; touches only what a source reaches."""
+
+    def __init__(self, heads: np.ndarray, tails: np.ndarray, n: int):
+        order = np.argsort(heads, kind="stable")
+        self.tails = tails[order]
+        self.first = np.searchsorted(heads[order], np.arange(n + 1))
+        self.distance, self.ways, self.share = np.full(n, -1), np.zeros(n), np.zeros(n)
+        self.total = np.zeros(n)
+
+    def add(self, source: int) -> None:
+        distance, ways, share = self.distance, self.ways, self.share
+        front = np.array([source])
+        distance[source], ways[source] = 0, 1
+        reached, levels = [front], []
+        while len(front):
+            counts = self.first[front + 1] - self.first[front]
+            heads = np.repeat(front, counts)
+            # The edges of each node of the front stand together: their places are runs.
+            place = np.arange(len(heads)) + np.repeat(self.first[front] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
+            tails = self.tails[place]
+            new = distance[tails] < 0
+            heads, tails = heads[new], tails[new]
+            np.add.at(ways, tails, ways[heads])
+            levels.append((heads, tails))
+            front = np.unique(tails)
+            distance[front] = len(levels)
+            reached.append(front)
+        for heads, tails in reversed(levels):
+            np.add.at(share, heads, ways[heads] / ways[tails] * (1 + share[tails]))
+        share[source] = 0
+        touched = np.concatenate(reached)
+        self.total[touched] += share[touched]
+        distance[touched], ways[touched], share[touched] = -1, 0, 0
 
 
 def betweenness(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -258,13 +275,12 @@ def betweenness(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast((codes[: held.num_rows].astype(np.int64), codes[held.num_rows :].astype(np.int64), len(known)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, tails, size = shared.value
-        total = np.zeros(size)
+        shares = _Shares(*shared.value)
         for batch in batches:
             for source in batch.column(0).to_numpy():
-                total += _dependencies(int(source), heads, tails, size)
-        where = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(total[where])], ["node", "share"])
+                shares.add(int(source))
+        where = np.flatnonzero(shares.total)
+        yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(shares.total[where])], ["node", "share"])
 
     tasks = max(1, min(math.ceil(len(known) / 64), 4 * spark.sparkContext.defaultParallelism))
     sums = spark.range(0, len(known), 1, tasks).mapInArrow(run, "node long, share double").groupBy("node").agg(F.sum("share").alias("share"))

@@ -40,7 +40,8 @@ def similarities(queries: np.ndarray, items: np.ndarray, metric: str) -> np.ndar
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+    values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(len(flat), len(values) // len(flat) if len(flat) else 0)
 
 
 def _best(queries: np.ndarray, items: np.ndarray, metric: str, k: int | None, threshold: float | None, names: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
