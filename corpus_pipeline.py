@@ -18,6 +18,7 @@ from corpusql.llm.mixing import mixed_rows
 from corpusql.llm.packing import pack
 from corpusql.llm.simhash import drop_near_duplicates
 from corpusql.llm.toxicity import drop_toxic
+from corpusql.packaging import ship
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,6 +60,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the last one's rows."""
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = scratch.table(stage(spark, docs, sf_dir), name)
