@@ -56,10 +56,11 @@ def rouge(candidate: Column, reference: Column, n: int = 1) -> Column:
         for x, y in zip(a, b, strict=True):
             one, two = _gram_counts(_words_of(x), n), _gram_counts(_words_of(y), n)
             shared, m, k = (one & two).total(), one.total(), two.total()
-            rows.append([round(shared / d, DIGITS) if d else 0.0 for d in (m, k)] + [round(2 * shared / (m + k), DIGITS) if m + k else 0.0])
+            rows.append([shared / d if d else 0.0 for d in (m, k)] + [2 * shared / (m + k) if m + k else 0.0])
         return pd.DataFrame(rows, columns=["precision", "recall", "f1"])
 
-    return run(candidate, reference)
+    found = run(candidate, reference)
+    return F.struct(*[F.round(found[c], DIGITS).alias(c) for c in ("precision", "recall", "f1")])
 
 
 def bleu(candidate: Column, reference: Column, n: int = 4) -> Column:
@@ -76,7 +77,7 @@ def bleu(candidate: Column, reference: Column, n: int = 4) -> Column:
                 matched = (grams & _gram_counts(two, size)).total() + more
                 logs.append(math.log(matched / (grams.total() + more)) if matched else -math.inf)
             brevity = 1.0 if len(one) >= len(two) else math.exp(1 - len(two) / len(one)) if one else 0.0
-            scores.append(round(math.exp(sum(logs) / n) * brevity, DIGITS))
+            scores.append(math.exp(sum(logs) / n) * brevity)
         return pd.Series(scores, dtype="float64")
 
-    return run(candidate, reference)
+    return F.round(run(candidate, reference), DIGITS)

@@ -105,7 +105,8 @@ def stage_two(
     scored = leaves.join(wanted, "doc_id").withColumn("similarity", F.round(cosine(F.col("v"), F.col("q")), DIGITS))
     if not dedupe:
         scored = scored.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    combined = F.round(CHUNK_SHARE * F.col("similarity") + PARENT_SHARE * F.col("parent_similarity"), DIGITS)
+    # Both parts have six digits and the shares one, so two more than those leave no half to round.
+    combined = F.round(CHUNK_SHARE * F.col("similarity") + PARENT_SHARE * F.col("parent_similarity"), DIGITS + 2)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "node_id")
     return (
         scored.withColumn("score", combined)
@@ -135,8 +136,8 @@ def coverage(hits: DataFrame) -> DataFrame:
     """Per query and document: chunks and mean scores."""
     return hits.groupBy("query_id", "doc_id").agg(
         F.count("*").alias("chunks"),
-        F.round(F.avg("score"), DIGITS).alias("avg_similarity"),
-        F.round(F.avg("similarity"), DIGITS).alias("avg_hierarchical"),
+        F.round(F.avg("score"), DIGITS + 3).alias("avg_similarity"),
+        F.round(F.avg("similarity"), DIGITS + 3).alias("avg_hierarchical"),
     )
 
 

@@ -354,7 +354,7 @@ def _part_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     parts = _table(spark, sf_dir, "part")
     relationships = parts.filter("p_size = 1").select(
         F.col("p_brand").alias("src"), F.col("p_name").alias("dst"), F.col("p_type").alias("relation_type"),
-        F.round(F.col("p_retailprice") / 4000, 4).alias("confidence"), F.col("p_partkey").alias("seq"),
+        (F.col("p_retailprice") / 4000).alias("confidence"), F.col("p_partkey").alias("seq"),
     )
     vertices = (
         parts.select(F.col("p_brand").alias("name"), F.lit("BRAND").alias("entity_type"))
