@@ -1,4 +1,4 @@
-"""Sending this package to the executors, so that nothing need be installed there."""
+"""Making a session ready: the package on the executors, and Arrow batches of a size that texts allow."""
 
 from __future__ import annotations
 
@@ -8,9 +8,15 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows of an Arrow batch. Texts of some kilobytes make batches of a few megabytes, in the JVM and in Python.
+BATCH_ROWS = 1_000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def ship(spark: SparkSession) -> None:
-    """Add the package's sources to the session's Python files, once per context."""
+    """Add the package's sources to the session's Python files, once per context, and bound Arrow batches."""
+    if int(spark.conf.get(_BATCH_KEY)) > BATCH_ROWS:
+        spark.conf.set(_BATCH_KEY, BATCH_ROWS)
     context = spark.sparkContext
     if getattr(context, "_corpusql_shipped", False):
         return
