@@ -41,6 +41,18 @@ PRIOR_USES = 1_000.0
 HELD_WORDS = 1 << 18  # distinct words a task counts before it passes them on
 
 
+def _larger(batches: Iterator[pa.RecordBatch], rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """Batches of words joined until they have so many rows: lattices of many words are computed together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words with A-Z lowered: on bytes, lower() changes only these and split() cuts at ASCII white space."""
     return (text or "").encode().lower().split()
@@ -130,7 +142,7 @@ def train(texts: DataFrame, vocabulary_path: str) -> tuple[Model, DataFrame]:
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             lattice = Lattice(vocabulary(tokenizer_file(vocabulary_path)), shared.value)
             total = np.zeros(len(shared.value))
-            for batch in batches:
+            for batch in _larger(batches):
                 words = batch.column(0).to_pylist()
                 total += lattice.expected(words, np.ones(len(words)))
             where = np.flatnonzero(total)
@@ -234,7 +246,7 @@ def score(
         """Base and score of each row's word; equal words stand together and are computed once a batch."""
         model = shared.value
         lattice = model.lattice()
-        for batch in batches:
+        for batch in _larger(batches):
             words = batch.column(1).dictionary_encode()
             times, c = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             marginals = lattice.marginals(words.dictionary.to_pylist())[words.indices.to_numpy()]
