@@ -94,11 +94,14 @@ def _taken(rows: DataFrame, weights: tuple[int, ...], share: float, cap: float)
     slice_ = F.substring("draw", 1, SLICE_DIGITS)
     # Only the documents of one slice in 65,536 are put in order.
     in_order = Window.partitionBy("source").orderBy("draw", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
-    border = (
-        planned.filter(slice_ == F.col("slice"))
+    # Written, so that its size is known before the join and the documents need not be shuffled to meet it.
+    border = scratch.table(
+        planned.select("source", "doc_id", "row", "draw", "size", "slice", "before", "rest")
+        .filter(slice_ == F.col("slice"))
         .withColumn("middle", F.col("before") + F.sum("size").over(in_order) - F.col("size") / 2)
         .filter(F.col("middle") <= F.col("rest"))
-        .select(F.col("row").alias("drawn_row"))
+        .select(F.col("row").alias("drawn_row")),
+        "border",
     )
     drawn = (slice_ < F.col("slice")) | F.col("drawn_row").isNotNull()
     return planned.join(border, F.col("row") == F.col("drawn_row"), "left").withColumn(
