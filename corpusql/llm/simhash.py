@@ -222,5 +222,7 @@ def drop_near_duplicates(
     # A row number settles ties between equal ids; null ids come after all others.
     who = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
     groups = _grouped(rows.select(F.col(fp).alias("fp"), who.alias("who")), radius)
-    stay = groups.select(F.col("component.row").alias(row)).distinct()
-    return rows.join(stay, row, "left_semi").drop(fp, row)
+    stay = groups.select(F.col("component.row").alias("stays")).distinct()
+    # The rows that go are few where copies are; written, their size decides whether texts are shuffled to meet them.
+    gone = scratch.table(rows.select(row).join(stay, F.col(row) == F.col("stays"), "left_anti"), "gone")
+    return rows.join(gone, row, "left_anti").drop(fp, row)
