@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusql.llm.exact_dedup import exact_duplicates
 from corpusql.llm.langid import languages
-from corpusql.llm.licenses import license_scan
+from corpusql.llm.licenses import license_scan, templates
 from corpusql.llm.lm import score
 from corpusql.llm.mixing import mix
 from corpusql.llm.packing import pack
@@ -71,7 +71,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TERMS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+_NOTICES = ", ".join(f"({n}, '{name}', '{notice}')" for n, (name, notice) in enumerate(templates()))
+
 ORACLES: dict[str, str] = {
+    "op4_licenses": rf"""
+        WITH d AS (
+            SELECT row_number() OVER () AS row, doc_id, text, '/' || concat_ws('/', source, lang, doc_id::VARCHAR) AS path FROM documents
+        ), notice(template, license, words) AS (VALUES {_NOTICES}),
+        tt AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest({_TERMS.format("words")}) AS term FROM notice) GROUP BY ALL),
+        df AS (SELECT term, count(*) AS n FROM (SELECT DISTINCT row, unnest({_TERMS.format("text")}) AS term FROM d) WHERE term IN (SELECT term FROM tt) GROUP BY term),
+        idf AS (SELECT term, ln((1 + (SELECT count(*) FROM d)) / (1 + coalesce(n, 0))::DOUBLE) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term)),
+        w AS (SELECT template, license, term, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY template)) AS weight FROM tt JOIN idf USING (term)),
+        seg AS (
+            SELECT row, -1 AS part, text AS t FROM d
+            UNION ALL
+            SELECT row, unnest(range(0, len(p))), unnest(p) FROM (SELECT row, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)) AS p FROM d)
+        ),
+        sw AS (SELECT row, part, term, count(*) AS tf FROM (SELECT row, part, unnest({_TERMS.format("t")}) AS term FROM seg) GROUP BY ALL),
+        sv AS (SELECT row, part, term, tf * coalesce(idf, ln(1 + (SELECT count(*) FROM d)) + 1) AS value FROM sw LEFT JOIN idf USING (term)),
+        len AS (SELECT row, part, sqrt(sum(value * value)) AS length FROM sv GROUP BY ALL),
+        sim AS (
+            SELECT row, part, license, round(sum(value * weight) / any_value(length), 6) AS similarity
+            FROM sv JOIN w USING (term) JOIN len USING (row, part) GROUP BY row, part, template, license
+        ),
+        own AS (
+            SELECT row, license, similarity, min(part) OVER (PARTITION BY row) = -1 AS whole FROM sim WHERE similarity >= 0.8
+            QUALIFY row_number() OVER (PARTITION BY row ORDER BY similarity DESC, license) = 1
+        ),
+        f AS (SELECT d.row, doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir, license, similarity, whole FROM d LEFT JOIN own USING (row)),
+        ld AS (SELECT dir AS licensed, path AS up_path, license AS up_license, similarity AS up_similarity FROM f WHERE whole
+               QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, path, license) = 1),
+        up AS (
+            SELECT dir, ld.* FROM (
+                SELECT dir, depth, array_to_string(string_split(dir, '/')[1:depth], '/') AS licensed
+                FROM (SELECT dir, unnest(range(1, len(string_split(dir, '/')) + 1)) AS depth FROM (SELECT DISTINCT dir FROM f))
+            ) JOIN ld USING (licensed) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY depth DESC) = 1
+        )
+        SELECT doc_id, path, coalesce(license, up_license) AS license, coalesce(similarity, up_similarity) AS similarity,
+               CASE WHEN license IS NOT NULL THEN 'own' WHEN up_license IS NOT NULL THEN 'inherited' END AS origin,
+               CASE WHEN license IS NOT NULL THEN path ELSE up_path END AS from_path
+        FROM f LEFT JOIN up USING (dir)
+    """,
     "op2_mixing": r"""
         WITH d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
