@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusql.config import EmbeddingConfig
-from corpusql.errors import ApiError, ConfigurationError
+from corpusql.errors import ApiError, ConfigurationError, CorpusError
 
 #: Added to each norm in the cosine, so that zero vectors give 0.
 EPSILON = 1e-8
@@ -159,3 +160,20 @@ def embed_once(df: DataFrame, known: DataFrame | None, config: EmbeddingConfig =
     new = embed(wanted, config, text_col).select("text_hash", "embedding")
     kept = new if known is None else known.unionByName(new)
     return hashed.join(kept, "text_hash").drop("text_hash"), kept
+
+
+def benchmark(texts: list[str], configs: list[EmbeddingConfig]) -> list[dict[str, object]]:
+    """For each model: dimension, seconds, texts a second and megabytes of its vectors; or the error it ends with."""
+    rows: list[dict[str, object]] = []
+    for config in configs:
+        began = time.perf_counter()
+        try:
+            vectors = provider(config).embed(texts)
+        except CorpusError as e:
+            rows.append({"model": config.model_name, "error": str(e)})
+            continue
+        seconds = time.perf_counter() - began
+        rows.append(
+            {"model": config.model_name, "dimension": vectors.shape[1], "seconds": seconds, "texts_per_second": len(texts) / max(seconds, 1e-9), "megabytes": vectors.nbytes / 1e6}
+        )
+    return rows

@@ -106,6 +106,12 @@ def nearest(
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
+def pairwise(items: DataFrame, metric: str = "cosine", threshold: float | None = None, k: int | None = None, item_id: str = "item_id", vector: str = "embedding") -> DataFrame:
+    """(item_id, other_id, score, rank) of all items against all, by blocks; give a threshold or k, or the result is quadratic."""
+    found = nearest(items.withColumnRenamed(item_id, "query_id"), items, k, metric, threshold, item_id=item_id, vector=vector)
+    return found.select(F.col("query_id").alias("item_id"), F.col("item_id").alias("other_id"), "score", "rank")
+
+
 def _by_blocks(asked: DataFrame, given: DataFrame, rows, schema: str) -> DataFrame:
     """Each block of queries with each block of items in one task."""
     n_query, n_item = (max(1, -(-df.count() // size)) for df, size in ((asked, QUERY_BLOCK), (given, ITEM_BLOCK)))

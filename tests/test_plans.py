@@ -113,3 +113,25 @@ def test_measures_by_hand(spark):
     assert ranks["overall", "a"] == 1 and ranks["total_time", "a"] == 1 and ranks["response_length", "b"] == 1
     assert CP.last_comparisons(metrics, n=1).select("query_id").distinct().collect()[0][0] == "2"
     assert set(CP.report(metrics)) == {"aggregate", "summary", "rankings", "comparisons", "analysis"}
+
+
+@pytest.mark.parametrize("kind", ["vanilla", "hierarchical", "graph"])
+def test_systems(spark, docs, queries, kind, tmp_path):
+    from corpusql.errors import ConfigurationError, RetrievalError
+    from corpusql.plans.systems import system
+
+    one = system(kind, spark, CONFIG)
+    with pytest.raises(RetrievalError):
+        one.retrieve("anything")
+    one.add_documents(docs.filter("doc_id < 3"))
+    (tmp_path / "more.txt").write_text(DOCS[2][1], encoding="utf-8")
+    one.add_documents(str(tmp_path))
+    assert one.stats()["documents"] == 3 and one.stats()["loads"] == 2
+    answer = one.query("Docker containers").first()
+    assert answer.chunks_retrieved > 0 and 0 < answer.confidence <= 1 and answer.retrieval_time > 0
+    assert one.query(queries).count() == 3 and one.stats()["queries_processed"] == 4
+    assert one.explain("Docker").first().rag_type == kind
+    one.clear()
+    assert one.stats()["documents"] == 0
+    with pytest.raises(ConfigurationError):
+        system("other", spark)

@@ -76,3 +76,11 @@ def test_nearest_ties_threshold_and_nothing(spark):
     assert N.nearest(queries, items.limit(0), 2).count() == 0
     with pytest.raises(RetrievalError):
         N.similarities(np.ones((1, 1)), np.ones((1, 1)), "other")
+
+
+def test_pairwise_and_benchmark(spark):
+    items = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 1.0])], "item_id string, embedding array<double>")
+    rows = {(r.item_id, r.other_id): r.score for r in N.pairwise(items).collect()}
+    assert len(rows) == 9 and rows["a", "c"] == rows["c", "a"] == pytest.approx(0.707107) and rows["a", "b"] == 0
+    found = V.benchmark(["x y", "z"], [EmbeddingConfig(dimension=16), EmbeddingConfig("some/model")])
+    assert found[0]["dimension"] == 16 and "error" in found[1]
