@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from xml.sax.saxutils import quoteattr
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusql.errors import ProcessingError
@@ -55,9 +53,11 @@ def gexf(vertices: DataFrame, relationships: DataFrame) -> DataFrame:
     """Lines of a GEXF document, in order, in one partition range each: head, nodes, edges, foot."""
     spark = vertices.sparkSession
 
-    @F.udf("string")
-    def quoted(text: str) -> str:
-        return quoteattr(text)
+    def quoted(name: str) -> Column:
+        text = F.col(name)
+        for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            text = F.replace(text, F.lit(plain), F.lit(escaped))
+        return F.concat(F.lit('"'), text, F.lit('"'))
 
     nodes = vertices.select(F.lit(1).alias("part"), F.col("name").alias("key"), F.concat(F.lit("<node id="), quoted("name"), F.lit(" label="), quoted("name"), F.lit("/>")).alias("value"))
     edges = last_edges(relationships).select(
