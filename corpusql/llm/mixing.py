@@ -89,7 +89,9 @@ def _taken(rows: DataFrame, weights: tuple[int, ...], share: float, cap: float)
     """Add source_size, target and n_copies to rows of (source, doc_id, row, draw, size)."""
     plan = scratch.table(targets(rows, weights, share, cap), "targets")
     last = scratch.table(_thresholds(rows, plan), "thresholds")
-    by_source = plan.join(last.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    by_source = scratch.table(
+        plan.join(last.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "by_source"
+    )
     planned = rows.join(by_source.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     slice_ = F.substring("draw", 1, SLICE_DIGITS)
     # Only the documents of one slice in 65,536 are put in order.
