@@ -11,7 +11,7 @@ from corpusql.config import ChunkingConfig, RetrievalConfig
 from corpusql.functions.chunk import chunks
 from corpusql.functions.text import clean_text, preview, summary, words
 from corpusql.functions.vectors import DIGITS, cosine, embed
-from corpusql.operators.context import HIERARCHY_NOTE, NOTHING_FOUND, fixed
+from corpusql.operators.context import HIERARCHY, HIERARCHY_NOTE, NOTHING_FOUND, fixed
 from corpusql.operators.nearest import nearest
 from corpusql.plans.vanilla import embedded_queries
 
@@ -162,11 +162,11 @@ def answer(queries: DataFrame, hits: DataFrame, tree: DataFrame, config: Retriev
     placed = _by_document(parent_context(hits, tree))
     whose = F.when(F.col("section_info").isNotNull(), F.concat(F.lit(" (from "), F.col("section_info"), F.lit(")"))).otherwise("")
     block = F.concat(F.lit("Section "), F.col("place").cast("string"), whose, F.lit(":\n"), F.col("content"))
-    head = F.when((F.col("place") == 1) & F.col("document_summary").isNotNull(), F.concat(F.lit("Document Summary: "), F.col("document_summary"), F.lit("\n\n"))).otherwise("")
+    head = F.when((F.col("place") == 1) & F.col("document_summary").isNotNull(), F.concat(F.lit(HIERARCHY["summary"]), F.col("document_summary"), F.lit("\n\n"))).otherwise("")
     line = F.concat(
-        F.when(F.col("place") == 1, F.concat(F.lit("\nFrom document "), F.col("doc_id").cast("string"), F.lit(":\n"))).otherwise(""),
+        F.when(F.col("place") == 1, F.concat(F.lit(HIERARCHY["document"]), F.col("doc_id").cast("string"), F.lit(":\n"))).otherwise(""),
         F.col("place").cast("string"), F.lit(". "), preview(F.col("content")),
-        F.lit(" (relevance: "), fixed(F.col("score")), F.lit(", section: "), fixed(F.col("similarity")), F.lit(", context: "), fixed(F.col("parent_similarity")), F.lit(")"),
+        F.lit(HIERARCHY["scores"][0]), fixed(F.col("score")), F.lit(HIERARCHY["scores"][1]), fixed(F.col("similarity")), F.lit(HIERARCHY["scores"][2]), fixed(F.col("parent_similarity")), F.lit(HIERARCHY["scores"][3]),
     )
     ordered = lambda value: F.transform(F.array_sort(F.collect_list(F.struct("doc_rank", "place", value.alias("t")))), lambda x: x["t"])
     texts = placed.groupBy("query_id").agg(
@@ -177,12 +177,12 @@ def answer(queries: DataFrame, hits: DataFrame, tree: DataFrame, config: Retriev
     )
     response = F.concat_ws(
         "\n",
-        F.concat(F.lit("Based on the hierarchical analysis of "), F.col("covered").cast("string"), F.lit(" document(s), here's what I found regarding: '"), F.col("query"), F.lit("'")),
+        F.concat(F.lit(HIERARCHY["opening"][0]), F.col("covered").cast("string"), F.lit(HIERARCHY["opening"][1]), F.col("query"), F.lit("'")),
         F.lit(""),
-        F.concat(F.lit("I analyzed information at multiple levels and found "), F.col("n").cast("string"), F.lit(" relevant sections:")),
+        F.concat(F.lit(HIERARCHY["count"][0]), F.col("n").cast("string"), F.lit(HIERARCHY["count"][1])),
         F.col("lines"),
         F.lit(""),
-        F.lit("This hierarchical approach first identified relevant document sections, then retrieved specific details, providing more contextually accurate information."),
+        F.lit(HIERARCHY["closing"]),
         F.lit(""),
         F.lit(HIERARCHY_NOTE),
     )
