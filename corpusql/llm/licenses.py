@@ -2,8 +2,11 @@
 
 A text is read in sentences (of its lines) and as a whole. Each is compared
 with short licence templates by the cosine of sparse TF-IDF vectors; inverse
-document frequencies of the templates' terms are counted over all documents,
-other terms weigh as one that no document has. A sentence's best template at
+document frequencies of the templates' terms are counted over all documents.
+With ``every_term`` so are those of the other terms, first bounded from below
+(no term weighs less than one that every document has), then counted for the
+texts and sentences that the bound leaves; without it other terms weigh as one
+that no document has, as in the SQL. A sentence's best template at
 ``THRESHOLD`` or more is the file's own licence. A file that as a whole is
 that near a template, or that bears a licence file's name, licenses its
 directory. Files without a licence of their own take that of the nearest
@@ -76,8 +79,8 @@ def _term_counts(text: str) -> Counter[str]:
     return Counter(t for t in _SPLIT.split(text.lower()) if t)
 
 
-def inverse_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float], float]:
-    """idf of each term of the vocabulary over all texts, and that of a term no text has."""
+def inverse_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float], float, int]:
+    """idf of each term of the vocabulary over all texts, that of a term no text has, and the number of texts."""
     found = (
         docs.select(F.explode(F.array_intersect(terms(F.col("text")), F.array(*map(F.lit, vocabulary)))).alias("term"))
         .groupBy("term")
@@ -86,7 +89,7 @@ def inverse_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[st
     seen = {r["term"]: r["n"] for r in found.collect()}  # a row for each term of the vocabulary at most
     total = docs.count()
     idf = lambda n: math.log((1 + total) / (1 + n)) + 1
-    return {t: idf(seen.get(t, 0)) for t in vocabulary}, idf(0)
+    return {t: idf(seen.get(t, 0)) for t in vocabulary}, idf(0), total
 
 
 def anchors(weights: dict[str, float], threshold: float) -> set[str]:
@@ -100,10 +103,26 @@ def anchors(weights: dict[str, float], threshold: float) -> set[str]:
     return chosen
 
 
-def similar(segments: DataFrame, weights: DataFrame, idf: DataFrame, other: float) -> DataFrame:
-    """Best (licence, similarity) of each segment: ``segments`` has id columns row, part and an array of terms."""
-    words = segments.select("row", "part", F.explode("terms").alias("term")).groupBy("row", "part", "term").agg(F.count("*").alias("tf"))
-    valued = words.join(F.broadcast(idf), "term", "left").withColumn("value", F.col("tf") * F.coalesce("idf", F.lit(other)))
+def counted(segments: DataFrame) -> DataFrame:
+    """(row, part, term, tf) of segments with id columns row, part and an array of terms."""
+    return segments.select("row", "part", F.explode("terms").alias("term")).groupBy("row", "part", "term").agg(F.count("*").alias("tf"))
+
+
+def further_frequencies(words: DataFrame, idf: DataFrame, docs: DataFrame, total: int) -> DataFrame:
+    """(term, idf) over all texts of the terms of ``words`` that the table ``idf`` lacks."""
+    new = scratch.table(words.select("term").distinct().join(idf, "term", "left_anti"), "terms")
+    if new.isEmpty():
+        return idf.limit(0)
+    # A row for each distinct term and task is shuffled; the size of the written terms decides how they are met.
+    found = docs.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).join(new, "term").groupBy("term")
+    weight = F.log((1 + F.lit(total)) / (1 + F.col("n"))) + 1
+    return scratch.table(found.agg(F.count("*").alias("n")).select("term", weight.alias("idf")), "frequencies")
+
+
+def similar(words: DataFrame, weights: DataFrame, idf: DataFrame, other: float) -> DataFrame:
+    """Best (licence, similarity) of each segment of ``words``, whose terms without idf weigh ``other``."""
+    # Sizes are left to Spark where the table has more than the templates' terms.
+    valued = words.join(idf, "term", "left").withColumn("value", F.col("tf") * F.coalesce("idf", F.lit(other)))
     lengths = valued.groupBy("row", "part").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("length"))
     # The templates' weights are a fixed table of a few hundred rows.
     products = (
@@ -144,13 +163,15 @@ def _inherited(found: DataFrame) -> DataFrame:
     )
 
 
-def license_scan(docs: DataFrame, id_col: str, text_col: str, path: Column, threshold: float = THRESHOLD) -> DataFrame:
+def license_scan(
+    docs: DataFrame, id_col: str, text_col: str, path: Column, threshold: float = THRESHOLD, every_term: bool = False
+) -> DataFrame:
     """One row per file: doc_id, path, license, similarity, origin (own, inherited or null) and from_path."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.col(text_col).alias("text"))
     forms = [(number, license_, _term_counts(notice)) for number, (license_, notice) in enumerate(templates())]
     vocabulary = sorted({t for _, _, tf in forms for t in tf})
-    idf, other = inverse_frequencies(slim, vocabulary)
+    idf, other, total = inverse_frequencies(slim, vocabulary)
     rows, anchored = [], set()
     for number, license_, tf in forms:
         length = math.sqrt(sum((n * idf[t]) ** 2 for t, n in tf.items()))
@@ -176,7 +197,16 @@ def license_scan(docs: DataFrame, id_col: str, text_col: str, path: Column, thre
     ).unionByName(
         files.filter(F.col("whole").isNotNull()).select("row", F.lit(-1).alias("part"), F.col("whole").alias("terms"))
     )
-    near = scratch.table(similar(segments, weights, idf_table, other).filter(F.col("similarity") >= threshold), "near")
+    near = counted(segments)
+    if every_term:
+        # Where other terms weigh the least possible, 1, similarity is an upper bound.
+        bound = similar(near, weights, F.broadcast(idf_table), 1.0).filter(F.col("similarity") >= threshold - 1e-6)
+        close = scratch.table(bound.select("row", "part"), "close")
+        near = scratch.table(near.join(close, ["row", "part"], "left_semi"), "words")
+        idf_table = idf_table.unionByName(further_frequencies(near, idf_table, slim, total))
+    else:
+        idf_table = F.broadcast(idf_table)
+    near = scratch.table(similar(near, weights, idf_table, other).filter(F.col("similarity") >= threshold), "near")
     own = near.groupBy("row").agg(
         F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("best"), F.min("part").alias("first")
     )

@@ -38,7 +38,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files /source/lang/doc_id."""
     path = F.concat_ws("/", F.lit(""), "source", "lang", F.col("doc_id").cast("string"))
-    return license_scan(_documents(spark, sf_dir), "doc_id", "text", path)
+    return license_scan(_documents(spark, sf_dir), "doc_id", "text", path, every_term=True)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,3 +144,29 @@ def test_awkward_rows(awkward, nothing):
     path = F.concat_ws("/", F.lit(""), "source", F.col("doc_id").cast("string"))
     assert L.license_scan(awkward, "doc_id", "text", path).count() == awkward.count()
     assert L.license_scan(nothing, "doc_id", "text", path).count() == 0
+
+
+def test_every_term_weighs_by_its_documents(spark):
+    """A common word beside a notice costs little, a rare one much; both as plain sums over all texts say."""
+    common = [("/c/f", f"in and licensed under the license word{i}") for i in range(400)]
+    parts = ["Licensed under the MIT License in", "Licensed under the MIT License zyx", "This file is licensed under the Apache License, Version 2.0."]
+    rows = [*common, *((f"/l{i}/f", t) for i, t in enumerate(parts)), ("/e/f", None), ("/e/g", "")]
+    df = spark.createDataFrame([(i, t, p) for i, (p, t) in enumerate(rows)], "doc_id long, text string, path string")
+    found = {r.path: r for r in L.license_scan(df, "doc_id", "text", F.col("path"), every_term=True).collect()}
+    assert len(found) == 6 and found["/c/f"].license is None
+    terms = lambda t: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+    df_of = Counter(x for _, t in rows for x in set(terms(t)))
+    vector = lambda t: {x: c * (math.log((1 + len(rows)) / (1 + df_of[x])) + 1) for x, c in Counter(terms(t)).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    for i, part in enumerate(parts):
+        a = vector(part)
+        best = max(sum(w * b.get(x, 0) for x, w in a.items()) / norm(a) / norm(b) for b in (vector(n) for _, n in L.templates()))
+        mine = found[f"/l{i}/f"].similarity
+        assert (mine is not None) == (best >= L.THRESHOLD) and (mine is None or mine == pytest.approx(best, abs=2e-6))
+    assert found["/l0/f"].license == "MIT" and found["/l1/f"].license is None
+
+
+def test_awkward_rows_with_every_term(awkward, nothing):
+    path = F.concat_ws("/", F.lit(""), "source", F.col("doc_id").cast("string"))
+    assert L.license_scan(awkward, "doc_id", "text", path, every_term=True).count() == awkward.count()
+    assert L.license_scan(nothing, "doc_id", "text", path, every_term=True).count() == 0
