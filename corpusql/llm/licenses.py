@@ -1,7 +1,8 @@
 """Licence scan: TF-IDF cosine to templates, then inheritance by path, in DataFrame functions only.
 
 A text is read in sentences (of its lines) and as a whole. Each is compared
-with short licence templates by the cosine of sparse TF-IDF vectors; inverse
+with templates (notices, lines of standard
+headers, SPDX lines and bodies of licences) by the cosine of sparse TF-IDF vectors; inverse
 document frequencies of the templates' terms are counted over all documents.
 With ``every_term`` so are those of the other terms, first bounded from below
 (no term weighs less than one that every document has), then counted for the
@@ -13,7 +14,7 @@ directory. Files without a licence of their own take that of the nearest
 ancestor directory that has one.
 
 Before any word is put in a row of its own, sentences are filtered by prefix:
-the terms of highest weight of each template are its anchors, as many as leave
+terms of high weight of each template are its anchors, rare ones first, as many as leave
 less than ``THRESHOLD`` squared of its squared length, so that a sentence
 without any anchor cannot come near it. The filter drops no match.
 
@@ -34,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusql.llm import scratch
+from corpusql.llm.license_texts import BODIES
 
 THRESHOLD = 0.8
 
@@ -55,6 +57,20 @@ NAMES = [
 ]
 #: How notices begin.
 NOTICES = ["Licensed under {}", "Licensed under the {}", "Released under the {}", "This work is licensed under the {}"]
+#: Lines by which files name their licence.
+_FREE = (
+    "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published by "
+    "the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
+)
+HEADERS = [
+    *(("SPDX-License-Identifier: " + name, name) for name, _ in NAMES),
+    *((f"SPDX-License-Identifier: {name}-{kind}", name) for name, _ in NAMES if "GPL" in name for kind in ("only", "or-later")),
+    ('Licensed under the Apache License, Version 2.0 (the "License")', "Apache-2.0"),
+    (_FREE.format("program", "General Public License", 2), "GPL-2.0"),
+    (_FREE.format("program", "General Public License", 3), "GPL-3.0"),
+    (_FREE.format("library", "Lesser General Public License", 3), "LGPL-3.0"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "MPL-2.0"),
+]
 
 #: File names that mark a licence file whatever else it holds.
 FILE_NAMES = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[a-z]+)?$"
@@ -71,8 +87,9 @@ def terms(text: Column) -> Column:
 
 
 def templates() -> list[tuple[str, str]]:
-    """(licence, notice) for each name and way to begin."""
-    return [(name, notice.format(words)) for name, words in NAMES for notice in NOTICES]
+    """(licence, text): a notice for each name and way to begin, headers, and bodies."""
+    notices = [(name, notice.format(words)) for name, words in NAMES for notice in NOTICES]
+    return [*notices, *((name, line) for line, name in HEADERS), *BODIES.items()]
 
 
 def _term_counts(text: str) -> Counter[str]:
@@ -92,10 +109,10 @@ def inverse_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[st
     return {t: idf(seen.get(t, 0)) for t in vocabulary}, idf(0), total
 
 
-def anchors(weights: dict[str, float], threshold: float) -> set[str]:
-    """The fewest terms of a unit vector without which the cosine stays below the threshold."""
+def anchors(weights: dict[str, float], threshold: float, common: set[str]) -> set[str]:
+    """Terms of a unit vector without which the cosine stays below the threshold, common ones only where the others are too few."""
     left, chosen = 1.0, set()
-    for term, w in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
+    for term, w in sorted(weights.items(), key=lambda x: (x[0] in common, -x[1], x[0])):
         if left < threshold**2 * (1 - 1e-9):
             break
         chosen.add(term)
@@ -124,7 +141,7 @@ def similar(words: DataFrame, weights: DataFrame, idf: DataFrame, other: float)
     # Sizes are left to Spark where the table has more than the templates' terms.
     valued = words.join(idf, "term", "left").withColumn("value", F.col("tf") * F.coalesce("idf", F.lit(other)))
     lengths = valued.groupBy("row", "part").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("length"))
-    # The templates' weights are a fixed table of a few hundred rows.
+    # The templates' weights are a fixed table of some thousand rows.
     products = (
         valued.join(F.broadcast(weights), "term")
         .groupBy("row", "part", "template", "license")
@@ -172,11 +189,13 @@ def license_scan(
     forms = [(number, license_, _term_counts(notice)) for number, (license_, notice) in enumerate(templates())]
     vocabulary = sorted({t for _, _, tf in forms for t in tf})
     idf, other, total = inverse_frequencies(slim, vocabulary)
+    # More than one text in a hundred has these; which terms are anchors decides only how many texts are compared.
+    common = {t for t, w in idf.items() if w < 1 + math.log(100)}
     rows, anchored = [], set()
     for number, license_, tf in forms:
         length = math.sqrt(sum((n * idf[t]) ** 2 for t, n in tf.items()))
         unit = {t: n * idf[t] / length for t, n in tf.items()}
-        anchored |= anchors(unit, threshold)
+        anchored |= anchors(unit, threshold, common)
         rows += [(number, license_, t, w) for t, w in unit.items()]
     weights = spark.createDataFrame(rows, "template int, license string, term string, weight double")
     idf_table = spark.createDataFrame(list(idf.items()), "term string, idf double")

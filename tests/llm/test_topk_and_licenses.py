@@ -170,3 +170,23 @@ def test_awkward_rows_with_every_term(awkward, nothing):
     path = F.concat_ws("/", F.lit(""), "source", F.col("doc_id").cast("string"))
     assert L.license_scan(awkward, "doc_id", "text", path, every_term=True).count() == awkward.count()
     assert L.license_scan(nothing, "doc_id", "text", path, every_term=True).count() == 0
+
+
+def test_bodies_and_spdx_lines(spark):
+    """Files with a licence's body license their directory; an SPDX line is the file's own licence."""
+    from corpusql.llm.license_texts import BODIES
+
+    words = " ".join(random.Random(2).choice(["lorem", "ipsum", "dolor", "sit"]) for _ in range(80))
+    rows = []
+    for name, body in BODIES.items():
+        rows += [(f"/{name}/terms/text", f"Copyright 2020 The Authors\n\n{body}"), (f"/{name}/terms/deep/x.py", words)]
+    ids = [name for name, _ in L.NAMES] + ["GPL-2.0-only", "GPL-3.0-or-later"]
+    rows += [(f"/spdx{i}/x.py", f"# SPDX-License-Identifier: {name}\n{words}") for i, name in enumerate(ids)]
+    for every in (False, True):
+        df = spark.createDataFrame([(i, t, p) for i, (p, t) in enumerate(rows)], "doc_id long, text string, path string")
+        found = {r.path: r for r in L.license_scan(df, "doc_id", "text", F.col("path"), every_term=every).collect()}
+        for name in BODIES:
+            assert (found[f"/{name}/terms/text"].license, found[f"/{name}/terms/text"].origin) == (name, "own")
+            assert (found[f"/{name}/terms/deep/x.py"].license, found[f"/{name}/terms/deep/x.py"].origin) == (name, "inherited")
+        for i, name in enumerate(ids):
+            assert found[f"/spdx{i}/x.py"].license == name.removesuffix("-only").removesuffix("-or-later")
