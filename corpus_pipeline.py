@@ -16,7 +16,7 @@ from corpusql.llm import scratch
 from corpusql.llm.exact_dedup import drop_exact_duplicates
 from corpusql.llm.mixing import mixed_rows
 from corpusql.llm.packing import pack
-from corpusql.llm.simhash import drop_near_duplicates
+from corpusql.llm.shingles import drop_near_copies
 from corpusql.llm.toxicity import drop_toxic
 from corpusql.packaging import ship
 
@@ -34,9 +34,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id."""
+    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8), the document with the smallest id."""
     ship(spark)
-    return drop_near_duplicates(docs)
+    return drop_near_copies(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
