@@ -15,7 +15,8 @@ def labelled_sample(df: DataFrame, keys: DataFrame, groups: str, rows: int, max_
     ``df`` has columns id, text and whatever else the rows shall hold; ``keys``
     has id, size (bytes of text) and ``groups``, so that texts are never
     shuffled. Texts are then fetched for rows whose running size, in order of
-    hash, stays within ``max_bytes``: the driver never holds more. A value of
+    hash, stays within ``max_bytes``: the driver never holds more. A row that
+    does not fit is skipped, and those after it still count. A value of
     ``groups`` that many rows share costs one partial limit per task, not a
     sort of the group. Returns each row with its value of ``groups``.
     """
@@ -25,9 +26,10 @@ def labelled_sample(df: DataFrame, keys: DataFrame, groups: str, rows: int, max_
     )
     chosen, held = {}, 0
     for r in ranked.filter(F.col("place") <= rows).orderBy("place", "h").toLocalIterator():
-        held += r["size"] or 0
-        if held > max_bytes:
-            break
+        size = r["size"] or 0
+        if held + size > max_bytes:
+            continue
+        held += size
         chosen[r["id"]] = r[groups]
     if not chosen:
         return []
