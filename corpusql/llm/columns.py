@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import Column
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but these six ASCII white-space characters.
@@ -34,3 +36,38 @@ def n_words(text: Column) -> Column:
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)).cast("int")
+
+
+def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
+    """A name for each of ``wanted`` that is none of the names taken, whatever their case, and none of the others."""
+    used = {name.casefold() for name in taken}
+    names = []
+    for name in wanted:
+        while name.casefold() in used:
+            name += "_"
+        used.add(name.casefold())
+        names.append(name)
+    return names
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+#: A key of more than one row in so many is hot; there are at most as many hot keys.
+HOT_SHARE = 1 << 10
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Rows with their groups' columns by ``key``, of which ``groups`` has one row each and ``size`` its rows.
+
+    Groups that hold at least one row in ``HOT_SHARE`` of ``total`` are at most
+    ``HOT_SHARE``, so they are broadcast and their rows stay where they are;
+    the others' rows are shuffled by key, none of which is hot.
+    """
+    least = max(1, -(-total // HOT_SHARE))
+    hot, cold = groups.filter(F.col(size) >= least), groups.filter(F.col(size) < least)
+    few = rows.join(F.broadcast(hot), key)  # at most HOT_SHARE rows
+    many = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return few.unionByName(many)

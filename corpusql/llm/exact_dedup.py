@@ -6,13 +6,20 @@ least two rows set. Pass 2 probes each row: where one of its two bits was set
 by that row alone, no other row has the same text, and the row passes straight
 through. Only the others are shuffled and compared by SHA-256.
 
-The filter holds at most ``max_filter_bits`` bits, so what is broadcast has a
-fixed bound (32 MB by default). Beyond that size more rows are shuffled for
-nothing, but no result changes: a counting filter has no false negatives.
+The filter has ``BITS_PER_ROW`` bits or more for each row, however many rows
+there are, so it lets about as few single rows through at any size. What pass 1
+shuffles is a place in the filter for each bit, 24 bytes, never a row. A filter
+of at most ``broadcast_bits`` bits (32 MB by default) is broadcast. A larger one
+stays distributed: the rows' hashes, and in ``drop_exact_duplicates`` the rows,
+meet its blocks by a join, dealt evenly since blocks are taken from the hash.
 
 Defined results: a null text counts as empty; a null id sorts below all
-others; of rows that agree in text and id exactly one stays; an empty table
-gives an empty result; other columns, whatever their names, are not touched.
+others; of rows that agree in text and id exactly one stays; blank, empty and
+very long texts are compared like any other, as digests; a text that makes up
+any share of the rows is met as one of at most 1,024 hot groups, which are
+broadcast; an empty table gives an empty result; other columns, whatever their
+names and the case of these, are passed on by ``drop_exact_duplicates`` and
+ignored by ``exact_duplicates``.
 """
 
 from __future__ import annotations
@@ -21,19 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusql.llm import scratch
-from corpusql.llm.columns import lower_ascii, text_or_empty
+from corpusql.llm.columns import fresh, join_groups, lower_ascii, quoted, text_or_empty
 
 BITS_PER_ROW = 16
-MAX_FILTER_BITS = 1 << 28
+BROADCAST_BITS = 1 << 28
 BLOCK_BITS = 1 << 15  # what bitmap_construct_agg holds
 
 
-def _blocks(rows: int, max_filter_bits: int) -> int:
+def _blocks(rows: int) -> int:
     """Number of filter blocks, a power of two."""
-    bits = BLOCK_BITS
-    while bits < BITS_PER_ROW * rows and bits < max_filter_bits:
-        bits *= 2
-    return bits // BLOCK_BITS
+    return max(1, 1 << (BITS_PER_ROW * rows // BLOCK_BITS).bit_length())
 
 
 def _places(key: Column, blocks: int) -> list[Column]:
@@ -59,49 +63,53 @@ def repeated_bits(keys: Column, df: DataFrame, blocks: int) -> DataFrame:
     the rows reaches the shuffle as one count per task.
     """
     block, first, second = _places(keys, blocks)
+    start = block * BLOCK_BITS
     return (
-        df.select(block.alias("block"), F.explode(F.array(first, second)).alias("bit"))
-        .groupBy("block", "bit")
+        df.select(F.explode(F.array(start + first, start + second)).alias("place"))
+        .groupBy("place")
         .agg(F.count("*").alias("n"))
         # A row whose two bits coincide counts twice in it; it then takes the exact way, which is right too.
         .filter("n >= 2")
-        .groupBy("block")
-        .agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+        .groupBy(F.shiftright("place", BLOCK_BITS.bit_length() - 1).alias("block"))
+        .agg(F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit(BLOCK_BITS - 1).cast("long"))).alias("bitmap"))
     )
 
 
-def with_suspects(df: DataFrame, keys: Column, repeated: DataFrame, blocks: int, into: str) -> DataFrame:
+def with_suspects(df: DataFrame, keys: Column, repeated: DataFrame, blocks: int, into: str, broadcast_bits: int = BROADCAST_BITS) -> DataFrame:
     """Pass 2: add a boolean column that is false where no other row has the same key."""
     block, first, second = _places(keys, blocks)
-    named = repeated.select(F.col("block").alias(f"{into}_block"), F.col("bitmap").alias(f"{into}_bitmap"))
-    # The filter has at most max_filter_bits / 8 bytes: a proven bound for the broadcast.
+    of_block, bitmap = fresh([*df.columns, into], "block", "bitmap")
+    named = repeated.select(F.col("block").alias(of_block), F.col("bitmap").alias(bitmap))
+    if blocks * BLOCK_BITS <= broadcast_bits:
+        named = F.broadcast(named)  # broadcast_bits / 8 bytes at most
     return (
-        df.join(F.broadcast(named), block == F.col(f"{into}_block"), "left")
-        .withColumn(into, _is_set(F.col(f"{into}_bitmap"), first) & _is_set(F.col(f"{into}_bitmap"), second))
-        .drop(f"{into}_block", f"{into}_bitmap")
+        df.join(named, block == F.col(of_block), "left")
+        .withColumn(into, _is_set(F.col(bitmap), first) & _is_set(F.col(bitmap), second))
+        .drop(of_block, bitmap)
     )
 
 
 def exact_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bits: int = MAX_FILTER_BITS
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bits: int = BROADCAST_BITS
 ) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of the rows whose texts are equal after lower-casing A-Z, the one with the
     largest id stays.
     """
-    digest = F.sha2(lower_ascii(text_or_empty(F.col(text_col))).cast("binary"), 256)
+    digest = F.sha2(lower_ascii(text_or_empty(quoted(text_col))).cast("binary"), 256)
     rows = scratch.table(
-        df.select(F.col(id_col).alias("doc_id"), F.unhex(digest).alias("sha"), F.monotonically_increasing_id().alias("row")),
+        df.select(quoted(id_col).alias("doc_id"), F.unhex(digest).alias("sha"), F.monotonically_increasing_id().alias("row")),
         "hashes",
     )
-    blocks = _blocks(rows.count(), max_filter_bits)
-    probed = with_suspects(rows, F.col("sha"), repeated_bits(F.col("sha"), rows, blocks), blocks, "suspect")
-    suspects = probed.filter("suspect").select("doc_id", "sha", "row")
-    groups = suspects.groupBy("sha").agg(
-        F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("group_size")
+    blocks = _blocks(rows.count())
+    repeated = scratch.table(repeated_bits(F.col("sha"), rows, blocks), "filter")
+    probed = with_suspects(rows, F.col("sha"), repeated, blocks, "suspect", broadcast_bits)
+    suspects = scratch.table(probed.filter("suspect").select("doc_id", "sha", "row"), "suspects")
+    groups = scratch.table(
+        suspects.groupBy("sha").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("group_size")), "groups"
     )
-    compared = suspects.join(groups, "sha").select(
+    compared = join_groups(suspects, groups, "sha", "group_size", suspects.count()).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
         "group_size",
@@ -119,7 +127,7 @@ def exact_duplicates(
 
 
 def drop_exact_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bits: int = MAX_FILTER_BITS
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bits: int = BROADCAST_BITS
 ) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns.
 
@@ -127,15 +135,13 @@ def drop_exact_duplicates(
     others each task forwards at most one row per text, the best it has seen.
     """
     columns = df.columns
-    key = lower_ascii(text_or_empty(F.col(text_col)))
+    key = lower_ascii(text_or_empty(quoted(text_col)))
     keys = scratch.table(df.select(F.xxhash64(key).alias("key")), "keys")
-    blocks = _blocks(keys.count(), max_filter_bits)
+    blocks = _blocks(keys.count())
     repeated = scratch.table(repeated_bits(F.col("key"), keys, blocks), "filter")
-    tag = "suspect"
-    while tag in columns:
-        tag += "_"
-    probed = with_suspects(df, F.xxhash64(key), repeated, blocks, tag)
+    tag, sha, best = fresh(columns, "suspect", "sha", "best")
+    probed = with_suspects(df, F.xxhash64(key), repeated, blocks, tag, broadcast_bits)
     # The raw text breaks ties between equal ids, so that reruns agree.
-    best = F.max_by(F.struct(*[F.col(f"`{c}`") for c in columns]), F.struct(F.col(id_col), F.col(text_col)))
-    compared = probed.filter(F.col(tag)).groupBy(F.sha2(key.cast("binary"), 256).alias(f"{tag}_sha")).agg(best.alias(f"{tag}_row"))
-    return probed.filter(~F.col(tag)).drop(tag).unionByName(compared.select(f"{tag}_row.*"))
+    first = F.max_by(F.struct(*map(quoted, columns)), F.struct(quoted(id_col), quoted(text_col)))
+    compared = probed.filter(F.col(tag)).groupBy(F.sha2(key.cast("binary"), 256).alias(sha)).agg(first.alias(best))
+    return probed.filter(~F.col(tag)).drop(tag).unionByName(compared.select(f"{best}.*"))

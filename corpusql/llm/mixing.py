@@ -1,19 +1,25 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 Words are summed per source, targets and repetition rates follow from the
-sums, and each document is taken floor(rate) times plus one extra copy drawn
-from a hash of its id with probability equal to the rate's fraction.
-
-A plain draw misses a source's target by the luck of its long documents. The
-draw is therefore calibrated: the threshold on the same hash, which is the
-fraction itself on average, is moved to where the words drawn come nearest to
-the fraction of the source's words. It is found from word sums over 65,536
-slices of the hash and then among the documents of one slice, so that no
-source meets in one task.
-
-Defined results: a null text has 0 words; a null source is a source of its
-own, last in order; rows with equal ids draw alike; where all texts are empty
-every target is 0 and nothing is taken.
+sums, and each document is taken floor(rate) times plus one hash-seeded
+Bernoulli copy with probability equal to the rate's fraction.
+
+A document's draw is 48 bits of the md5 of its id. A source's seed turns the
+draws of its documents by some ``SEEDS``-th parts of the range, and a turned
+draw below the fraction gives the copy, so that whatever the seed each document
+is drawn with the fraction as probability. One seed misses a source's target by
+the luck of its long documents; of all ``SEEDS`` that one is taken whose words
+come nearest, the least on ties. The words of every seed are summed per source
+in one aggregation, which is partial in each task, so that no source meets in
+one task and no document is put in order.
+
+Defined results: a null text has 0 words, and so has a blank one; a null source
+is a source of its own, last in order; a null id draws as the empty text; rows
+with equal ids draw alike, repeated rows too; where all texts are empty every
+target is 0 and nothing is taken; an empty table gives an empty result; very
+long texts are counted whole; other columns, whatever their names and the case
+of these, are passed on by ``mixed_rows`` and ignored by ``mix``. The
+sources themselves, one row each, are put in order in one task.
 """
 
 from __future__ import annotations
@@ -22,19 +28,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusql.llm import scratch
-from corpusql.llm.columns import n_words
+from corpusql.llm.columns import fresh, n_words, quoted
 
 WEIGHTS = (5, 2, 1)
-DRAW_DIGITS = 12  # hexadecimal digits of md5 in a draw
-SLICE_DIGITS = 4  # of them, those that name a slice
+DRAW_BITS = 48
+SEEDS = 32
 
 
 def _draw(doc_id: Column) -> Column:
-    return F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, DRAW_DIGITS)
+    """The draw of an id, from 0 to 2**48 - 1."""
+    digits = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, DRAW_BITS // 4)
+    return F.conv(digits, 16, 10).cast("long")
+
+
+def _drawn(draw: Column, seed: Column, limit: Column) -> Column:
+    """Whether a draw, turned by a seed, is below the limit."""
+    step = F.lit((1 << DRAW_BITS) // SEEDS).cast("long")
+    return (draw + seed * step).bitwiseAND(F.lit((1 << DRAW_BITS) - 1).cast("long")) < limit
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """source, source_size, target, copies and rest for each source; one row per source is all that meets.
+    """source, source_size, target, copies and limit (the fraction times 2**48) for each source; one row per source is all that meets.
 
     Sources ordered by name take the weights in turn. Targets share ``share``
     times all words by weight; one that would pass ``cap`` times its source's
@@ -61,65 +75,40 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return (
         stood.withColumn("target", target.cast("double"))
         .withColumn("copies", F.floor(rate).cast("long"))
-        .withColumn("rest", F.col("target") - F.floor(rate) * F.col("source_size"))
-        .select("source", "source_size", "target", "copies", "rest")
+        .withColumn("limit", F.floor((rate - F.floor(rate)) * float(1 << DRAW_BITS)).cast("long"))
+        .select("source", "source_size", "target", "copies", "limit")
     )
 
 
-def _thresholds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
-    """source, slice and midpoint limit: which draws give a further copy.
-
-    A document is drawn if the words of all documents up to the middle of it,
-    in order of draw, come to no more than the words still wanted.
-    """
-    slices = sizes.groupBy("source", F.substring("draw", 1, SLICE_DIGITS).alias("slice")).agg(F.sum("size").alias("words"))
-    so_far = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    at = slices.withColumn("before", F.coalesce(F.sum("words").over(so_far), F.lit(0)))
-    wanted = plan.select(F.col("source").alias("s"), "rest")
-    return (
-        at.join(wanted, F.col("source").eqNullSafe(F.col("s")))
-        .filter(F.col("before") <= F.col("rest"))
-        .groupBy("source")
-        .agg(F.max(F.struct("slice", "before")).alias("last"))
-        .select("source", "last.slice", "last.before")
+def _seeded(sizes: DataFrame, plan: DataFrame) -> DataFrame:
+    """Add to the plan the seed whose draws come nearest to the target."""
+    named = plan.select(F.col("source").alias("s"), "limit")
+    # The plan is a written table of one row per source; its size decides how it is met.
+    met = sizes.filter("size > 0").join(named, F.col("source").eqNullSafe(F.col("s"))).filter("limit > 0")
+    words = [F.sum(F.when(_drawn(F.col("draw"), F.lit(seed).cast("long"), F.col("limit")), F.col("size"))).alias(f"w{seed}") for seed in range(SEEDS)]
+    sums = met.groupBy("s").agg(*words)
+    missed = plan.join(sums, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        *plan.columns,
+        *[F.abs(F.coalesce(f"w{seed}", F.lit(0)) + F.col("copies") * F.col("source_size") - F.col("target")).alias(f"m{seed}") for seed in range(SEEDS)],
     )
+    order = F.array(*[F.struct(F.col(f"m{seed}").alias("missed"), F.lit(seed).cast("long").alias("seed")) for seed in range(SEEDS)])
+    return missed.select(*plan.columns, F.array_min(order)["seed"].alias("seed"))
 
 
-def _taken(rows: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
-    """Add source_size, target and n_copies to rows of (source, doc_id, row, draw, size)."""
-    plan = scratch.table(targets(rows, weights, share, cap), "targets")
-    last = scratch.table(_thresholds(rows, plan), "thresholds")
-    by_source = scratch.table(
-        plan.join(last.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "by_source"
-    )
-    planned = rows.join(by_source.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    slice_ = F.substring("draw", 1, SLICE_DIGITS)
-    # Only the documents of one slice in 65,536 are put in order.
-    in_order = Window.partitionBy("source").orderBy("draw", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
-    # Written, so that its size is known before the join and the documents need not be shuffled to meet it.
-    border = scratch.table(
-        planned.select("source", "doc_id", "row", "draw", "size", "slice", "before", "rest")
-        .filter(slice_ == F.col("slice"))
-        .withColumn("middle", F.col("before") + F.sum("size").over(in_order) - F.col("size") / 2)
-        .filter(F.col("middle") <= F.col("rest"))
-        .select(F.col("row").alias("drawn_row")),
-        "border",
-    )
-    drawn = (slice_ < F.col("slice")) | F.col("drawn_row").isNotNull()
-    return planned.join(border, F.col("row") == F.col("drawn_row"), "left").withColumn(
-        "n_copies", F.col("copies") + F.when((F.col("rest") > 0) & drawn, 1).otherwise(0)
-    )
+def plan(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
+    """source, source_size, target, copies, limit and seed of each source, for rows of (source, draw, size)."""
+    wanted = scratch.table(targets(sizes, weights, share, cap), "targets")
+    return scratch.table(_seeded(sizes, wanted), "plan")
 
 
-def _sized(df: DataFrame, id_col: str, text_col: str, source_col: str, carry: list[str] = ()) -> DataFrame:
+def _sizes(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """doc_id, source, size and draw of every row, written."""
     return scratch.table(
         df.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            n_words(F.col(text_col)).alias("size"),
-            _draw(F.col(id_col)).alias("draw"),
-            F.monotonically_increasing_id().alias("row"),
-            *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("kept")] if carry else []),
+            quoted(id_col).alias("doc_id"),
+            quoted(source_col).alias("source"),
+            n_words(quoted(text_col)).alias("size"),
+            _draw(quoted(id_col)).alias("draw"),
         ),
         "sizes",
     )
@@ -138,8 +127,12 @@ def mix(
 
     ``taken`` is the words that the mix takes of the document, repeats counted.
     """
-    return _taken(_sized(df, id_col, text_col, source_col), weights, share, cap).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"), "n_copies"
+    sizes = _sizes(df, id_col, text_col, source_col)
+    decided = plan(sizes, weights, share, cap).withColumnRenamed("source", "s")
+    return (
+        sizes.join(decided, F.col("source").eqNullSafe(F.col("s")))
+        .withColumn("n_copies", F.col("copies") + _drawn(F.col("draw"), F.col("seed"), F.col("limit")).cast("long"))
+        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"), "n_copies")
     )
 
 
@@ -154,9 +147,14 @@ def mixed_rows(
 ) -> DataFrame:
     """The rows of ``df`` as often as the mix takes them, with all their columns.
 
-    Plans and border rows are small tables that meet the documents where they
-    lie, so texts are not shuffled unless there are very many sources.
+    The plan, a row for each source, meets the documents where they lie, so
+    texts are not shuffled unless there are very many sources.
     """
-    decided = _taken(_sized(df, id_col, text_col, source_col, df.columns), weights, share, cap)
-    copies = decided.select("kept", F.explode(F.array_repeat(F.lit(0), F.col("n_copies").cast("int"))).alias("copy"))
-    return copies.select("kept.*")
+    columns = df.columns
+    decided = plan(_sizes(df, id_col, text_col, source_col), weights, share, cap)
+    held, met, copy = fresh(columns, "plan", "source", "copy")
+    named = decided.select(F.col("source").alias(met), F.struct("copies", "limit", "seed").alias(held))
+    part = lambda name: quoted(held)[name]
+    n = part("copies") + _drawn(_draw(quoted(id_col)), part("seed"), part("limit")).cast("long")
+    taken = df.join(named, quoted(source_col).eqNullSafe(F.col(met))).withColumn(copy, F.explode(F.array_repeat(F.lit(0), n.cast("int"))))
+    return taken.drop(held, met, copy)

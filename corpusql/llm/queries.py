@@ -116,7 +116,7 @@ ORACLES: dict[str, str] = {
     "op2_mixing": r"""
         WITH d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                   substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12) AS draw
+                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS draw
             FROM documents
         ), s AS (
             SELECT source, sum(size)::BIGINT AS source_size,
@@ -136,14 +136,19 @@ ORACLES: dict[str, str] = {
             FROM l
         ), r AS (
             SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size)::BIGINT END AS copies FROM t
+        ), f AS (
+            SELECT *, CASE WHEN source_size = 0 THEN 0
+                           ELSE floor((target / source_size - copies) * 281474976710656.0::DOUBLE)::BIGINT END AS draws_below FROM r
         ), c AS (
-            SELECT d.doc_id, d.size, r.source_size, r.target, r.copies,
-                   r.target - r.copies * r.source_size AS rest,
-                   sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw, d.doc_id
-                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size / 2.0::DOUBLE AS middle
-            FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+            SELECT f.source, seed, abs(sum(CASE WHEN (draw + seed * 8796093022208) & 281474976710655 < draws_below THEN size ELSE 0 END)::BIGINT
+                                       + any_value(copies) * any_value(source_size) - any_value(target)) AS missed
+            FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source, range(32) t(seed) GROUP BY f.source, seed
+        ), b AS (
+            SELECT source, seed FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY missed, seed) = 1
         ), n AS (
-            SELECT *, copies + CASE WHEN rest > 0 AND middle <= rest THEN 1 ELSE 0 END AS n_copies FROM c
+            SELECT doc_id, size, source_size, target,
+                   copies + CASE WHEN (draw + seed * 8796093022208) & 281474976710655 < draws_below THEN 1 ELSE 0 END AS n_copies
+            FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source JOIN b ON d.source IS NOT DISTINCT FROM b.source
         )
         SELECT doc_id, size, source_size, target, (size * n_copies)::BIGINT AS taken, n_copies::BIGINT AS n_copies FROM n
     """,

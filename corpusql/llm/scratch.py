@@ -4,6 +4,9 @@
 reads it back. A lost executor then costs only the tasks it was running: what
 was written before is still there. Writing a table instead of calling
 ``checkpoint()`` keeps column pruning and size statistics for later steps.
+
+A query's result reads its tables lazily, so they stay until ``clear`` is
+called or, where the session still lives, the program ends.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _own_root: str | None = None
+_written: list[str] = []
 
 
 def root(spark: SparkSession) -> str:
@@ -36,6 +40,34 @@ def root(spark: SparkSession) -> str:
 def table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a new shared table and return a DataFrame that reads it."""
     spark = df.sparkSession
-    path = f"{root(spark)}/corpusql-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{root(spark)}/corpusql-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_at_exit)
+    _written.append(folder)
+    df.write.parquet(f"{folder}/{label}")
+    return spark.read.schema(df.schema).parquet(f"{folder}/{label}")
+
+
+def mark() -> int:
+    """A point in time, for ``clear``."""
+    return len(_written)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the tables written since a mark, but for the files that ``keep`` reads; no DataFrame may read them any more."""
+    kept = set(keep.inputFiles()) if keep is not None else set()
+    context = spark.sparkContext
+    left = []
+    for folder in _written[since:]:
+        if any(f"/{folder.rsplit('/', 1)[1]}/" in file for file in kept):
+            left.append(folder)
+            continue
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    _written[since:] = left
+
+
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        clear(spark)

@@ -41,7 +41,7 @@ def test_a_full_filter_changes_nothing(make):
 
     texts = [f"text {i % 700}" for i in range(1_000)]
     df = make(rows_of(texts))
-    small = exact_duplicates(df, max_filter_bits=1).select("doc_id", "keep_id", "group_size", "kept").collect()
+    small = exact_duplicates(df, broadcast_bits=1).select("doc_id", "keep_id", "group_size", "kept").collect()
     large = exact_duplicates(df).select("doc_id", "keep_id", "group_size", "kept").collect()
     assert sorted(small) == sorted(large)
     assert sum(r.kept for r in large) == 700
@@ -53,7 +53,7 @@ def test_most_single_rows_pass_the_filter(spark):
     from corpusql.llm import exact_dedup as X
 
     df = spark.range(2_000).select(F.concat(F.lit("t"), F.col("id")).alias("key"))
-    blocks = X._blocks(2_000, X.MAX_FILTER_BITS)
+    blocks = X._blocks(2_000)
     probed = X.with_suspects(df, F.col("key"), X.repeated_bits(F.col("key"), df, blocks), blocks, "s")
     assert probed.filter("s").count() < 100
 
