@@ -1,20 +1,32 @@
-"""Near copies by the Jaccard similarity of their word shingles, without comparing all pairs.
+"""SimHash near copies at a Jaccard similarity of 0.8 or more of five-word shingles.
 
-Every text is the set of its hashed shingles of five words; texts with equal
-sets are merged first. ``BANDS`` keys of ``ROWS`` minima each (MinHash) put
-sets that may be similar into buckets: a pair at similarity 0.8 shares a key
-but for 4 pairs in 10,000, a more similar one still more surely, and the work
-grows with the number of texts. Within a bucket similarity is exact, over
-whole sets: members are visited from one to the next, so that all pairs of the
-bucket at ``SIMILARITY`` or more are linked, with one link per member at most.
-Links are joined into components.
+Every text is the set of its hashed shingles; texts with equal sets are merged
+first. A set's SimHash has ``BITS`` bits, wide enough that similarity and
+chance lie far apart: sets at similarity 0.8 differ in 48 bits at most on
+average, strangers in 128, and ``RADIUS`` lies seven deviations from the one
+and six from the other; of pairs at 0.8 it misses about one in 100,000, of more
+similar ones fewer. As in ``simhash``, fingerprints are cut into tiles, pairs
+of tiles meet in one task and are compared block by block with exclusive-or
+and bit counts. Tile pairs whose population counts differ beyond the radius
+are skipped, and so are tiles and blocks whose numbers of shingles alone rule
+similarity out, which leaves about one pair in ten. The work still grows with
+the square of the number of distinct sets, as the method implies.
 
-Buckets of the same members are compared once. A bucket's sets meet in one
-task, so its memory grows with the largest group of near copies.
+What the fingerprints bring together is then verified: a pair is linked if the
+similarity of its whole shingle sets is ``SIMILARITY`` or more. A large group
+of near copies would give all its pairs to verify. Each set therefore names
+its ``FIRST`` nearest candidates of a tile only, those are verified and joined
+to components, and where a set had more candidates it names eight times as
+many in the next round, leaving out those that its component holds by then.
+Rounds end when no set has more: every candidate pair was verified or lies
+within one component, so no link between components is lost.
 
 Defined results: null texts count as empty; texts without words are copies of
 each other; a text of fewer than five words is one shingle; upper and lower
-case A-Z are alike. Sets count as equal if their 64-bit hashes are.
+case A-Z are alike; of rows with equal ids and sets any one stays; null ids
+come after all others; an empty table gives an empty result; very long texts
+are cut to shingles whole; other columns, whatever their names and the case of
+these, are passed on. Sets count as equal if their 64-bit hashes are.
 """
 
 from __future__ import annotations
@@ -23,21 +35,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField
 
 from corpusql.llm import scratch
+from corpusql.llm.columns import HOT_SHARE, fresh, quoted, with_columns
 from corpusql.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 20, 5
+BITS, RADIUS = 256, 80
+COARSE_RADIUS = 44  # of the first half of the bits, which is compared for all pairs
+TILE = 1 << 15
+BLOCK = 1 << 9
+FIRST = 4
+GROWTH = 8
+SIZE_STEPS = 4  # size classes to a factor of 1 / SIMILARITY
+PAIRS_AT_ONCE = 64  # of one set, that a task verifies before they are split
 SEED = 42
 
-_RNG = np.random.default_rng(SEED)
-_FLIPS = _RNG.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
-_FACTORS = _RNG.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_WORDS = BITS // 64
+_SALTS = np.random.default_rng(SEED).integers(0, 2**64, _WORDS, dtype=np.uint64)
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -48,102 +68,256 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     size = min(size, len(words))
-    return np.unique(np.array([xxh64_intdigest(b" ".join(words[i : i + size]), SEED) for i in range(len(words) - size + 1)], np.uint64))
+    n = len(words) - size + 1
+    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(words[i : i + size]), SEED) for i in range(n)), np.uint64, n))
 
 
-def keys(hashes: np.ndarray) -> np.ndarray:
-    """One key for each band of minima; a set without shingles has none."""
-    from xxhash import xxh64_intdigest
-
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(hashes), 1 << 12):
-        mixed = (hashes[None, at : at + (1 << 12)] ^ _FLIPS[:, None]) * _FACTORS[:, None]
-        mixed ^= mixed >> np.uint64(32)
-        least = np.minimum(least, (mixed * _FACTORS[::-1, None]).min(axis=1))
-    bands = [xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
-    return np.array(bands, np.uint64).view(np.int64)
+def wide_print(hashes: np.ndarray) -> bytes:
+    """SimHash of a set of hashes: each bit is set if over half of its members' derived hashes set it."""
+    set_by = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 255):  # a sum of so many bits fits a byte
+        mixed = (hashes[at : at + 255, None] ^ _SALTS) * _FACTOR
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= _FACTOR
+        mixed ^= mixed >> np.uint64(29)
+        set_by += np.add.reduce(np.unpackbits(mixed.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(2 * set_by > len(hashes)).tobytes()
 
 
-def with_keys(df: DataFrame, text_col: str, into: str, bands: str) -> DataFrame:
-    """Add the hash of the shingle set and its keys, without a shuffle."""
+def with_prints(df: DataFrame, text_col: str, node: str, prints: str, size: str) -> DataFrame:
+    """Add the hash of the shingle set, its fingerprint and its number of shingles, without a shuffle."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(texts: pa.Array) -> list[pa.Array]:
         from xxhash import xxh64_intdigest
 
-        for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch.column(text_col)]
-            ids = np.fromiter((xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets)).view(np.int64)
-            found = pa.array([keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids), found], [*batch.schema.names, into, bands])
-
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(into, LongType()), StructField(bands, ArrayType(LongType()))]))
-
-
-def linked(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Links (member, neighbour) that join all members within ``similarity`` of each other, one per member at most."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    left, out, todo = np.ones(len(sets), bool), [], []
-    while todo or left.any():
-        at = todo.pop() if todo else int(left.argmax())
-        left[at] = False
-        stay = left[owner]
-        if not stay.all():
-            flat, owner = flat[stay], owner[stay]
-        if not len(flat):
+        ids, found, sizes = [], [], []
+        for text in texts:
+            own = shingles(text.as_py())
+            ids.append(xxh64_intdigest(own.tobytes(), SEED))
+            found.append(wide_print(own))
+            sizes.append(len(own))
+        return [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(found, pa.binary()), pa.array(sizes, pa.int64())]
+
+    added = [StructField(node, LongType()), StructField(prints, BinaryType()), StructField(size, LongType())]
+    return with_columns(df, text_col, added, lambda: measure)
+
+
+def _too_far(low_a, high_a, low_b, high_b, similarity: float):
+    """Whether no two sets with sizes within these bounds can be so similar."""
+    return (high_a < similarity * low_b - 1e-9) | (high_b < similarity * low_a - 1e-9)
+
+
+class _Side:
+    """Members of one tile in order of size: fingerprint words, sizes, nodes, components and whether they look for more."""
+
+    def __init__(self, members: pa.StructArray):
+        part = {f.name: members.field(f.name) for f in members.type}
+        self.sizes = part["size"].to_numpy()
+        # Nodes settle ties, so that a tile's order is the same in every round.
+        order = np.lexsort((part["node"].to_numpy(), self.sizes))
+        words = np.frombuffer(b"".join(part["prints"].to_pylist()), np.uint64).reshape(-1, _WORDS)
+        self.sizes, self.words = self.sizes[order], np.ascontiguousarray(words[order].T)
+        self.nodes, self.roots = (part[name].to_numpy()[order] for name in ("node", "root"))
+        self.open = part["open"].to_numpy(zero_copy_only=False)[order]
+
+
+def _nearest(best: list[np.ndarray], most: int) -> list[np.ndarray]:
+    """Of entries (row, key, partner) each row's ``most`` with the smallest keys."""
+    order = np.lexsort((best[1], best[0]))
+    row = best[0][order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return [x[order[place < most]] for x in best]
+
+
+def candidates(a: _Side, b: _Side | None, most: int, similarity: float = SIMILARITY, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs of a tile with another, or with itself, and the nodes of ``a`` that have more than ``most``."""
+    own, b = b is None, a if b is None else b
+    pairs_a, pairs_b, more = [], [], []
+    for i in range(0, len(a.nodes), block):
+        if not a.open[i : i + block].any():
             continue
-        place = np.minimum(np.searchsorted(sets[at], flat), sizes[at] - 1)
-        both = np.bincount(owner[sets[at][place] == flat], minlength=len(sets))
-        # Rounded, as 4 of 5 is not quite 0.8 in binary.
-        near = np.flatnonzero(left & (both >= similarity * (sizes + sizes[at] - both) - 1e-9))
-        left[near] = False
-        todo += near.tolist()
-        out += [(int(j), at) for j in near]
-    return out
-
-
-def links(rows: DataFrame, text_col: str, node: str, bands: str) -> DataFrame:
-    """Links (a, b) between the distinct sets of the written table ``rows``."""
-    members = (
-        rows.groupBy(node).agg(F.first(bands).alias("keys"))
-        .select(F.col(node).alias("node"), F.explode("keys").alias("key"))
-        .groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-        .filter(F.size("nodes") > 1)
+        rows = min(block, len(a.nodes) - i)
+        best = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
+        count, last = np.zeros(rows, np.int64), np.full(rows, np.inf)
+        for j in range(i if own else 0, len(b.nodes), block):
+            end = min(j + block, len(b.nodes))
+            if _too_far(a.sizes[i], a.sizes[i + rows - 1], b.sizes[j], b.sizes[end - 1], similarity):
+                continue
+            apart = np.bitwise_count(a.words[0, i : i + rows, None] ^ b.words[0, None, j:end])
+            for w in range(1, _WORDS // 2):
+                apart += np.bitwise_count(a.words[w, i : i + rows, None] ^ b.words[w, None, j:end])
+            p, q = np.nonzero(apart <= COARSE_RADIUS)
+            if not len(p):
+                continue
+            small, large = np.minimum(a.sizes[p + i], b.sizes[q + j]), np.maximum(a.sizes[p + i], b.sizes[q + j])
+            keep = a.open[p + i] & (a.roots[p + i] != b.roots[q + j]) & (small >= similarity * large - 1e-9)
+            if own and i == j:
+                keep &= p < q
+            p, q = p[keep], q[keep]
+            d = apart[p, q].astype(np.int64)
+            for w in range(_WORDS // 2, _WORDS):
+                d += np.bitwise_count(a.words[w, p + i] ^ b.words[w, q + j])
+            keep = d <= RADIUS
+            p, q, d = p[keep], q[keep], d[keep]
+            count += np.bincount(p, minlength=rows)
+            # Equal distances are settled at random, so that not all of a group name the same one.
+            tie = ((a.nodes[p + i] ^ b.nodes[q + j]).view(np.uint64) * _FACTOR >> np.uint64(32)) / 2.0**32
+            keep = d + tie < last[p]
+            best = _nearest([np.concatenate(x) for x in zip(best, (p[keep], (d + tie)[keep], q[keep] + j), strict=True)], most)
+            full = np.bincount(best[0], minlength=rows) == most
+            largest = np.full(rows, -np.inf)
+            np.maximum.at(largest, best[0], best[1])
+            last = np.where(full, largest, np.inf)
+        pairs_a.append(a.nodes[best[0] + i])
+        pairs_b.append(b.nodes[best[2]])
+        more.append(a.nodes[i : i + rows][count > most])
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (pairs_a, pairs_b, more))
+
+
+def _tile_plan(cells: list[tuple], tile: int) -> tuple[list[tuple], list[tuple]]:
+    """Where each size class goes, and which groups of tiles meet; cells are (class, sets, least and largest bit count)."""
+    where, groups, held = [], [], tile + 1
+    for step, n, low, high in sorted(cells):
+        if held + n > tile:
+            groups.append([step, step, low, high, 1])
+            held = 0
+        held += n
+        g = groups[-1]
+        groups[-1] = [g[0], step, min(g[2], low), max(g[3], high), -(-held // tile)]
+        where.append((step, len(groups) - 1))
+    meet = [
+        (i, j, b[4])
+        for i, a in enumerate(groups)
+        for j, b in enumerate(groups)
+        if a[0] - SIZE_STEPS <= b[1] and b[0] - SIZE_STEPS <= a[1] and max(a[2] - b[3], b[2] - a[3]) <= RADIUS
+    ]
+    return [(step, g, groups[g][4]) for step, g in where], meet
+
+
+def _size_class(size: Column) -> Column:
+    """Sets of classes more than ``SIZE_STEPS`` apart differ in size by more than the similarity allows."""
+    step = float(np.log(1 / SIMILARITY) / SIZE_STEPS)
+    return F.when(size == 0, -2 * SIZE_STEPS).otherwise(F.floor(F.log(size.cast("double") + 1e-9) / step)).cast("int")
+
+
+def named_pairs(nodes: DataFrame, most: int, tile: int = TILE) -> DataFrame:
+    """Candidate pairs (a, b), and a row (a, null) for each node with more, of the table (node, prints, size, root, open)."""
+    spark = nodes.sparkSession
+    bits = nodes.withColumn("step", _size_class(F.col("size")))
+    ones = F.length(F.regexp_replace(F.conv(F.hex(F.substring("prints", 1, 4)), 16, 2), "0", ""))
+    for at in range(5, BITS // 8, 4):
+        ones = ones + F.length(F.regexp_replace(F.conv(F.hex(F.substring("prints", at, 4)), 16, 2), "0", ""))
+    counted = bits.groupBy("step").agg(F.count("*").alias("n"), F.min(ones).alias("low"), F.max(ones).alias("high"))
+    where, meet = _tile_plan([tuple(r) for r in counted.collect()], tile)  # some hundred classes cover any size
+    if not where:
+        return spark.createDataFrame([], "a long, b long")
+    placed = spark.createDataFrame(where, "step int, g int, tiles int")
+    partners = spark.createDataFrame(meet, "g int, other int, others int")
+    own, other = F.struct("g", "s"), F.struct(F.col("other").alias("g"), F.col("t").alias("s"))
+    tiles = (
+        bits.join(F.broadcast(placed), "step")  # a row for each class
+        .withColumn("s", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+        .groupBy("g", "s")
+        .agg(F.collect_list(F.struct("node", "prints", "size", "root", "open")).alias("members"))
+    )
+    pairs = (
+        tiles.join(F.broadcast(partners), "g")  # classes by classes at most
+        .withColumn("t", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+        .select(F.least(own, other).alias("first"), F.greatest(own, other).alias("second"), own.alias("side"), "members")
     )
-    buckets = members.groupBy(F.xxhash64("nodes").alias("bucket")).agg(F.first("nodes").alias("nodes"))
-    pairs = scratch.table(buckets.select("bucket", F.explode("nodes").alias("node")), "buckets")
-    wanted = rows.select(F.col(node).alias("node"), F.col(text_col).alias("text")).join(pairs.select("node").distinct(), "node", "left_semi")
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(group: pa.Table) -> pa.Table:
+        # The smaller tile number is the left side in every round: it answers for the pairs.
+        group = group.take(np.argsort([(s["g"] << 32) + s["s"] for s in group.column("side").to_pylist()]))
+        sides = [_Side(m.values) for m in group.column("members")]
+        a, b, more = candidates(sides[0], sides[1] if len(sides) > 1 else None, most)
+        nothing = pa.nulls(len(more), pa.int64())
+        return pa.table({"a": np.concatenate([a, more]), "b": pa.concat_arrays([pa.array(b, pa.int64()), nothing])})
+
+    return pairs.groupBy("first", "second").applyInArrow(compare, "a long, b long")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, total: int, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose sets, rows (node, hashes) of ``sets``, are so similar.
+
+    A set in many of the pairs is copied, once for each ``HOT_SHARE``-th part
+    of all pairs that it is in, so that no task gets more than such a part.
+    """
+    part = max(PAIRS_AT_ONCE, -(-total // HOT_SHARE))
+    joined = pairs
+    for side, other in (("a", "b"), ("b", "a")):
+        often = pairs.groupBy(F.col(side).alias("hot")).agg(F.count("*").alias("n")).filter(F.col("n") > part)
+        hot = F.broadcast(often.select("hot", F.ceil(F.col("n") / part).cast("int").alias("copies")))  # at most HOT_SHARE rows
+        dealt = joined.join(hot, F.col(side) == F.col("hot"), "left").withColumn(
+            "salt", F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1))).cast("int")
+        )
+        copied = sets.join(hot, F.col("node") == F.col("hot"), "left").select(
+            "node", F.col("hashes").alias(f"of_{side}"), F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("salt")
+        )
+        kept = [c for c in joined.columns]
+        joined = dealt.join(copied.withColumnRenamed("node", side), [side, "salt"]).select(*kept, f"of_{side}")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py()).view(np.int64) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
+            keep = []
+            for x, y in zip(batch.column("of_a"), batch.column("of_b"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                # Rounded, as 4 of 5 is not quite 0.8 in binary.
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = scratch.table(wanted.mapInArrow(hashed, "node long, hashes array<long>"), "sets").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    return joined.mapInArrow(alike, "a long, b long")
 
-    def compare(group: pa.Table) -> pa.Table:
-        nodes = group.column("node").to_numpy()
-        found = linked([np.asarray(h.values).view(np.uint64) for h in group.column("hashes")])
-        ends = np.array(found, np.int64).reshape(-1, 2)
-        return pa.table({"a": nodes[ends[:, 0]], "b": nodes[ends[:, 1]]})
 
-    return pairs.join(sets, "node").groupBy("bucket").applyInArrow(compare, "a long, b long")
+def roots(nodes: DataFrame, texts: DataFrame, tile: int = TILE) -> DataFrame:
+    """(node, root) of the nodes that are linked to others; ``nodes`` is a table (node, prints, size, row), ``texts`` has row and text."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py()).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "hashes"])
 
+    links, found, most = None, None, FIRST
+    state = nodes.withColumn("root", F.col("node")).withColumn("open", F.lit(True))
+    while True:
+        named = scratch.table(named_pairs(state, most, tile), "candidates")
+        pairs = named.filter("b is not null")
+        if total := pairs.count():
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row"), "node")
+            sets = texts.join(scratch.table(wanted, "wanted"), "row").select("node", "text").mapInArrow(hashed, "node long, hashes binary")
+            new = scratch.table(verified(pairs, scratch.table(sets, "sets"), total), "verified")
+            links = new if links is None else links.unionByName(new)
+            found = scratch.table(components(links), "roots")
+        more = scratch.table(named.filter("b is null").select(F.col("a").alias("node")).distinct().withColumn("open", F.lit(True)), "more")
+        if more.isEmpty():
+            break
+        most *= GROWTH
+        state = scratch.table(
+            nodes.join(more, "node", "left")
+            .join(found, "node", "left")
+            .select(*nodes.columns, F.coalesce("root", "node").alias("root"), F.coalesce("open", F.lit(False)).alias("open")),
+            "state",
+        )
+    return nodes.select("node", F.col("node").alias("root")).limit(0) if found is None else found
 
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
     """The rows of ``df`` that stay: of each component of near copies the one with the smallest id, with all its columns."""
-    node, bands, row = "node", "bands", "row"
-    while {node, bands, row} & set(df.columns):
-        node, bands, row = f"{node}_", f"{bands}_", f"{row}_"
-    rows = scratch.table(with_keys(df, text_col, node, bands).withColumn(row, F.monotonically_increasing_id()), "rows")
+    node, prints, size, row, goes = fresh(df.columns, "node", "prints", "size", "row", "goes")
+    rows = scratch.table(with_prints(df, text_col, node, prints, size).withColumn(row, F.monotonically_increasing_id()), "rows")
     # A row number settles ties between equal ids; null ids come after all others.
-    who = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
-    roots = scratch.table(components(links(rows, text_col, node, bands)), "roots").withColumnRenamed("node", "n")
-    firsts = rows.groupBy(F.col(node).alias("n")).agg(F.min(who).alias("who"))
-    groups = firsts.join(roots, "n", "left").groupBy(F.coalesce("root", "n").alias("root")).agg(F.min("who").alias("who"))
+    who = F.struct(quoted(id_col).isNull().alias("none"), quoted(id_col).alias("id"), quoted(row).alias("row"))
+    firsts = scratch.table(
+        rows.groupBy(quoted(node).alias("node"))
+        .agg(F.min(who).alias("who"), F.first(quoted(prints)).alias("prints"), F.first(quoted(size)).alias("size"))
+        .withColumn("row", F.col("who.row")),
+        "firsts",
+    )
+    texts = rows.select(quoted(row).alias("row"), quoted(text_col).alias("text"))
+    linked = roots(firsts.select("node", "prints", "size", "row"), texts, tile)
+    groups = firsts.join(linked, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("who").alias("who"))
     stay = groups.select(F.col("who.row").alias("stays"))
     # The rows that go are few where copies are; written, their size decides whether texts are shuffled to meet them.
-    gone = scratch.table(rows.select(row).join(stay, F.col(row) == F.col("stays"), "left_anti"), "gone")
-    return rows.join(gone, row, "left_anti").drop(node, bands, row)
+    gone = scratch.table(rows.select(quoted(row).alias(goes)).join(stay, quoted(goes) == F.col("stays"), "left_anti"), "gone")
+    return rows.join(gone, quoted(row) == quoted(goes), "left_anti").drop(node, prints, size, row)

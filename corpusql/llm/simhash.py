@@ -13,27 +13,32 @@ are joined into components.
 The work grows with the square of the number of distinct fingerprints, as the
 method implies; the counts of two halves leave about a third of the pairs.
 
-Defined results: null texts count as empty; a text without words has
-fingerprint 0 and is linked like any other; a null id takes part in its group
-but is nobody's component id unless the group has no other; an empty table
-gives an empty result.
+Defined results: null texts count as empty; a text without words, empty or
+blank, has fingerprint 0 and is linked like any other; a null id takes part in
+its group but is nobody's component id unless the group has no other; rows
+with equal ids, repeated rows too, are rows of their own; of very long texts a
+bounded number of shingles is hashed at once; a fingerprint that makes up any
+share of the rows is one of at most 1,024 hot ones, which are broadcast; an
+empty table gives an empty result; other columns, whatever their names and the
+case of these, are ignored by ``near_duplicates`` and passed on by
+``drop_near_duplicates``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField
 
 from corpusql.llm import scratch
+from corpusql.llm.columns import fresh, join_groups, quoted, with_columns
 from corpusql.llm.components import components
 
 TILE = 1 << 15
 BLOCK = 1 << 9
+HASHED = 1 << 16  # shingles of a text hashed at once
 SEED = 42
 
 
@@ -49,27 +54,23 @@ def fingerprint(text: str, shingle: int = 4) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     size = min(shingle, len(words))
-    spans = zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)
-    digests = b"".join([xxh64_digest(joined[a:b], SEED) for a, b in spans])
+    n = len(words) - size + 1
     set_by = np.zeros(64, np.int64)
-    rows = np.frombuffer(digests, np.uint8).reshape(-1, 8)
-    for at in range(0, len(rows), 1 << 16):
-        set_by += np.unpackbits(rows[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(2 * set_by > len(rows)).tobytes(), "big")
+    for at in range(0, n, HASHED):
+        spans = zip(starts[at : at + HASHED][: n - at].tolist(), ends[at + size - 1 : at + size - 1 + HASHED].tolist())  # noqa: B905
+        rows = np.frombuffer(b"".join([xxh64_digest(joined[a:b], SEED) for a, b in spans]), np.uint8).reshape(-1, 8)
+        set_by += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.uint32)
+    return int.from_bytes(np.packbits(2 * set_by > n).tobytes(), "big")
 
 
 def with_fingerprints(df: DataFrame, text_col: str, into: str, shingle: int) -> DataFrame:
     """Add the fingerprint as a signed long, without a shuffle."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.fromiter(
-                (fingerprint(t.as_py() or "", shingle) for t in batch.column(text_col)), np.uint64, batch.num_rows
-            )
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*batch.schema.names, into])
+    def prints(texts: pa.Array) -> list[pa.Array]:
+        found = np.fromiter((fingerprint(t.as_py() or "", shingle) for t in texts), np.uint64, len(texts))
+        return [pa.array(found.view(np.int64))]
 
-    schema = StructType([*df.schema.fields, StructField(into, LongType())])
-    return df.mapInArrow(run, schema)
+    return with_columns(df, text_col, [StructField(into, LongType())], lambda: prints)
 
 
 def _halves(prints: np.ndarray) -> np.ndarray:
@@ -184,26 +185,29 @@ def links(prints: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
 
 
 def _grouped(rows: DataFrame, radius: int) -> DataFrame:
-    """(fp, component) for the table rows (fp, who): the least ``who`` of each component, nulls last."""
+    """(fp, n, component) for the table rows (fp, who): its rows, and the least ``who`` of its component, nulls last."""
     least = F.min("who")  # skips null
-    prints = scratch.table(rows.groupBy("fp").agg(least.alias("first")), "fingerprints")
+    prints = scratch.table(rows.groupBy("fp").agg(least.alias("first"), F.count("*").alias("n")), "fingerprints")
     roots = scratch.table(components(links(prints, radius)), "roots")
     joined = prints.join(roots.withColumnRenamed("node", "fp"), "fp")
     leaders = joined.groupBy("root").agg(F.min("first").alias("leader"))
-    groups = joined.join(leaders, "root").select("fp", "leader", F.lit(True).alias("linked"))
-    return prints.join(groups, "fp", "left").select(
-        "fp", F.when(F.col("linked"), F.col("leader")).otherwise(F.col("first")).alias("component")
+    sizes = joined.groupBy("root").agg(F.count("*").alias("prints"))
+    linked = joined.select("fp", "root")
+    groups = join_groups(linked, leaders.join(sizes, "root"), "root", "prints", linked.count()).select("fp", "leader", F.lit(True).alias("linked"))
+    grouped = prints.join(groups, "fp", "left").select(
+        "fp", "n", F.when(F.col("linked"), F.col("leader")).otherwise(F.col("first")).alias("component")
     )
+    return scratch.table(grouped, "grouped")
 
 
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4
 ) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id."""
-    slim = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    slim = df.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
     rows = scratch.table(with_fingerprints(slim, "text", "fp", shingle).drop("text"), "rows")
     groups = _grouped(rows.select("fp", F.col("doc_id").alias("who")), radius)
-    return rows.join(groups, "fp").select(
+    return join_groups(rows, groups, "fp", "n", rows.count()).select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
@@ -214,15 +218,13 @@ def drop_near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4
 ) -> DataFrame:
     """The rows of ``df`` that stay: of each component the one with the smallest id, with all its columns."""
-    fp, row = "fp", "row"
-    while fp in df.columns or row in df.columns:
-        fp, row = f"{fp}_", f"{row}_"
+    fp, row, goes = fresh(df.columns, "fp", "row", "goes")
     marked = with_fingerprints(df, text_col, fp, shingle).withColumn(row, F.monotonically_increasing_id())
     rows = scratch.table(marked, "rows")
     # A row number settles ties between equal ids; null ids come after all others.
-    who = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
-    groups = _grouped(rows.select(F.col(fp).alias("fp"), who.alias("who")), radius)
+    who = F.struct(quoted(id_col).isNull().alias("none"), quoted(id_col).alias("id"), quoted(row).alias("row"))
+    groups = _grouped(rows.select(quoted(fp).alias("fp"), who.alias("who")), radius)
     stay = groups.select(F.col("component.row").alias("stays")).distinct()
     # The rows that go are few where copies are; written, their size decides whether texts are shuffled to meet them.
-    gone = scratch.table(rows.select(row).join(stay, F.col(row) == F.col("stays"), "left_anti"), "gone")
-    return rows.join(gone, row, "left_anti").drop(fp, row)
+    gone = scratch.table(rows.select(quoted(row).alias(goes)).join(stay, quoted(goes) == F.col("stays"), "left_anti"), "gone")
+    return rows.join(gone, quoted(row) == quoted(goes), "left_anti").drop(fp, row)
