@@ -9,9 +9,13 @@ follow-the-regularised-leader with an elastic-net penalty, which leaves most
 weights at zero. One sampled row in five is kept back to fit the temperature
 that divides the logits.
 
-Defined results: a null text, one without letters, and every text where
-nothing could be learnt get ``und`` and score 0; ties between languages go to
-the first by name.
+Defined results: a null or empty text, one without letters, and every text
+where nothing could be learnt, as in an empty table, get ``und`` and score 0;
+ties between languages go to the first by name; rows with a null lang or text
+are not learnt from; a null id is in the fold of the empty text; rows of equal
+id and text are one training row and are predicted each for itself, alike; very
+long texts are hashed whole, a slice at a time; other columns, whatever their
+names and the case of these, are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusql.llm.columns import fold
-from corpusql.llm.samples import labelled_sample
+from corpusql.llm.columns import fold, quoted
+from corpusql.llm.samples import labelled_sample, row_hash
 
 UNKNOWN = "und"
 BUCKET_BITS = 15
@@ -169,11 +173,11 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
 
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, held: int) -> Model:
     rows = (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+        docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), quoted(lang_col).alias("lang"))
         .filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
         .filter(fold(F.col("id"), folds) != held)
     )
-    keys = rows.select("id", "lang", F.octet_length("text").cast("long").alias("size"))
+    keys = rows.select("lang", row_hash().alias("h"), F.octet_length("text").cast("long").alias("size"))
     sample = labelled_sample(rows.select("id", "text"), keys, "lang", TRAIN_ROWS, TRAIN_BYTES)
     return train([r["text"] for r, _ in sample], [lang for _, lang in sample], inverse_frequencies(rows))
 
@@ -195,7 +199,7 @@ def languages(
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
         .mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
         .select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "lang_pred", "score")
     )
