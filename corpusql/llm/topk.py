@@ -9,7 +9,9 @@ k-th best score exceeds the next bound, so nothing that belongs to the result
 is left out.
 
 Blocks of queries meet blocks of vectors, each pair in one task that holds
-these two blocks only; a query's best of all blocks are then ranked.
+these two blocks only; a query's best of all blocks are then ranked. A block of
+vectors is copied once for each ``QUERY_BLOCK`` queries of its length, so what
+is shuffled grows with vectors times queries, as the work does.
 
 Pivots are chosen farthest-first from a sample of ``PIVOT_SAMPLE`` vectors;
 the sample affects speed alone.
@@ -17,8 +19,11 @@ the sample affects speed alone.
 Defined results: vectors that are null or hold a null or non-finite component,
 and rows with a null id, take no part; a vector meets those of its own length
 only; rows with equal ids are candidates and queries each for itself; a query
-without candidates has no rows. Scores outside the range of a long are cut to
-that range.
+without candidates has no rows; empty vectors meet each other with score 0; ties
+go to the smaller id; an empty table gives an empty result; very long vectors
+are held whole, a block of them at a time; other columns, whatever their names
+and the case of these, are ignored. Scores outside the range of a long are cut
+to that range.
 """
 
 from __future__ import annotations
@@ -29,12 +34,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusql.llm import scratch
+from corpusql.llm.columns import quoted
 
 SCALE = 1024
 PIVOTS = 24
 PIVOT_SAMPLE = 1_024
 BLOCK = 1 << 14
-QUERY_BLOCK = 1 << 9
+QUERY_BLOCK = 1 << 11
 CHUNK = 256  # candidates evaluated at once
 
 
@@ -108,7 +114,7 @@ def top_k(
     spark = df.sparkSession
     sound = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = (
-        df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
+        df.select(quoted(id_col).cast("long").alias("vec_id"), quoted(vector_col).cast("array<double>").alias("x"))
         .filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.forall("x", sound))
         .select(
             "vec_id",
@@ -128,6 +134,8 @@ def top_k(
     sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).select(
         "dim", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil(F.col("q") / QUERY_BLOCK).alias("query_blocks")
     )
+    # A row for each length of vector: met where the rows are, so that one length that all have is not dealt to one task.
+    sizes = F.broadcast(scratch.table(sizes, "sizes"))
     dealt = rows.join(sizes, "dim")
     deal = lambda n: F.pmod(F.xxhash64("row"), F.col(n))
     data = _packed(dealt.filter("query_blocks > 0").withColumn("b", deal("blocks")), "b", pivots)
