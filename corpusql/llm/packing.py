@@ -9,7 +9,10 @@ then meet the pieces again by rank: the r-th piece of a length takes the r-th
 place that the patterns have for that length.
 
 Defined results: a null text counts as empty, its document is the end token
-alone; documents of any length are cut; an empty table gives no pieces.
+alone; documents of any length are cut; rows with null or equal ids and
+repeated rows are documents of their own; pieces of one length take their
+places in an order that nothing else depends on; an empty table gives no
+pieces; other columns, whatever their names and the case of these, are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusql.llm import scratch
+from corpusql.llm.columns import quoted
 from corpusql.llm.tokens import ids
 
 #: A rank is counted within groups of about this many pieces.
@@ -55,7 +59,7 @@ def pieces(
             )
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+    return df.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text")).mapInArrow(
         cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
     )
 
@@ -116,14 +120,15 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]
 def _ranked(cut: DataFrame, longest_bar: int) -> DataFrame:
     """Add a gapless rank within each length, counted in salted groups so that no length meets in one task."""
     salts = max(1, -(-longest_bar // RANK_GROUP))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
+    # By the row's number in the written table, so that equal pieces too are spread.
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = (
         salted.groupBy("length", "salt")
         .agg(F.count("*").alias("n"))
         .select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ranks_before"))
     )
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
+    within = Window.partitionBy("length", "salt").orderBy("row")
     return salted.withColumn("rank", F.row_number().over(within) - 1).join(groups, ["length", "salt"]).withColumn(
         "rank", F.col("rank") + F.col("ranks_before")
     )
@@ -143,7 +148,8 @@ def pack(
     Sequence ids run from 0 without gaps, offsets within a sequence too.
     """
     spark = df.sparkSession
-    cut = scratch.table(pieces(df, id_col, text_col, tokenizer, ranks, end_id, max_tokens), "pieces")
+    cut = pieces(df, id_col, text_col, tokenizer, ranks, end_id, max_tokens)
+    cut = scratch.table(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # max_tokens rows at most
     table = spark.sparkContext.broadcast(places(pack_histogram(histogram, max_tokens)))
 

@@ -47,6 +47,29 @@ def test_pieces_have_the_texts_tokens(text, size):
     assert [i for p in parts for i in real(p)] == real(text)
 
 
+WORD_JSON = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aB9'.,  \n\té ſ漢s5_|<>。!\u0301"), max_size=60), st.integers(1, 9))
+def test_pieces_have_the_texts_tokens_in_words_with_ends(text, size):
+    whole = WORD_JSON.encode(text, add_special_tokens=False).ids
+    assert [i for p in safe_pieces(text, size) for i in WORD_JSON.encode(p, add_special_tokens=False).ids] == whole
+
+
+def test_rank_table_agrees_on_long_texts():
+    encoder, rng = ids("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"), random.Random(8)
+    kinds = ["abcdefgh", "ABCxyz", "0123456789", " ", "  \n\t", ".,;:!?-'\"()", "éüßøŁſƒɏ", "\x00\x1f\x7f\x85\xa0\xad"]
+    words = [w.decode(errors="ignore") for w in (b" the", b" and", b"'s", b"'LL", b"http://", b"\r\n", b"1,000.00", b"...")]
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(2_000, 8_000)):
+            kind = rng.choice(kinds)
+            parts.append(rng.choice(words) if rng.random() < 0.3 else "".join(rng.choice(kind) for _ in range(rng.randrange(1, 9))))
+        text = "".join(parts)
+        assert encoder.encode(text).tolist() == real(text)
+
+
 def test_rank_table_agrees_on_every_plain_character():
     encoder = ids("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
     for code in range(Ids.PLAIN):
