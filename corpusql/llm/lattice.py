@@ -3,7 +3,9 @@
 A word is read as the word mark and its characters. Its lattice has an arc for
 every piece that matches somewhere in it, and for a character outside the
 vocabulary an arc of the pieces of its UTF-8 bytes. A forward recursion in log
-space adds up all paths. Words of one length are computed together.
+space adds up all paths. Words of one length are computed together; a word too
+long for that is read a stretch at a time, with a band of as many positions
+held as the longest piece has.
 """
 
 from __future__ import annotations
@@ -48,7 +50,14 @@ class Vocabulary:
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
-    """Read a sentencepiece model. Its scores fall with a piece's rank; the prior falls as one over the rank."""
+    """Read a sentencepiece model and turn its scores into probabilities.
+
+    The scores of the vocabulary used here are minus the rank at which a piece
+    was merged, not logarithms. As frequencies of words fall about as one over
+    the rank, a piece of score s weighs 1 / (10 + largest score - s); the
+    weights, scaled to sum to one less a ten-thousandth for the bytes, are the
+    probabilities of the lattice's arcs.
+    """
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
@@ -89,7 +98,7 @@ class Lattice:
         order = np.argsort(sizes, kind="stable")
         edges = np.concatenate([[0], np.flatnonzero(np.diff(sizes[order])) + 1, [len(order)]])
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if a == b:
+            if a == b or self._is_long(int(sizes[order[a]])):
                 continue
             step = max(1, BATCH_CELLS // ((int(sizes[order[a]]) + 1) * self.vocabulary.longest))
             for at in range(a, b, step):
@@ -134,36 +143,37 @@ class Lattice:
             alpha[end] = self._sum([alpha[end - k] + logs[k - 1][end - k] for k in range(1, min(end, len(logs)) + 1)])
         return alpha
 
+    def _is_long(self, size: int) -> bool:
+        """Whether one word of so many characters has too many cells to be held."""
+        return (size + 1) * self.vocabulary.longest > BATCH_CELLS
+
+    def _marginal_of_long(self, word: str, stretch: int = 1 << 12) -> float:
+        """Log probability of one word of any length, in memory that its length does not add to."""
+        size, band = len(word) + 1, self.vocabulary.longest
+        reached = np.full(stretch + band, -np.inf)  # log probability of what ends at each position of the stretch
+        reached[0] = 0
+        for at in range(0, size, stretch):
+            start = MARK if at == 0 else ""
+            codes = _codes([start + word[max(0, at - 1) : at + stretch + band - 1 - len(start)]])
+            _, logs, _ = self._arcs(codes)
+            n = min(stretch, size - at)
+            arcs = np.full((n, band), -np.inf)
+            for k, log in enumerate(logs):
+                arcs[: len(log), k] = log[:n, 0]
+            for i in range(n):
+                ahead = reached[i + 1 : i + 1 + band]
+                np.logaddexp(ahead, reached[i] + arcs[i, : len(ahead)], out=ahead)
+            last = reached[n]
+            reached = np.concatenate([reached[stretch:], np.full(stretch, -np.inf)])
+        return float(last)
+
     def marginals(self, words: list[str]) -> np.ndarray:
         """Natural log probability of each word, summed over its segmentations."""
         out = np.zeros(len(words))
+        for i, word in enumerate(words):
+            if self._is_long(len(word)):
+                out[i] = self._marginal_of_long(word)
         for own, codes in self._batches(words):
             _, logs, _ = self._arcs(codes)
             out[own] = self._forward(logs, codes.shape[1], len(own))[-1]
         return out
-
-    def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
-        """Expected number of uses of each piece and byte in ``counts`` times each word."""
-        first = len(self.vocabulary.pieces)
-        total = np.zeros(first + 256)
-        for own, codes in self._batches(words):
-            rows, size = codes.shape
-            numbers, logs, spelt = self._arcs(codes)
-            alpha = self._forward(logs, size, rows)
-            beta = np.full((size + 1, rows), -np.inf)
-            beta[size] = 0
-            for start in range(size - 1, -1, -1):
-                beta[start] = self._sum([logs[k - 1][start] + beta[start + k] for k in range(1, min(size - start, len(logs)) + 1)])
-            weight = np.log(counts[own]) - alpha[size]
-            by_char = np.zeros(len(spelt))
-            for k, (number, log) in enumerate(zip(numbers, logs, strict=True), 1):
-                use = np.exp(alpha[: size - k + 1] + log + beta[k:] + weight)
-                there = number >= 0
-                total[:first] += np.bincount(number[there], weights=use[there], minlength=first)
-                if k == 1 and len(spelt):
-                    odd = number < -1
-                    by_char += np.bincount(-2 - number[odd], weights=use[odd], minlength=len(spelt))
-            for char, uses in zip(spelt, by_char, strict=True):
-                for b in chr(int(char)).encode("utf-8", "surrogatepass"):
-                    total[first + b] += uses
-        return total

@@ -1,21 +1,30 @@
-"""Language-model scores: subword lattices over an existing piece vocabulary, beside a word-count base.
+"""Language-model scores: subword lattices over an existing piece vocabulary, beside word counts of the corpus.
 
-The model draws each token of a text: the end, or a word. A word's probability
-is the sum over all segmentations into pieces of an existing vocabulary
-(``lattice``), plus one more arc over the whole word for words seen in
-training, whose discounted count it carries; the discount is the lattice's
-share. Piece probabilities start from the vocabulary's own scores and are
-re-estimated on all distinct training words by expectation-maximisation. All
-together sum to one over texts, white space aside.
+A text is a sequence of words and the end. ``score`` takes a word's probability
+as the sum over all its segmentations into pieces of the existing unigram
+vocabulary, weighted by the vocabulary's scores alone (``lattice``, which says
+how a score becomes a probability), and the end's from the number of documents
+and tokens learnt from; a text's probability is their product, so the marginal
+over all segmentations of the whole text.
 
-Words are counted over all training documents. At scoring time the words with
-the highest counts, ``FREQUENT`` at most, are looked up in each task; the rest
-are shuffled to their counts by word, so no table that grows with the corpus
-is broadcast.
+What the corpus teaches about words goes into further columns: ``base_score``,
+the add-one word model, and ``adapted_score``, in which a word seen in training
+has one more arc over the whole word that carries its discounted share of the
+training words, the discount being the lattice's share. Both models sum to one
+over texts, white space aside.
 
-Defined results: a null text counts as empty and is the end token alone; with
-no training document counts are 0 and the lattice alone scores; rows with
-equal ids are scored each for itself.
+Words are counted over all training documents. At scoring time the words with
+the highest counts, ``FREQUENT`` at most, are looked up in each task; the others
+are scored by the lattice where they are read and shuffled to their counts as
+64-bit hashes, so no table that grows with the corpus is broadcast and no word
+travels. Words of equal hash would share a count.
+
+Defined results: a null, empty or blank text is the end token alone; with no
+training document counts are 0 and the lattice alone scores; rows with null or
+equal ids and repeated rows are scored each for itself, alike, a null id in the
+fold of the empty text; very long texts are read whole, and of a very long word
+a band as wide as the longest piece is held; an empty table gives an empty
+result; other columns, whatever their names and the case of these, are ignored.
 """
 
 from __future__ import annotations
@@ -26,31 +35,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusql.llm import scratch
-from corpusql.llm.columns import fold
+from corpusql.llm.columns import fold, quoted
 from corpusql.llm.lattice import Lattice, vocabulary
 from corpusql.llm.tokens import tokenizer_file
 
 FREQUENT = 1 << 18
 FREQUENT_BYTES = 64  # longer words are never broadcast
-ROUNDS = 2
-PRIOR_USES = 1_000.0
-HELD_WORDS = 1 << 18  # distinct words a task counts before it passes them on
-
-
-def _larger(batches: Iterator[pa.RecordBatch], rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
-    """Batches of words joined until they have so many rows: lattices of many words are computed together."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= rows:
-            yield pa.concat_batches(held)
-            held = []
-    if held:
-        yield pa.concat_batches(held)
+HELD_WORDS = 1 << 18  # distinct words a task counts before it passes them on, or keeps the lattice's scores of
+HASH_SEED = 42  # that of the built-in xxhash64
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -84,13 +80,12 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """Counts that the formulas need, and piece probabilities."""
+    """Counts that the formulas need, and the vocabulary's file."""
 
     documents: int
     words: int
     distinct: int
     discount: float
-    probabilities: np.ndarray
     path: str
 
     @property
@@ -101,32 +96,38 @@ class Model:
     def types(self) -> int:
         return self.distinct + (self.documents > 0)
 
-    def base(self, counts: np.ndarray) -> np.ndarray:
-        """log10 of the add-one probability of tokens with these counts."""
-        return np.log10((counts + 1) / (self.tokens + self.types + 1))
-
-    def lattice(self) -> Lattice:
-        return Lattice(vocabulary(tokenizer_file(self.path)), self.probabilities)
-
+    @property
     def end(self) -> float:
         """Probability that the next token is the end."""
         return (self.documents + 1) / (self.tokens + 2)
 
-    def score(self, counts: np.ndarray, marginals: np.ndarray) -> np.ndarray:
-        """log10 probability of words with these counts and natural log lattice probabilities."""
-        whole = marginals
-        if self.words:
-            with np.errstate(divide="ignore"):
-                arc = np.log(np.where(counts > 0, counts - self.discount, 0) / self.words)
-            whole = np.logaddexp(arc, np.log(self.discount * self.distinct / self.words) + marginals)
-        return (whole + np.log1p(-self.end())) / np.log(10)
+    def lattice(self) -> Lattice:
+        known = vocabulary(tokenizer_file(self.path))
+        return Lattice(known, known.prior)
+
+    def base(self, c: Column) -> Column:
+        """log10 of the add-one probability of a token with this count."""
+        return F.log10((c + 1) / F.lit(float(self.tokens + self.types + 1)))
+
+    def score(self, marginal: Column) -> Column:
+        """log10 probability of a word whose lattice has this natural log probability."""
+        return (marginal + float(np.log1p(-self.end))) / float(np.log(10))
+
+    def adapted(self, c: Column, marginal: Column) -> Column:
+        """The same with the word's discounted count as one more arc."""
+        if not self.words:
+            return self.score(marginal)
+        left = F.lit(float(np.log(self.discount * self.distinct / self.words))) + marginal
+        arc = F.log((c - self.discount) / self.words)
+        most = F.greatest(left, F.coalesce(arc, left))
+        whole = most + F.log(F.exp(left - most) + F.coalesce(F.exp(arc - most), F.lit(0.0)))
+        return self.score(F.when(c > 0, whole).otherwise(left))
 
 
 def train(texts: DataFrame, vocabulary_path: str) -> tuple[Model, DataFrame]:
-    """The model and the table of word counts, over all rows of column ``text``."""
-    spark = texts.sparkSession
+    """The model and the table (word, c, h) of word counts and hashes, over all rows of column ``text``."""
     documents = texts.count()
-    counts = scratch.table(word_counts(texts), "word_counts")
+    counts = scratch.table(word_counts(texts).withColumn("h", F.xxhash64("word")), "word_counts")
     sums = counts.agg(
         F.coalesce(F.sum("c"), F.lit(0)).alias("words"),
         F.count("*").alias("distinct"),
@@ -134,30 +135,11 @@ def train(texts: DataFrame, vocabulary_path: str) -> tuple[Model, DataFrame]:
         F.count(F.when(F.col("c") == 2, 1)).alias("twice"),
     ).first()
     discount = min(0.95, max(0.05, sums["once"] / max(1, sums["once"] + 2 * sums["twice"])))
-    prior = vocabulary(tokenizer_file(vocabulary_path)).prior
-    model = Model(documents, sums["words"], sums["distinct"], discount, prior, vocabulary_path)
-    for _ in range(ROUNDS if sums["distinct"] else 0):
-        shared = spark.sparkContext.broadcast(model.probabilities)  # of the vocabulary's size
-
-        def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            lattice = Lattice(vocabulary(tokenizer_file(vocabulary_path)), shared.value)
-            total = np.zeros(len(shared.value))
-            for batch in _larger(batches):
-                words = batch.column(0).to_pylist()
-                total += lattice.expected(words, np.ones(len(words)))
-            where = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(total[where])], ["piece", "uses"])
-
-        found = counts.select("word").mapInArrow(expect, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
-        uses = prior * PRIOR_USES
-        for r in found.collect():  # a row for each piece at most
-            uses[r["piece"]] += r["uses"]
-        model.probabilities = uses / uses.sum()
-    return model, counts
-
-
-def _frequent(model: Model, counts: DataFrame) -> dict[bytes, tuple[float, float]]:
-    """Base and model log10 probabilities of the most frequent words, ``FREQUENT`` at most."""
+    return Model(documents, sums["words"], sums["distinct"], discount, vocabulary_path), counts
+
+
+def _frequent(model: Model, counts: DataFrame) -> dict[bytes, tuple[float, float, float]]:
+    """Base, score and adapted score of the most frequent words, ``FREQUENT`` at most."""
     bucket = F.floor(F.log2("c") * 8).cast("int")
     short = counts.filter(F.octet_length("word") <= FREQUENT_BYTES).withColumn("bucket", bucket)
     sizes = sorted(((r["bucket"], r["n"]) for r in short.groupBy("bucket").agg(F.count("*").alias("n")).collect()), reverse=True)
@@ -169,11 +151,18 @@ def _frequent(model: Model, counts: DataFrame) -> dict[bytes, tuple[float, float
         least = number
     if least is None:
         return {}
-    rows = short.filter(F.col("bucket") >= least).select("word", "c").toArrow()
-    words = rows.column("word").to_pylist()
-    c = rows.column("c").to_numpy()
-    scores = model.score(c, model.lattice().marginals(words))
-    return dict(zip((w.encode() for w in words), zip(model.base(c).tolist(), scores.tolist(), strict=True), strict=True))
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = model.lattice()
+        for batch in batches:
+            found = lattice.marginals(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], ["word", "c", "m"])
+
+    c, m = F.col("c"), F.col("m")
+    rated = short.filter(F.col("bucket") >= least).select("word", "c").mapInArrow(rate, "word string, c long, m double")
+    rows = rated.select("word", model.base(c).alias("b"), model.score(m).alias("s"), model.adapted(c, m).alias("a")).toArrow()
+    words, *values = (rows.column(name).to_pylist() for name in ("word", "b", "s", "a"))
+    return dict(zip((w.encode() for w in words), zip(*values, strict=True), strict=True))
 
 
 def score(
@@ -184,94 +173,92 @@ def score(
     folds: int = 7,
     held: int = 2,
 ) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and adapted_score (log10)."""
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    slim = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
     model, counts = train(slim.filter(fold(F.col("doc_id"), folds) != held), vocabulary_path)
     table = spark.sparkContext.broadcast(_frequent(model, counts))  # FREQUENT words of FREQUENT_BYTES at most
-    end_base, end_score = float(model.base(np.array(model.documents))), float(np.log10(model.end()))
+    end_base, end_score = float(np.log10((model.documents + 1) / (model.tokens + model.types + 1))), float(np.log10(model.end))
     end_known = int(model.documents > 0)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A summary row for each document, and one for each of its other words."""
-        get = table.value.get
+        """A summary row for each document, and one for each of its other words with the lattice's score of it."""
+        from xxhash import xxh64_intdigest
+
+        get, lattice = table.value.get, model.lattice()
+        scored: dict[bytes, tuple[int, float]] = {}  # hash and marginal of words that are not frequent
         for batch in batches:
             rows = batch.column(0).to_pylist()
+            bags = [Counter(words_of(t.as_py())) for t in batch.column(2)]
+            if len(scored) > HELD_WORDS:
+                scored.clear()
+            new = list({w for bag in bags for w in bag if w not in scored and get(w) is None})
+            found = lattice.marginals([w.decode() for w in new])
+            scored.update((w, (xxh64_intdigest(w, HASH_SEED), m)) for w, m in zip(new, found.tolist(), strict=True))
             # Rows of the output: place in the batch for summaries, else null; then the columns.
-            place, row, word, n, known, base, total = [], [], [], [], [], [], []
-            for i, text in enumerate(batch.column(2)):
-                tokens = words_of(text.as_py())
-                b, s, k = end_base, end_score, end_known
-                for w, times in Counter(tokens).items():
-                    if (found := get(w)) is not None:
-                        b += times * found[0]
-                        s += times * found[1]
+            place, row, h, n, known, base, total, adapted = [], [], [], [], [], [], [], []
+            for i, bag in enumerate(bags):
+                b, s, a, k = end_base, end_score, end_score, end_known
+                for w, times in bag.items():
+                    if (own := get(w)) is not None:
+                        b += times * own[0]
+                        s += times * own[1]
+                        a += times * own[2]
                         k += times
                     else:
+                        hashed, marginal = scored[w]
                         place.append(None)
                         row.append(rows[i])
-                        word.append(w)
+                        h.append(hashed)
                         n.append(times)
                         known.append(None)
                         base.append(None)
-                        total.append(None)
+                        total.append(marginal)
+                        adapted.append(None)
                 place.append(i)
                 row.append(rows[i])
-                word.append(None)
-                n.append(len(tokens) + 1)
+                h.append(None)
+                n.append(bag.total() + 1)
                 known.append(k)
                 base.append(b)
                 total.append(s)
+                adapted.append(a)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(row, pa.int64()),
                     batch.column(1).take(pa.array(place, pa.int64())),
-                    pa.array(word, pa.binary()).cast(pa.string()),
+                    pa.array(h, pa.uint64()).view(pa.int64()),
                     pa.array(n, pa.int64()),
                     pa.array(known, pa.int64()),
                     pa.array(base, pa.float64()),
                     pa.array(total, pa.float64()),
+                    pa.array(adapted, pa.float64()),
                 ],
-                ["row", "doc_id", "word", "n", "known", "base", "total"],
+                ["row", "doc_id", "h", "n", "known", "base", "total", "adapted"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     numbered = slim.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     marks = scratch.table(
-        numbered.mapInArrow(read, f"row long, doc_id {kind}, word string, n long, known long, base double, total double"), "marks"
+        numbered.mapInArrow(read, f"row long, doc_id {kind}, h long, n long, known long, base double, total double, adapted double"), "marks"
     )
-    shared = spark.sparkContext.broadcast(model)  # of the vocabulary's size
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Base and score of each row's word; equal words stand together and are computed once a batch."""
-        model = shared.value
-        lattice = model.lattice()
-        for batch in _larger(batches):
-            words = batch.column(1).dictionary_encode()
-            times, c = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            marginals = lattice.marginals(words.dictionary.to_pylist())[words.indices.to_numpy()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(np.where(c > 0, times, 0)),
-                    pa.array(times * model.base(c)),
-                    pa.array(times * model.score(c, marginals)),
-                ],
-                ["row", "known", "base", "total"],
-            )
-
+    hashed = counts.groupBy("h").agg(F.sum("c").alias("c"))
+    c, m, n = F.coalesce("c", F.lit(0)), F.col("total"), F.col("n")
     others = (
-        marks.filter(F.col("word").isNotNull())
-        .select("row", "word", "n")
-        .join(counts, "word", "left")
-        .select("row", "word", "n", F.coalesce("c", F.lit(0)).cast("long").alias("c"))
-        .mapInArrow(rate, "row long, known long, base double, total double")
+        marks.filter(F.col("h").isNotNull())
+        .select("row", "h", "n", "total")
+        .join(hashed, "h", "left")
         .groupBy("row")
-        .agg(F.sum("known").alias("k"), F.sum("base").alias("b"), F.sum("total").alias("t"))
+        .agg(
+            F.sum(F.when(c > 0, n).otherwise(0)).alias("k"),
+            F.sum(n * model.base(c)).alias("b"),
+            F.sum(n * model.score(m)).alias("t"),
+            F.sum(n * model.adapted(c, m)).alias("a"),
+        )
     )
     zero = F.lit(0)
     return (
-        marks.filter(F.col("word").isNull())
+        marks.filter(F.col("h").isNull())
         .join(others, "row", "left")
         .select(
             "doc_id",
@@ -281,5 +268,6 @@ def score(
             F.lit(model.tokens).cast("long").alias("train_tokens"),
             (F.col("base") + F.coalesce("b", zero)).alias("base_score"),
             (F.col("total") + F.coalesce("t", zero)).alias("score"),
+            (F.col("adapted") + F.coalesce("a", zero)).alias("adapted_score"),
         )
     )

@@ -2,6 +2,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -100,13 +101,13 @@ def test_windows_do_not_change_scores(monkeypatch):
     assert abs(toxicity.Scorer(model).raw(long)[0] - whole) < 1e-4
 
 
-def brute_lattice(model, text, table):
+def brute_lattice(text, table):
     if not text:
         return 1.0
-    p = model.probabilities
-    total = sum(p[table[text[:k]]] * brute_lattice(model, text[k:], table) for k in range(1, len(text) + 1) if text[:k] in table)
-    if text[0] not in table:
-        total += math.prod(p[len(table) + b] for b in text[0].encode()) * brute_lattice(model, text[1:], table)
+    p = table.prior
+    total = sum(p[table.number[text[:k]]] * brute_lattice(text[k:], table) for k in range(1, len(text) + 1) if text[:k] in table.number)
+    if text[0] not in table.number:
+        total += math.prod(p[len(table.number) + b] for b in text[0].encode()) * brute_lattice(text[1:], table)
     return total
 
 
@@ -121,13 +122,17 @@ def test_language_model_against_brute_force(make, monkeypatch, frequent):
     counts = Counter(w for i in train for w in words[i])
     n, v = sum(counts.values()) + len(train), len(counts) + 1
     model, _ = lm.train(df.select("text", "doc_id").filter(df.doc_id.isin(train)), "piece_bpe_32k.model")
-    table = {p: i for i, p in enumerate(vocabulary(public_tokenizers.path("piece_bpe_32k.model")).pieces)}
+    known = vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    table = SimpleNamespace(number={p: i for i, p in enumerate(known.pieces)}, prior=known.prior)
     end = (len(train) + 1) / (n + 2)
 
-    def word_score(w):
+    def marginal(w):
+        return brute_lattice(MARK + w.decode(), table)
+
+    def adapted(w):
         c = counts.get(w, 0)
         arc = max(c - model.discount, 0) / (n - len(train)) if c else 0.0
-        return math.log10((1 - end) * (arc + model.discount * len(counts) / (n - len(train)) * brute_lattice(model, MARK + w.decode(), table)))
+        return math.log10((1 - end) * (arc + model.discount * len(counts) / (n - len(train)) * marginal(w)))
 
     found = lm.score(df).collect()
     assert len(found) == len(rows)
@@ -137,24 +142,27 @@ def test_language_model_against_brute_force(make, monkeypatch, frequent):
         assert r.n_known == sum(w in counts for w in own) + 1
         base = sum(math.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in own) + math.log10((len(train) + 1) / (n + v + 1))
         assert r.base_score == pytest.approx(base)
-        assert r.score == pytest.approx(sum(map(word_score, own)) + math.log10(end), rel=1e-6)
+        assert r.score == pytest.approx(sum(math.log10((1 - end) * marginal(w)) for w in own) + math.log10(end), rel=1e-6)
+        assert r.adapted_score == pytest.approx(sum(map(adapted, own)) + math.log10(end), rel=1e-6)
+
+
+def test_lattice_is_a_distribution():
+    known = vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    assert known.prior.sum() == pytest.approx(1) and known.prior.min() > 0
 
 
-def test_lattice_is_a_distribution_and_learns():
+def test_long_words_are_scored_in_a_band(monkeypatch):
     known = vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
-    assert known.prior.sum() == pytest.approx(1)
-    words, counts = ["there", "then", "the", "qué"], np.array([5.0, 2.0, 9.0, 1.0])
-    before = Lattice(known, known.prior)
-    uses = before.expected(words, counts)
-    after = Lattice(known, (uses + known.prior) / (uses + known.prior).sum())
-    assert (after.marginals(words) * counts).sum() > (before.marginals(words) * counts).sum()
-    # Each word is covered exactly once: uses times piece lengths give its characters.
-    sizes = np.array([len(p) for p in known.pieces])
-    assert (uses[: len(sizes)] * sizes).sum() == pytest.approx(sum(c * (len(w) + 1) for w, c in zip(words, counts, strict=True)))
+    lattice, rng = Lattice(known, known.prior), random.Random(3)
+    words = ["".join(rng.choice("abcdeng漢é𝔘") for _ in range(n)) for n in (1, 2, 40, 64, 65, 300)]
+    whole = lattice.marginals(words)
+    assert [lattice._marginal_of_long(w, stretch=64) for w in words] == pytest.approx(whole.tolist())
+    monkeypatch.setattr("corpusql.llm.lattice.BATCH_CELLS", 20 * known.longest)
+    assert lattice.marginals(words) == pytest.approx(whole)
 
 
 def test_language_model_of_awkward_rows(awkward, nothing):
     found = lm.score(awkward).collect()
     assert len(found) == awkward.count()
-    assert all(r.score < 0 and math.isfinite(r.score) for r in found)
+    assert all(r.score < 0 and math.isfinite(r.score) and math.isfinite(r.adapted_score) for r in found)
     assert lm.score(nothing).count() == 0
