@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: A word is a maximal run of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,6 +57,25 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def with_columns(df: DataFrame, column: str, added: list[StructField], make: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
+    """Add columns computed from batches of one column, without a shuffle.
+
+    ``make`` is called once in each task and gives the function of a batch.
+    Columns go through Arrow under plain names, whatever theirs are.
+    """
+    at, new = df.columns.index(column), [f.name for f in added]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *compute(batch.column(at))], [*batch.schema.names, *places])
+
+    plain = [StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema.fields)]
+    places = [f"n{i}" for i in range(len(added))]
+    schema = StructType([*plain, *(StructField(name, f.dataType) for name, f in zip(places, added, strict=True))])
+    return df.toDF(*[f.name for f in plain]).mapInArrow(run, schema).toDF(*df.columns, *new)
+
+
 #: A key of more than one row in so many is hot; there are at most as many hot keys.
 HOT_SHARE = 1 << 10
 

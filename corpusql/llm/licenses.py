@@ -21,8 +21,10 @@ without any anchor cannot come near it. The filter drops no match.
 Defined results: null and empty texts have no licence of their own; ties go to
 the first licence by name, then the smaller path; of several licence files of
 one directory the nearest to its template counts, ties to the smaller path; a
-null path is in no directory and inherits nothing; an empty table gives an
-empty result.
+null path is in no directory and inherits nothing; rows with null or equal ids
+or paths and repeated rows are files of their own; very long texts are read
+whole, in sentences and as one; an empty table gives an empty result; other
+columns, whatever their names and the case of these, are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusql.llm import scratch
+from corpusql.llm.columns import quoted
 from corpusql.llm.license_texts import BODIES
 
 THRESHOLD = 0.8
@@ -185,7 +188,7 @@ def license_scan(
 ) -> DataFrame:
     """One row per file: doc_id, path, license, similarity, origin (own, inherited or null) and from_path."""
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.col(text_col).alias("text"))
+    slim = docs.select(quoted(id_col).alias("doc_id"), path.alias("path"), quoted(text_col).alias("text"))
     forms = [(number, license_, _term_counts(notice)) for number, (license_, notice) in enumerate(templates())]
     vocabulary = sorted({t for _, _, tf in forms for t in tf})
     idf, other, total = inverse_frequencies(slim, vocabulary)
