@@ -3,23 +3,23 @@
 Every text is the set of its hashed shingles; texts with equal sets are merged
 first. A set's SimHash has ``BITS`` bits, wide enough that similarity and
 chance lie far apart: sets at similarity 0.8 differ in 48 bits at most on
-average, strangers in 128, and ``RADIUS`` lies seven deviations from the one
-and six from the other; of pairs at 0.8 it misses about one in 100,000, of more
-similar ones fewer. As in ``simhash``, fingerprints are cut into tiles, pairs
+average (39 beyond a few shingles), strangers in 128, and the radius lies some
+five deviations from the one and more from the other; of pairs at 0.8 it misses
+about one in 100,000, of more similar ones fewer. As in ``simhash``, fingerprints are cut into tiles, pairs
 of tiles meet in one task and are compared block by block with exclusive-or
 and bit counts. Tile pairs whose population counts differ beyond the radius
 are skipped, and so are tiles and blocks whose numbers of shingles alone rule
 similarity out, which leaves about one pair in ten. The work still grows with
 the square of the number of distinct sets, as the method implies.
 
-What the fingerprints bring together is then verified: a pair is linked if the
-similarity of its whole shingle sets is ``SIMILARITY`` or more. A large group
-of near copies would give all its pairs to verify. Each set therefore names
-its ``FIRST`` nearest candidates of a tile only, those are verified and joined
-to components, and where a set had more candidates it names eight times as
-many in the next round, leaving out those that its component holds by then.
-Rounds end when no set has more: every candidate pair was verified or lies
-within one component, so no link between components is lost.
+A tile pair's candidates are passed on as links to one representative per local
+group, at most one per set, and joined into candidate components. Within such a
+component the whole shingle sets are compared exactly: its members are cut into
+parts of about ``PART`` shingles, and each pair of parts meets in one task, which
+counts the shingles that a member shares with all others at once and links
+those at ``SIMILARITY`` or more, again with at most one link per member. So no
+list of pairs exists anywhere, however large a group of near copies is; a set
+is copied once for each part of its component.
 
 Defined results: null texts count as empty; texts without words are copies of
 each other; a text of fewer than five words is one shingle; upper and lower
@@ -40,19 +40,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField
 
 from corpusql.llm import scratch
-from corpusql.llm.columns import HOT_SHARE, fresh, quoted, with_columns
+from corpusql.llm.columns import fresh, join_groups, quoted, with_columns
 from corpusql.llm.components import components
+from corpusql.llm.simhash import merged
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BITS, RADIUS = 256, 80
+BITS, RADIUS = 256, 66
+FEW, FEW_RADIUS = 8, 80  # for sets of up to so many shingles, whose bits vary more
 COARSE_RADIUS = 44  # of the first half of the bits, which is compared for all pairs
 TILE = 1 << 15
 BLOCK = 1 << 9
-FIRST = 4
-GROWTH = 8
+PART = 1 << 20
 SIZE_STEPS = 4  # size classes to a factor of 1 / SIMILARITY
-PAIRS_AT_ONCE = 64  # of one set, that a task verifies before they are split
+HEAVY = 16  # a shingle of one member in so many is counted in a dense table
 SEED = 42
 
 _WORDS = BITS // 64
@@ -108,37 +109,23 @@ def _too_far(low_a, high_a, low_b, high_b, similarity: float):
 
 
 class _Side:
-    """Members of one tile in order of size: fingerprint words, sizes, nodes, components and whether they look for more."""
+    """Members of one tile in order of size: fingerprint words, sizes and nodes."""
 
     def __init__(self, members: pa.StructArray):
         part = {f.name: members.field(f.name) for f in members.type}
-        self.sizes = part["size"].to_numpy()
-        # Nodes settle ties, so that a tile's order is the same in every round.
-        order = np.lexsort((part["node"].to_numpy(), self.sizes))
+        order = np.argsort(part["size"].to_numpy(), kind="stable")
         words = np.frombuffer(b"".join(part["prints"].to_pylist()), np.uint64).reshape(-1, _WORDS)
-        self.sizes, self.words = self.sizes[order], np.ascontiguousarray(words[order].T)
-        self.nodes, self.roots = (part[name].to_numpy()[order] for name in ("node", "root"))
-        self.open = part["open"].to_numpy(zero_copy_only=False)[order]
+        self.words = np.ascontiguousarray(words[order].T)
+        self.sizes, self.nodes = (part[name].to_numpy()[order] for name in ("size", "node"))
 
 
-def _nearest(best: list[np.ndarray], most: int) -> list[np.ndarray]:
-    """Of entries (row, key, partner) each row's ``most`` with the smallest keys."""
-    order = np.lexsort((best[1], best[0]))
-    row = best[0][order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    return [x[order[place < most]] for x in best]
-
-
-def candidates(a: _Side, b: _Side | None, most: int, similarity: float = SIMILARITY, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs of a tile with another, or with itself, and the nodes of ``a`` that have more than ``most``."""
+def candidate_links(a: _Side, b: _Side | None, similarity: float = SIMILARITY, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Links (member, representative) that join what may be similar in a pair of tiles, or in one tile."""
     own, b = b is None, a if b is None else b
-    pairs_a, pairs_b, more = [], [], []
+    nodes, shift = (a.nodes, 0) if own else (np.concatenate([a.nodes, b.nodes]), len(a.nodes))
+    label = np.arange(len(nodes))
     for i in range(0, len(a.nodes), block):
-        if not a.open[i : i + block].any():
-            continue
         rows = min(block, len(a.nodes) - i)
-        best = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
-        count, last = np.zeros(rows, np.int64), np.full(rows, np.inf)
         for j in range(i if own else 0, len(b.nodes), block):
             end = min(j + block, len(b.nodes))
             if _too_far(a.sizes[i], a.sizes[i + rows - 1], b.sizes[j], b.sizes[end - 1], similarity):
@@ -147,31 +134,50 @@ def candidates(a: _Side, b: _Side | None, most: int, similarity: float = SIMILAR
             for w in range(1, _WORDS // 2):
                 apart += np.bitwise_count(a.words[w, i : i + rows, None] ^ b.words[w, None, j:end])
             p, q = np.nonzero(apart <= COARSE_RADIUS)
+            differ = label[p + i] != label[q + j + shift]
+            p, q = p[differ], q[differ]
             if not len(p):
                 continue
             small, large = np.minimum(a.sizes[p + i], b.sizes[q + j]), np.maximum(a.sizes[p + i], b.sizes[q + j])
-            keep = a.open[p + i] & (a.roots[p + i] != b.roots[q + j]) & (small >= similarity * large - 1e-9)
-            if own and i == j:
-                keep &= p < q
-            p, q = p[keep], q[keep]
             d = apart[p, q].astype(np.int64)
             for w in range(_WORDS // 2, _WORDS):
                 d += np.bitwise_count(a.words[w, p + i] ^ b.words[w, q + j])
-            keep = d <= RADIUS
-            p, q, d = p[keep], q[keep], d[keep]
-            count += np.bincount(p, minlength=rows)
-            # Equal distances are settled at random, so that not all of a group name the same one.
-            tie = ((a.nodes[p + i] ^ b.nodes[q + j]).view(np.uint64) * _FACTOR >> np.uint64(32)) / 2.0**32
-            keep = d + tie < last[p]
-            best = _nearest([np.concatenate(x) for x in zip(best, (p[keep], (d + tie)[keep], q[keep] + j), strict=True)], most)
-            full = np.bincount(best[0], minlength=rows) == most
-            largest = np.full(rows, -np.inf)
-            np.maximum.at(largest, best[0], best[1])
-            last = np.where(full, largest, np.inf)
-        pairs_a.append(a.nodes[best[0] + i])
-        pairs_b.append(b.nodes[best[2]])
-        more.append(a.nodes[i : i + rows][count > most])
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (pairs_a, pairs_b, more))
+            near = (d <= np.where(small <= FEW, FEW_RADIUS, RADIUS)) & (small >= similarity * large - 1e-9)
+            label = merged(label, p[near] + i, q[near] + j + shift)
+    member = np.flatnonzero(label != np.arange(len(label)))
+    return nodes[member], nodes[label[member]]
+
+
+def exact_links(a: list[np.ndarray], b: list[np.ndarray] | None, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Links (member, representative), numbered through ``a`` and then ``b``, that join all sets so similar in two parts, or in one."""
+    right, shift = (a, 0) if b is None else (b, len(a))
+    label = np.arange(len(a) + (0 if b is None else len(b)))
+    n = len(right)
+    sizes = np.array([len(x) for x in right], np.int64)
+    known, place = np.unique(np.concatenate(right), return_inverse=True)
+    owner = np.repeat(np.arange(n), sizes)[np.argsort(place, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(known)))])
+    often = np.flatnonzero(np.diff(first) * HEAVY > n)  # HEAVY times the mean size at most
+    row = np.full(len(known), -1)
+    row[often] = np.arange(len(often))
+    table = np.zeros((len(often), n), np.uint8)
+    for k, which in enumerate(often):
+        table[k, owner[first[which] : first[which + 1]]] = 1
+    for i, own in enumerate(a):
+        at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+        at = at[known[at] == own] if len(known) else at[:0]
+        heavy = row[at]
+        both = table[heavy[heavy >= 0]].sum(axis=0, dtype=np.int64)
+        light = at[heavy < 0]
+        counts = first[light + 1] - first[light]
+        if len(light):
+            runs = np.arange(counts.sum()) + np.repeat(first[light] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
+            both += np.bincount(owner[runs], minlength=n)
+        # Rounded, as 4 of 5 is not quite 0.8 in binary.
+        near = np.flatnonzero(both >= similarity * (sizes + len(own) - both) - 1e-9)
+        label = merged(label, np.full(len(near), i), near + shift)
+    member = np.flatnonzero(label != np.arange(len(label)))
+    return member, label[member]
 
 
 def _tile_plan(cells: list[tuple], tile: int) -> tuple[list[tuple], list[tuple]]:
@@ -189,7 +195,7 @@ def _tile_plan(cells: list[tuple], tile: int) -> tuple[list[tuple], list[tuple]]
         (i, j, b[4])
         for i, a in enumerate(groups)
         for j, b in enumerate(groups)
-        if a[0] - SIZE_STEPS <= b[1] and b[0] - SIZE_STEPS <= a[1] and max(a[2] - b[3], b[2] - a[3]) <= RADIUS
+        if a[0] - SIZE_STEPS <= b[1] and b[0] - SIZE_STEPS <= a[1] and max(a[2] - b[3], b[2] - a[3]) <= FEW_RADIUS
     ]
     return [(step, g, groups[g][4]) for step, g in where], meet
 
@@ -200,8 +206,8 @@ def _size_class(size: Column) -> Column:
     return F.when(size == 0, -2 * SIZE_STEPS).otherwise(F.floor(F.log(size.cast("double") + 1e-9) / step)).cast("int")
 
 
-def named_pairs(nodes: DataFrame, most: int, tile: int = TILE) -> DataFrame:
-    """Candidate pairs (a, b), and a row (a, null) for each node with more, of the table (node, prints, size, root, open)."""
+def candidates(nodes: DataFrame, tile: int = TILE) -> DataFrame:
+    """Links (a, b) between nodes of the table (node, prints, size) that join all whose sets may be similar."""
     spark = nodes.sparkSession
     bits = nodes.withColumn("step", _size_class(F.col("size")))
     ones = F.length(F.regexp_replace(F.conv(F.hex(F.substring("prints", 1, 4)), 16, 2), "0", ""))
@@ -218,91 +224,63 @@ def named_pairs(nodes: DataFrame, most: int, tile: int = TILE) -> DataFrame:
         bits.join(F.broadcast(placed), "step")  # a row for each class
         .withColumn("s", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
         .groupBy("g", "s")
-        .agg(F.collect_list(F.struct("node", "prints", "size", "root", "open")).alias("members"))
+        .agg(F.collect_list(F.struct("node", "prints", "size")).alias("members"))
     )
     pairs = (
         tiles.join(F.broadcast(partners), "g")  # classes by classes at most
         .withColumn("t", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-        .select(F.least(own, other).alias("first"), F.greatest(own, other).alias("second"), own.alias("side"), "members")
+        .select(F.least(own, other).alias("first"), F.greatest(own, other).alias("second"), "members")
     )
 
     def compare(group: pa.Table) -> pa.Table:
-        # The smaller tile number is the left side in every round: it answers for the pairs.
-        group = group.take(np.argsort([(s["g"] << 32) + s["s"] for s in group.column("side").to_pylist()]))
         sides = [_Side(m.values) for m in group.column("members")]
-        a, b, more = candidates(sides[0], sides[1] if len(sides) > 1 else None, most)
-        nothing = pa.nulls(len(more), pa.int64())
-        return pa.table({"a": np.concatenate([a, more]), "b": pa.concat_arrays([pa.array(b, pa.int64()), nothing])})
+        member, representative = candidate_links(sides[0], sides[1] if len(sides) > 1 else None)
+        return pa.table({"a": member, "b": representative})
 
     return pairs.groupBy("first", "second").applyInArrow(compare, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, total: int, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose sets, rows (node, hashes) of ``sets``, are so similar.
-
-    A set in many of the pairs is copied, once for each ``HOT_SHARE``-th part
-    of all pairs that it is in, so that no task gets more than such a part.
-    """
-    part = max(PAIRS_AT_ONCE, -(-total // HOT_SHARE))
-    joined = pairs
-    for side, other in (("a", "b"), ("b", "a")):
-        often = pairs.groupBy(F.col(side).alias("hot")).agg(F.count("*").alias("n")).filter(F.col("n") > part)
-        hot = F.broadcast(often.select("hot", F.ceil(F.col("n") / part).cast("int").alias("copies")))  # at most HOT_SHARE rows
-        dealt = joined.join(hot, F.col(side) == F.col("hot"), "left").withColumn(
-            "salt", F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1))).cast("int")
-        )
-        copied = sets.join(hot, F.col("node") == F.col("hot"), "left").select(
-            "node", F.col("hashes").alias(f"of_{side}"), F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("salt")
-        )
-        kept = [c for c in joined.columns]
-        joined = dealt.join(copied.withColumnRenamed("node", side), [side, "salt"]).select(*kept, f"of_{side}")
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def verified(members: DataFrame, texts: DataFrame, part: int = PART) -> DataFrame:
+    """Links (a, b) between the members (node, root, size, row) of candidate components that join all who are similar."""
+    sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.sum("size") / part).cast("int").alias("parts"))
+    parted = join_groups(members, scratch.table(sizes, "sizes"), "root", "n", members.count()).select(
+        "root", "node", "row", "parts", F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1))).cast("int").alias("part")
+    )
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("of_a"), batch.column("of_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                # Rounded, as 4 of 5 is not quite 0.8 in binary.
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            sets = [shingles(t.as_py()).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], ["root", "node", "parts", "part", "hashes"])
+
+    wanted = texts.join(scratch.table(parted, "parted"), "row").select("root", "node", "parts", "part", "text")
+    sets = scratch.table(wanted.mapInArrow(hashed, "root long, node long, parts int, part int, hashes binary"), "sets")
+    other = F.explode(F.sequence(F.lit(0), F.greatest("parts", F.lit(1)) - 1)).alias("other")
+    pairs = sets.select("root", "node", "part", "hashes", other).select(
+        "root", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"), "part", "node", "hashes"
+    )
+
+    def compare(group: pa.Table) -> pa.Table:
+        part = group.column("part").to_numpy()
+        order = np.argsort(part, kind="stable")
+        nodes = group.column("node").to_numpy()[order]
+        # A table's columns of bytes may be in several pieces; sets are read one by one.
+        held = group.column("hashes").to_pylist()
+        sets = [np.frombuffer(held[i], np.uint64) for i in order]
+        cut = int(np.searchsorted(part[order], part[order][0], side="right"))
+        member, representative = exact_links(sets[:cut], sets[cut:] if cut < len(sets) else None)
+        return pa.table({"a": nodes[member], "b": nodes[representative]})
 
-    return joined.mapInArrow(alike, "a long, b long")
+    return pairs.groupBy("root", "first", "second").applyInArrow(compare, "a long, b long")
 
 
-def roots(nodes: DataFrame, texts: DataFrame, tile: int = TILE) -> DataFrame:
+def roots(nodes: DataFrame, texts: DataFrame, tile: int = TILE, part: int = PART) -> DataFrame:
     """(node, root) of the nodes that are linked to others; ``nodes`` is a table (node, prints, size, row), ``texts`` has row and text."""
+    near = scratch.table(components(candidates(nodes, tile)), "candidates")
+    members = scratch.table(near.join(nodes.select("node", "size", "row"), "node"), "members")
+    return scratch.table(components(verified(members, texts, part)), "roots")
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t.as_py()).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "hashes"])
-
-    links, found, most = None, None, FIRST
-    state = nodes.withColumn("root", F.col("node")).withColumn("open", F.lit(True))
-    while True:
-        named = scratch.table(named_pairs(state, most, tile), "candidates")
-        pairs = named.filter("b is not null")
-        if total := pairs.count():
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row"), "node")
-            sets = texts.join(scratch.table(wanted, "wanted"), "row").select("node", "text").mapInArrow(hashed, "node long, hashes binary")
-            new = scratch.table(verified(pairs, scratch.table(sets, "sets"), total), "verified")
-            links = new if links is None else links.unionByName(new)
-            found = scratch.table(components(links), "roots")
-        more = scratch.table(named.filter("b is null").select(F.col("a").alias("node")).distinct().withColumn("open", F.lit(True)), "more")
-        if more.isEmpty():
-            break
-        most *= GROWTH
-        state = scratch.table(
-            nodes.join(more, "node", "left")
-            .join(found, "node", "left")
-            .select(*nodes.columns, F.coalesce("root", "node").alias("root"), F.coalesce("open", F.lit(False)).alias("open")),
-            "state",
-        )
-    return nodes.select("node", F.col("node").alias("root")).limit(0) if found is None else found
-
-
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE, part: int = PART) -> DataFrame:
     """The rows of ``df`` that stay: of each component of near copies the one with the smallest id, with all its columns."""
     node, prints, size, row, goes = fresh(df.columns, "node", "prints", "size", "row", "goes")
     rows = scratch.table(with_prints(df, text_col, node, prints, size).withColumn(row, F.monotonically_increasing_id()), "rows")
@@ -315,7 +293,7 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "firsts",
     )
     texts = rows.select(quoted(row).alias("row"), quoted(text_col).alias("text"))
-    linked = roots(firsts.select("node", "prints", "size", "row"), texts, tile)
+    linked = roots(firsts.select("node", "prints", "size", "row"), texts, tile, part)
     groups = firsts.join(linked, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("who").alias("who"))
     stay = groups.select(F.col("who.row").alias("stays"))
     # The rows that go are few where copies are; written, their size decides whether texts are shuffled to meet them.

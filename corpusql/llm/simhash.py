@@ -84,7 +84,7 @@ def _apart(low_a: np.ndarray, high_a: np.ndarray, low_b: np.ndarray, high_b: np.
     return gap.sum(axis=0)
 
 
-def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Labels after linking members i and j; a label is the least member of its group."""
     while True:
         a, b = label[i], label[j]
@@ -124,7 +124,7 @@ def linked(left: np.ndarray, right: np.ndarray | None, radius: int, block: int =
             np.fill_diagonal(close, False)
         if close.any():
             p, q = np.nonzero(close)
-            label = _merge(label, p + i, q + j + shift)
+            label = merged(label, p + i, q + j + shift)
     member = np.flatnonzero(label != np.arange(len(label)))
     return members[member], members[label[member]]
 

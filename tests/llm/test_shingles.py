@@ -51,22 +51,20 @@ def test_awkward_rows(awkward, nothing):
     assert N.drop_near_copies(nothing).count() == 0
 
 
-def test_small_tiles_and_many_rounds_lose_nothing(spark, make, monkeypatch):
+def test_small_tiles_and_parts_lose_nothing(spark, make):
     from conftest import rows_of
 
-    monkeypatch.setattr(N, "FIRST", 1)
-    monkeypatch.setattr(N, "GROWTH", 2)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(300)]
     base, texts = [rng.choice(words) for _ in range(120)], []
-    for _ in range(90):  # one group of which each has many candidates, beside others of like length
+    for _ in range(90):  # one group of many candidates, beside others of like length
         own = list(base)
         for _ in range(rng.randrange(4)):
             own[rng.randrange(len(own))] = rng.choice(words)
         texts.append(" ".join(own))
         texts.append(" ".join(rng.choice(words) for _ in range(rng.randrange(90, 140))))
     expected = kept(texts)
-    assert sorted(r.doc_id for r in N.drop_near_copies(make(rows_of(texts)), tile=25).collect()) == expected
+    assert sorted(r.doc_id for r in N.drop_near_copies(make(rows_of(texts)), tile=25, part=1_500).collect()) == expected
 
 
 def test_fingerprints_of_similar_sets_lie_within_the_radius():
@@ -78,7 +76,7 @@ def test_fingerprints_of_similar_sets_lie_within_the_radius():
         for _ in range(40):
             hashes = rng.integers(0, 2**64, n, dtype=np.uint64)
             similar, other = hashes[: n - n // 5], rng.integers(0, 2**64, n, dtype=np.uint64)
-            assert bits(N.wide_print(hashes), N.wide_print(similar)) <= N.RADIUS < bits(N.wide_print(hashes), N.wide_print(other))
+            assert bits(N.wide_print(hashes), N.wide_print(similar)) <= (N.FEW_RADIUS if n <= N.FEW else N.RADIUS) < bits(N.wide_print(hashes), N.wide_print(other))
 
 
 def test_size_classes_lose_no_pair(spark):
@@ -88,3 +86,13 @@ def test_size_classes_lose_no_pair(spark):
     rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", N._size_class(F.col("n")).alias("c")).collect()
     step = {r.n: r.c for r in rows}
     assert all(abs(step[a] - step[b]) <= N.SIZE_STEPS for a in sizes for b in sizes if 0 < a <= b and a >= 0.8 * b)
+
+
+def test_links_of_a_chain():
+    import numpy as np
+
+    sets = [np.arange(i, i + 50, dtype=np.uint64) for i in range(0, 40, 2)]
+    assert len(N.exact_links(sets, None)[0]) == len(sets) - 1
+    assert len(N.exact_links([sets[0], sets[-1]], None)[0]) == 0
+    member, representative = N.exact_links([np.arange(4, dtype=np.uint64)], [np.arange(5, dtype=np.uint64)])
+    assert (member.tolist(), representative.tolist()) == ([1], [0])
