@@ -18,7 +18,7 @@ component the whole shingle sets are compared exactly: its members are cut into
 parts of about ``PART`` shingles, and each pair of parts meets in one task, which
 counts the shingles that a member shares with all others at once and links
 those at ``SIMILARITY`` or more, again with at most one link per member. So no
-list of pairs exists anywhere, however large a group of near copies is; a set
+list of pairs exists anywhere, however large a group of near copies is; a text
 is copied once for each part of its component.
 
 Defined results: null texts count as empty; texts without words are copies of
@@ -42,6 +42,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField
 from corpusql.llm import scratch
 from corpusql.llm.columns import fresh, join_groups, quoted, with_columns
 from corpusql.llm.components import components
+from corpusql.llm.exact_dedup import may_hold, without
 from corpusql.llm.simhash import merged
 
 SHINGLE = 5
@@ -247,25 +248,20 @@ def verified(members: DataFrame, texts: DataFrame, part: int = PART) -> DataFram
         "root", "node", "row", "parts", F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1))).cast("int").alias("part")
     )
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t.as_py()).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], ["root", "node", "parts", "part", "hashes"])
-
-    wanted = texts.join(scratch.table(parted, "parted"), "row").select("root", "node", "parts", "part", "text")
-    sets = scratch.table(wanted.mapInArrow(hashed, "root long, node long, parts int, part int, hashes binary"), "sets")
+    # Texts travel, not sets: they are smaller and compress.
+    parted = scratch.table(parted, "parted")
+    maybe = may_hold(texts, F.col("row"), parted.select("row"), "maybe").filter("maybe")
+    wanted = maybe.join(parted, "row").select("root", "node", "parts", "part", "text")
     other = F.explode(F.sequence(F.lit(0), F.greatest("parts", F.lit(1)) - 1)).alias("other")
-    pairs = sets.select("root", "node", "part", "hashes", other).select(
-        "root", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"), "part", "node", "hashes"
+    pairs = wanted.select("root", "node", "part", "text", other).select(
+        "root", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"), "part", "node", "text"
     )
 
     def compare(group: pa.Table) -> pa.Table:
         part = group.column("part").to_numpy()
         order = np.argsort(part, kind="stable")
-        nodes = group.column("node").to_numpy()[order]
-        # A table's columns of bytes may be in several pieces; sets are read one by one.
-        held = group.column("hashes").to_pylist()
-        sets = [np.frombuffer(held[i], np.uint64) for i in order]
+        nodes, held = group.column("node").to_numpy()[order], group.column("text")
+        sets = [shingles(held[int(i)].as_py()) for i in order]
         cut = int(np.searchsorted(part[order], part[order][0], side="right"))
         member, representative = exact_links(sets[:cut], sets[cut:] if cut < len(sets) else None)
         return pa.table({"a": nodes[member], "b": nodes[representative]})
@@ -296,6 +292,5 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     linked = roots(firsts.select("node", "prints", "size", "row"), texts, tile, part)
     groups = firsts.join(linked, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("who").alias("who"))
     stay = groups.select(F.col("who.row").alias("stays"))
-    # The rows that go are few where copies are; written, their size decides whether texts are shuffled to meet them.
     gone = scratch.table(rows.select(quoted(row).alias(goes)).join(stay, quoted(goes) == F.col("stays"), "left_anti"), "gone")
-    return rows.join(gone, quoted(row) == quoted(goes), "left_anti").drop(node, prints, size, row)
+    return without(rows, row, gone).drop(node, prints, size, row)

@@ -35,6 +35,7 @@ from pyspark.sql.types import LongType, StructField
 from corpusql.llm import scratch
 from corpusql.llm.columns import fresh, join_groups, quoted, with_columns
 from corpusql.llm.components import components
+from corpusql.llm.exact_dedup import without
 
 TILE = 1 << 15
 BLOCK = 1 << 9
@@ -225,6 +226,5 @@ def drop_near_duplicates(
     who = F.struct(quoted(id_col).isNull().alias("none"), quoted(id_col).alias("id"), quoted(row).alias("row"))
     groups = _grouped(rows.select(quoted(fp).alias("fp"), who.alias("who")), radius)
     stay = groups.select(F.col("component.row").alias("stays")).distinct()
-    # The rows that go are few where copies are; written, their size decides whether texts are shuffled to meet them.
     gone = scratch.table(rows.select(quoted(row).alias(goes)).join(stay, quoted(goes) == F.col("stays"), "left_anti"), "gone")
-    return rows.join(gone, quoted(row) == quoted(goes), "left_anti").drop(fp, row)
+    return without(rows, row, gone).drop(fp, row)
