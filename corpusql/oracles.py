@@ -130,27 +130,68 @@ _MEASURES = f"""
 _TURNS = "turns AS (SELECT a.conv_id, a.turn, a.text, b.text AS reply FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
 
 _PARTS = """
-        rel AS (SELECT p_brand AS src, p_name AS dst, p_type AS relation_type, p_retailprice / 4000 AS confidence, p_partkey AS seq
-                FROM part WHERE p_size = 1),
+        p AS (
+            SELECT *, p_name || ' ' || (p_partkey // 20)::VARCHAR AS item, 'size ' || p_size::VARCHAR AS size, (p_retailprice - 900) / 100 AS confidence,
+                   CASE p_type WHEN 'ECONOMY' THEN 'USES' WHEN 'SMALL' THEN 'IMPROVES' WHEN 'MEDIUM' THEN 'ENABLES' WHEN 'PROMO' THEN 'RELATED_TO' ELSE 'DEVELOPS' END AS kind
+            FROM part
+        ),
+        rel AS (
+            SELECT p_brand AS src, item AS dst, kind AS relation_type, confidence, p_partkey * 4 AS seq FROM p
+            UNION ALL SELECT item, p_type, 'PART_OF', confidence, p_partkey * 4 + 1 FROM p
+            UNION ALL SELECT item, size, 'USES', confidence, p_partkey * 4 + 2 FROM p
+            UNION ALL SELECT p_type, size, 'RELATED_TO', confidence, p_partkey * 4 + 3 FROM p
+        ),
         vertices AS (
-            SELECT name, entity_type, count(*) AS chunk_count, CASE WHEN entity_type = 'BRAND' THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END AS confidence
-            FROM (SELECT p_brand AS name, 'BRAND' AS entity_type FROM part UNION ALL SELECT p_name, 'NAME' FROM part) GROUP BY name, entity_type
+            SELECT name, entity_type, count(*) AS chunk_count, confidence FROM (
+                SELECT p_brand AS name, 'ORGANIZATION' AS entity_type, 0.9::DOUBLE AS confidence FROM p UNION ALL SELECT item, 'PRODUCT', 0.6 FROM p
+                UNION ALL SELECT p_type, 'CONCEPT', 0.8 FROM p UNION ALL SELECT size, 'TECHNOLOGY', 0.7 FROM p
+            ) GROUP BY ALL
         ),
         edges AS (SELECT src, dst, relation_type, arg_max(confidence, seq) AS confidence FROM rel GROUP BY ALL),
         step AS (SELECT src AS node, dst AS nxt FROM edges UNION SELECT dst, src FROM edges),
-        brands AS (SELECT name AS origin FROM vertices WHERE entity_type = 'BRAND'),
+        brands AS (SELECT name AS origin FROM vertices WHERE entity_type = 'ORGANIZATION'),
         pair AS (SELECT origin AS source, lead(origin) OVER (ORDER BY origin) AS target FROM brands QUALIFY target IS NOT NULL),
-        deg AS (SELECT v.name, count(e.name) AS degree FROM vertices v LEFT JOIN (SELECT src AS name FROM edges UNION ALL SELECT dst FROM edges) e USING (name) GROUP BY v.name),
-        imp AS (SELECT name, round(0.6::DOUBLE * degree / (count(*) OVER () - 1) * confidence, 6) AS importance FROM deg JOIN vertices USING (name))"""
-# Every edge leads from a brand to a name, so no vertex lies between two others: directed betweenness is zero.
+        deg AS (SELECT v.name, count(e.name) AS degree FROM vertices v LEFT JOIN (SELECT src AS name FROM edges UNION ALL SELECT dst FROM edges) e USING (name) GROUP BY v.name)"""
+
+#: No directed path of the graph is longer than three steps; ``far`` has the length and number of the shortest ones.
+_BETWEEN = f"""{_PARTS}, arc AS (SELECT DISTINCT src AS s, dst AS t FROM edges),
+        one AS (SELECT s, t, 1 AS d, 1::BIGINT AS ways FROM arc),
+        two AS (SELECT a.s, b.t, 2 AS d, count(*) AS ways FROM arc a JOIN arc b ON a.t = b.s WHERE NOT EXISTS (FROM arc c WHERE c.s = a.s AND c.t = b.t) GROUP BY ALL),
+        three AS (
+            SELECT a.s, b.t, 3 AS d, sum(a.ways)::BIGINT AS ways FROM two a JOIN arc b ON a.t = b.s
+            WHERE NOT EXISTS (FROM arc c WHERE c.s = a.s AND c.t = b.t) AND NOT EXISTS (FROM two c WHERE c.s = a.s AND c.t = b.t) GROUP BY ALL
+        ),
+        far AS (FROM one UNION ALL FROM two UNION ALL FROM three),
+        share AS (
+            SELECT a.t AS name, sum(a.ways * b.ways / c.ways::DOUBLE) AS share
+            FROM far a JOIN far b ON a.t = b.s JOIN far c ON c.s = a.s AND c.t = b.t AND c.d = a.d + b.d GROUP BY ALL
+        ),
+        btw AS (SELECT name, coalesce(share, 0) / ((count(*) OVER () - 1) * (count(*) OVER () - 2)) AS betweenness FROM vertices LEFT JOIN share USING (name)),
+        imp AS (
+            SELECT name, round((0.6::DOUBLE * (degree / (count(*) OVER () - 1)::DOUBLE) + 0.4::DOUBLE * betweenness) * confidence, 6) AS importance
+            FROM deg JOIN btw USING (name) JOIN vertices USING (name)
+        )"""
 
-_NEAR = f"""{_PARTS}, near AS (
+_NEAR_PART = """near AS (
             SELECT origin, node, min(distance)::INT AS distance FROM (
                 SELECT b.origin, s.nxt AS node, 1 AS distance FROM brands b JOIN step s ON s.node = b.origin
                 UNION ALL
                 SELECT b.origin, t.nxt, 2 FROM brands b JOIN step s ON s.node = b.origin JOIN step t ON t.node = s.nxt
             ) WHERE node <> origin GROUP BY ALL
         )"""
+_NEAR = f"{_PARTS}, {_NEAR_PART}"
+_NEAR_IMPORTANT = f"{_BETWEEN}, {_NEAR_PART}"
+
+_SHORTEST = f"""{_PARTS}, known AS (
+            SELECT least(src, dst) AS lo, greatest(src, dst) AS hi, arg_min(confidence, seq) AS c FROM rel GROUP BY ALL
+        ), steps AS (SELECT node, nxt, c FROM step JOIN known ON lo = least(node, nxt) AND hi = greatest(node, nxt) WHERE node <> nxt),
+        l0 AS (SELECT origin, origin AS node, [origin] AS path, 0::DOUBLE AS total FROM brands)"""
+for _n in (1, 2, 3):
+    _seen = " AND ".join(f"NOT EXISTS (FROM l{_m} s WHERE s.origin = f.origin AND s.node = t.nxt)" for _m in range(_n))
+    _SHORTEST += f""", l{_n} AS (
+            SELECT f.origin, t.nxt AS node, min(list_append(f.path, t.nxt)) AS path, arg_min(f.total + t.c, list_append(f.path, t.nxt)) AS total
+            FROM l{_n - 1} f JOIN steps t ON t.node = f.node WHERE {_seen} GROUP BY ALL
+        )"""
 
 _PATHS = f"""{_PARTS}, found AS (
             SELECT source, target, [source, target] AS path FROM pair JOIN step ON node = source AND nxt = target
@@ -162,21 +203,14 @@ _PATHS = f"""{_PARTS}, found AS (
             WHERE a.nxt NOT IN (source, target) AND b.nxt NOT IN (source, target, a.nxt)
         )"""
 
-_NATIONS = """
-        arcs AS (
-            SELECT a.n_name AS src, b.n_name AS dst FROM nation a JOIN nation b
-            ON (a.n_regionkey = b.n_regionkey AND b.n_nationkey BETWEEN a.n_nationkey + 1 AND a.n_nationkey + 10)
-            UNION ALL
-            SELECT a.n_name, b.n_name FROM nation a JOIN nation b ON a.n_nationkey % 3 = 0 AND b.n_nationkey = a.n_nationkey + 7
-        ),
-        step AS (SELECT src AS node, dst AS nxt FROM arcs UNION SELECT dst, src FROM arcs),
+_TRIANGLES = f"""{_PARTS},
         clus AS (
-            SELECT n_name AS name, coalesce(round(t.n::DOUBLE / (k.k * (k.k - 1)), 6), 0) AS clustering FROM nation
-            LEFT JOIN (SELECT node, count(*) AS k FROM step GROUP BY node) k ON k.node = n_name
+            SELECT name, coalesce(round(t.n::DOUBLE / (k.k * (k.k - 1)), 6), 0) AS clustering FROM vertices
+            LEFT JOIN (SELECT node, count(*) AS k FROM step GROUP BY node) k ON k.node = name
             LEFT JOIN (SELECT a.node, count(*) AS n FROM step a JOIN step b ON a.node = b.node AND a.nxt <> b.nxt
-                       JOIN step c ON c.node = a.nxt AND c.nxt = b.nxt GROUP BY a.node) t ON t.node = n_name
+                       JOIN step c ON c.node = a.nxt AND c.nxt = b.nxt GROUP BY a.node) t ON t.node = name
         ),
-        reach(name, other) AS (SELECT n_name, n_name FROM nation UNION SELECT r.name, s.nxt FROM reach r JOIN step s ON s.node = r.other)"""
+        reach(name, other) AS (SELECT name, name FROM vertices UNION SELECT r.name, s.nxt FROM reach r JOIN step s ON s.node = r.other)"""
 
 _METRICS = """
         m AS (
@@ -332,8 +366,8 @@ ORACLES: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY doc_id, c.chunk_index ORDER BY overlap DESC, section_index) = 1""",
     "hierarchy_unattached": f"""{_SECTIONS} SELECT doc_id, count(*) AS chunks FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM sections) GROUP BY doc_id""",
     "graph_edges": f"WITH {_PARTS} SELECT src, dst, relation_type, confidence FROM edges",
-    "graph_entities_by_type": f"WITH {_PARTS} SELECT name, entity_type, chunk_count, confidence FROM vertices WHERE entity_type = 'BRAND' AND confidence >= 0.5",
-    "graph_relationships_by_type": f"WITH {_PARTS} SELECT src, dst, relation_type, confidence, seq FROM rel WHERE relation_type = 'SMALL' AND confidence >= 0.3",
+    "graph_entities_by_type": f"WITH {_PARTS} SELECT name, entity_type, chunk_count, confidence FROM vertices WHERE entity_type = 'PRODUCT' AND confidence >= 0.5",
+    "graph_relationships_by_type": f"WITH {_PARTS} SELECT src, dst, relation_type, confidence, seq FROM rel WHERE relation_type = 'IMPROVES' AND confidence >= 0.1",
     "neighbours_k2": f"WITH {_NEAR} SELECT origin, node, distance FROM near",
     "paths_le3": f"WITH {_PATHS} SELECT source, target, array_to_string(path, '>') AS path, (len(path) - 1)::INT AS length FROM found",
     "connection_paths": f"""WITH {_PATHS}, st AS (SELECT source, target, path, (len(path) - 1)::INT AS length, unnest(range(1, len(path)))::INT AS step FROM found),
@@ -343,21 +377,36 @@ ORACLES: dict[str, str] = {
     "subgraph": f"""WITH {_PARTS}, c AS (SELECT origin AS name FROM brands WHERE origin LIKE '%1' UNION SELECT dst FROM edges JOIN brands ON src = origin WHERE origin LIKE '%1')
         SELECT src, dst, relation_type, confidence FROM edges WHERE src IN (FROM c) AND dst IN (FROM c)""",
     "degrees": f"WITH {_PARTS} SELECT name, degree, round(degree / (count(*) OVER () - 1)::DOUBLE, 6) AS degree_centrality FROM deg",
-    "importance": f"WITH {_PARTS} SELECT name, importance FROM imp",
-    "related_entities": f"WITH {_NEAR} SELECT origin, node, importance FROM near JOIN imp ON name = node",
+    "importance": f"WITH {_BETWEEN} SELECT name, importance FROM imp",
+    "related_entities": f"WITH {_NEAR_IMPORTANT} SELECT origin, node, importance FROM near JOIN imp ON name = node",
+    "betweenness": f"WITH {_BETWEEN} SELECT name, round(betweenness, 6) AS betweenness FROM btw",
+    "neighbours_typed": f"""WITH {_PARTS}, ts AS (SELECT src AS node, dst AS nxt FROM edges WHERE relation_type IN ('IMPROVES', 'USES') UNION SELECT dst, src FROM edges WHERE relation_type IN ('IMPROVES', 'USES')),
+        n AS (SELECT origin, nxt AS node, 1 AS distance FROM brands JOIN ts ON node = origin
+              UNION ALL SELECT origin, b.nxt, 2 FROM brands JOIN ts a ON a.node = origin JOIN ts b ON b.node = a.nxt)
+        SELECT origin, node, min(distance)::INT AS distance FROM n GROUP BY ALL""",
+    "shortest_paths": f"""WITH {_SHORTEST} SELECT origin, node, len(path)::INT - 1 AS length, coalesce(round(total / nullif(len(path) - 1, 0), 6), 1) AS mean_confidence
+        FROM (FROM l0 UNION ALL FROM l1 UNION ALL FROM l2 UNION ALL FROM l3)""",
+    "entity_context": f"""WITH {_NEAR_IMPORTANT}, top AS (
+            SELECT origin, node, importance FROM near JOIN imp ON name = node QUALIFY row_number() OVER (PARTITION BY origin ORDER BY importance DESC, node) <= 10
+        ), r AS (SELECT origin AS name, string_agg(node, ',' ORDER BY importance DESC, node) AS related FROM top GROUP BY origin)
+        SELECT name, entity_type, confidence, chunk_count, importance, related, (SELECT count(*) FROM rel WHERE dst = name) AS incoming,
+               (SELECT count(*) FROM rel WHERE src = name AND src <> dst) AS outgoing
+        FROM vertices JOIN imp USING (name) JOIN r USING (name) WHERE entity_type = 'ORGANIZATION'""",
     "graph_components": f"""WITH RECURSIVE {_PARTS}, reach(name, other) AS (SELECT name, name FROM vertices UNION SELECT r.name, s.nxt FROM reach r JOIN step s ON s.node = r.other)
         SELECT name, min(other) AS component FROM reach GROUP BY name""",
-    "clustering": f"WITH RECURSIVE {_NATIONS} SELECT name, clustering FROM clus",
-    "graph_statistics": f"""WITH RECURSIVE {_NATIONS} SELECT (SELECT count(*) FROM nation) AS nodes, (SELECT count(*) FROM arcs) AS edges,
+    "clustering": f"WITH RECURSIVE {_TRIANGLES} SELECT name, clustering FROM clus",
+    "graph_statistics": f"""WITH RECURSIVE {_TRIANGLES} SELECT (SELECT count(*) FROM vertices) AS nodes, (SELECT count(*) FROM edges) AS edges,
         (SELECT count(DISTINCT c) FROM (SELECT name, min(other) AS c FROM reach GROUP BY name)) AS connected_components,
-        (SELECT round(2.0::DOUBLE * (SELECT count(*) FROM arcs) / count(*), 6) FROM nation) AS avg_degree,
-        (SELECT round((SELECT count(*) FROM arcs)::DOUBLE / (count(*) * (count(*) - 1)), 6) FROM nation) AS density,
+        (SELECT round(2.0::DOUBLE * (SELECT count(*) FROM edges) / count(*), 6) FROM vertices) AS avg_degree,
+        (SELECT round((SELECT count(*) FROM edges)::DOUBLE / (count(*) * (count(*) - 1)), 6) FROM vertices) AS density,
         (SELECT round(avg(clustering), 6) FROM clus) AS clustering_coefficient""",
     "graph_type_counts": f"""WITH {_PARTS} SELECT 'entity' AS kind, entity_type AS type, count(*) AS n, round(avg(confidence), 6) AS avg_confidence FROM vertices GROUP BY ALL
         UNION ALL SELECT 'relationship', relation_type, count(*), round(avg(confidence), 6) FROM rel GROUP BY relation_type""",
-    "graph_drawing_nodes": f"""WITH {_PARTS} SELECT name AS id, name AS label, entity_type AS type, confidence, importance, chunk_count * 5 + 10 AS size, '#95A5A6' AS color
+    "graph_drawing_nodes": f"""WITH {_BETWEEN} SELECT name AS id, name AS label, entity_type AS type, confidence, importance, chunk_count * 5 + 10 AS size,
+        CASE entity_type WHEN 'ORGANIZATION' THEN '#4ECDC4' WHEN 'PRODUCT' THEN '#DDA0DD' WHEN 'CONCEPT' THEN '#96CEB4' ELSE '#45B7D1' END AS color
         FROM vertices JOIN imp USING (name)""",
-    "graph_drawing_edges": f"WITH {_PARTS} SELECT src AS source, dst AS target, relation_type AS type, confidence, confidence * 3 + 1 AS width, '#BDC3C7' AS color FROM rel",
+    "graph_drawing_edges": f"""WITH {_PARTS} SELECT src AS source, dst AS target, relation_type AS type, confidence, confidence * 3 + 1 AS width,
+        CASE relation_type WHEN 'DEVELOPS' THEN '#E74C3C' WHEN 'USES' THEN '#3498DB' WHEN 'PART_OF' THEN '#2ECC71' WHEN 'RELATED_TO' THEN '#95A5A6' WHEN 'IMPROVES' THEN '#F39C12' ELSE '#9B59B6' END AS color FROM rel""",
     "winners": f"WITH {_METRICS} SELECT query_id, winner, score FROM won",
     "comparison_analysis": f"""WITH {_METRICS}, e AS (SELECT *, CASE WHEN chunks_retrieved > 0 THEN confidence_score / chunks_retrieved ELSE 0 END AS eff FROM ok)
         SELECT query_id, {_extreme("total_time", "ASC")} AS fastest_system, {_extreme("total_time", "DESC")} AS slowest_system, round(max(total_time) - min(total_time), 6) AS speed_difference,

@@ -346,28 +346,33 @@ def extraction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.document_stats(E.extraction_stats(found, E.mentions(found), E.relations(found)))
 
 
-# The graph of parts: brands and names, linked by parts of size 1 with the part's type
+# The graph of all parts: brands develop items, items are part of types and use sizes, types relate to sizes
+
+_RELATIONS = {"STANDARD": "DEVELOPS", "ECONOMY": "USES", "SMALL": "IMPROVES", "MEDIUM": "ENABLES", "PROMO": "RELATED_TO", "LARGE": "DEVELOPS"}
 
 
 def _part_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(vertices, relationships, edges)."""
+    size, item = F.concat(F.lit("size "), "p_size"), F.concat("p_name", F.lit(" "), F.floor(F.col("p_partkey") / 20).cast("string"))
+    kind = F.coalesce(F.create_map(*[F.lit(x) for kv in _RELATIONS.items() for x in kv])[F.col("p_type")], F.lit("SELLS"))
+    ends = [("p_brand", item, kind), (item, "p_type", F.lit("PART_OF")), (item, size, F.lit("USES")), ("p_type", size, F.lit("RELATED_TO"))]
+    col = lambda x: F.col(x) if isinstance(x, str) else x
+    steps = F.array(*[
+        F.struct(col(src).alias("src"), col(dst).alias("dst"), type_.alias("relation_type"), (F.col("p_partkey") * 4 + i).alias("seq"))
+        for i, (src, dst, type_) in enumerate(ends)
+    ])
     parts = _table(spark, sf_dir, "part")
-    relationships = parts.filter("p_size = 1").select(
-        F.col("p_brand").alias("src"), F.col("p_name").alias("dst"), F.col("p_type").alias("relation_type"),
-        (F.col("p_retailprice") / 4000).alias("confidence"), F.col("p_partkey").alias("seq"),
-    )
-    vertices = (
-        parts.select(F.col("p_brand").alias("name"), F.lit("BRAND").alias("entity_type"))
-        .unionAll(parts.select("p_name", F.lit("NAME")))
-        .groupBy("name", "entity_type")
-        .agg(F.count("*").alias("chunk_count"))
-        .withColumn("confidence", F.when(F.col("entity_type") == "BRAND", 0.9).otherwise(0.6))
+    relationships = parts.select(((F.col("p_retailprice") - 900) / 100).alias("confidence"), F.explode(steps).alias("r")).select(
+        "r.src", "r.dst", "r.relation_type", "confidence", "r.seq"
     )
+    kinds = [("p_brand", "ORGANIZATION", 0.9), (item, "PRODUCT", 0.6), ("p_type", "CONCEPT", 0.8), (size, "TECHNOLOGY", 0.7)]
+    named = F.array(*[F.struct(col(x).alias("name"), F.lit(t).alias("entity_type"), F.lit(c).alias("confidence")) for x, t, c in kinds])
+    vertices = parts.select(F.explode(named).alias("v")).groupBy("v.name", "v.entity_type", "v.confidence").agg(F.count("*").alias("chunk_count"))
     return vertices, relationships, G.last_edges(relationships)
 
 
 def _brands(vertices: DataFrame) -> DataFrame:
-    return vertices.filter("entity_type = 'BRAND'").select(F.col("name").alias("origin"))
+    return vertices.filter("entity_type = 'ORGANIZATION'").select(F.col("name").alias("origin"))
 
 
 @query
@@ -377,12 +382,12 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def graph_entities_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.query_entities(_part_graph(spark, sf_dir)[0], "BRAND", 0.5)
+    return G.query_entities(_part_graph(spark, sf_dir)[0], "PRODUCT", 0.5)
 
 
 @query
 def graph_relationships_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.query_relationships(_part_graph(spark, sf_dir)[1], "SMALL", 0.3)
+    return G.query_relationships(_part_graph(spark, sf_dir)[1], "IMPROVES", 0.1)
 
 
 @query
@@ -394,12 +399,12 @@ def neighbours_k2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def neighbours_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     vertices, _, edges = _part_graph(spark, sf_dir)
-    return G.neighbours(_brands(vertices), edges, 2, ["SMALL", "ECONOMY"], keep_origin=True)
+    return G.neighbours(_brands(vertices), edges, 2, ["IMPROVES", "USES"], keep_origin=True)
 
 
 def _pairs(vertices: DataFrame) -> DataFrame:
     """Each brand with the next one by name."""
-    brands = vertices.filter("entity_type = 'BRAND'")
+    brands = vertices.filter("entity_type = 'ORGANIZATION'")
     following = F.lead("name").over(Window.orderBy("name"))  # a row per brand
     return brands.select(F.col("name").alias("source"), following.alias("target")).filter("target is not null")
 
@@ -426,7 +431,7 @@ def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     vertices, _, edges = _part_graph(spark, sf_dir)
-    return G.subgraph(vertices.filter("entity_type = 'BRAND' and name like '%1'"), edges)
+    return G.subgraph(vertices.filter("entity_type = 'ORGANIZATION' and name like '%1'"), edges)
 
 
 @query
@@ -435,16 +440,10 @@ def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.degrees(vertices, edges).withColumn("degree_centrality", F.round("degree_centrality", 6))
 
 
-def _two_way(edges: DataFrame) -> DataFrame:
-    """Edges in both directions, so that directed shortest paths pass through vertices."""
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "relation_type", "confidence")
-    return edges.unionByName(back)
-
-
 @query
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     vertices, _, edges = _part_graph(spark, sf_dir)
-    return G.betweenness(vertices, _two_way(edges)).withColumn("betweenness", F.round("betweenness", 6))
+    return G.betweenness(vertices, edges).withColumn("betweenness", F.round("betweenness", 6))
 
 
 @query
@@ -462,7 +461,7 @@ def related_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def entity_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     vertices, relationships, edges = _part_graph(spark, sf_dir)
-    found = G.entity_context(vertices.filter("entity_type = 'BRAND'"), vertices, edges, relationships, G.importance(vertices, edges))
+    found = G.entity_context(vertices.filter("entity_type = 'ORGANIZATION'"), vertices, edges, relationships, G.importance(vertices, edges))
     return found.withColumn("related", F.array_join(F.transform("related", lambda r: r["node"]), ","))
 
 
@@ -472,29 +471,22 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.components(vertices, edges)
 
 
-def _nations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nations linked to the next ones of their region and, every third, to the nation seven further on."""
-    nation = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("r"))
-    other = nation.select(F.col("k").alias("k2"), F.col("name").alias("dst"), F.col("r").alias("r2"))
-    near = nation.join(other, (F.col("r") == F.col("r2")) & F.col("k2").between(F.col("k") + 1, F.col("k") + 10))
-    far = nation.filter("k % 3 = 0").join(other, F.col("k2") == F.col("k") + 7)
-    edges = near.unionByName(far).select(F.col("name").alias("src"), "dst", F.lit("NEAR").alias("relation_type"), F.lit(1.0).alias("confidence"))
-    return nation.select("name", F.lit("NATION").alias("entity_type"), F.lit(1.0).alias("confidence")), edges
-
-
 @query
 def clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.clustering(*_nations(spark, sf_dir))
+    vertices, _, edges = _part_graph(spark, sf_dir)
+    return G.clustering(vertices, edges)
 
 
 @query
 def graph_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.statistics(*_nations(spark, sf_dir))
+    vertices, _, edges = _part_graph(spark, sf_dir)
+    return G.statistics(vertices, edges)
 
 
 @query
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.communities(*_nations(spark, sf_dir))
+    vertices, _, edges = _part_graph(spark, sf_dir)
+    return G.communities(vertices, edges)
 
 
 @query
