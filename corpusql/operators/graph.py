@@ -10,6 +10,7 @@ adaptive execution in every join.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -430,11 +431,22 @@ def type_counts(vertices: DataFrame, relationships: DataFrame) -> DataFrame:
     return rows.groupBy("kind", "type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), DIGITS).alias("avg_confidence"))
 
 
-def communities(vertices: DataFrame, edges: DataFrame, algorithm: str = "louvain", rounds: int = 12) -> DataFrame:
+def _numbered(values: DataFrame, column: str, into: str) -> DataFrame:
+    """Rows in order of a column without repeats, numbered from 0: ranges are counted first, so no task sorts all of them."""
+    ranges = written(values.repartitionByRange(column).withColumn("range", F.spark_partition_id()))
+    counts = ranges.groupBy("range").agg(F.count("*").alias("n"))  # a row for each range
+    before = F.sum("n").over(Window.orderBy("range")) - F.col("n")
+    place = F.row_number().over(Window.partitionBy("range").orderBy(column)) - 1
+    return ranges.join(F.broadcast(counts.select("range", before.alias("before"))), "range").withColumn(into, (F.col("before") + place).cast("int")).drop("range", "before")
+
+
+def communities(vertices: DataFrame, edges: DataFrame, algorithm: str = "louvain", rounds: int | None = None) -> DataFrame:
     """(name, community): label propagation on the undirected simple graph, then gaps in numbering closed.
 
     In each round about half of the vertices, chosen by a hash of name and
-    round, take the label most of their neighbours have, the least on ties.
+    round, take the label most of their neighbours have; a vertex whose own
+    label is among the most frequent keeps it, else the least of them counts.
+    It ends when no vertex would change, or after ``rounds`` if these are given.
     Another algorithm's name gives no rows, and so do fewer than two vertices.
     """
     steps = written(both_ways(edges).filter("node <> next"))
@@ -442,19 +454,20 @@ def communities(vertices: DataFrame, edges: DataFrame, algorithm: str = "louvain
     if algorithm != "louvain" or vertices.limit(2).count() < 2:
         return labels.limit(0).select("name", F.lit(0).alias("community"))
     labels = written(labels)
-    for turn in range(rounds):
+    for turn in itertools.count() if rounds is None else range(rounds):
         votes = steps.join(labels.withColumnRenamed("name", "next"), "next").groupBy("node", "label").agg(F.count("*").alias("n"))
-        won = votes.groupBy(F.col("node").alias("name")).agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("w"))
+        own = labels.select(F.col("name").alias("node"), F.col("label").alias("own"))
+        other = F.when(F.col("label") == F.col("own"), 0).otherwise(1)
+        won = votes.join(own, "node").groupBy(F.col("node").alias("name")).agg(F.min(F.struct((-F.col("n")).alias("n"), other.alias("other"), "label")).alias("w"))
         moves = F.pmod(F.xxhash64(F.lit(turn), "name"), F.lit(2)) == 0
+        wish = F.coalesce("w.label", "label")
         new = written(
-            labels.join(won, "name", "left").select("name", F.when(moves, F.coalesce("w.label", "label")).otherwise(F.col("label")).alias("label"))
+            labels.join(won, "name", "left").select("name", F.when(moves, wish).otherwise(F.col("label")).alias("label"), (wish != F.col("label")).alias("restless"))
         )
-        quiet = new.join(labels.withColumnRenamed("label", "old"), "name").filter("label <> old").isEmpty()
-        labels = new
-        if quiet and turn:
+        labels = new.select("name", "label")
+        if new.filter("restless").isEmpty():
             break
-    numbered = labels.select("label").distinct().withColumn("community", F.row_number().over(Window.orderBy("label")) - 1)
-    return labels.join(numbered, "label").select("name", "community")
+    return labels.join(_numbered(labels.select("label").distinct(), "label", "community"), "label").select("name", "community")
 
 
 def query_entities_of(queries: DataFrame, vertices: DataFrame, mentions: DataFrame, embed_names, threshold: float = 0.3) -> DataFrame:

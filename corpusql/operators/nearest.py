@@ -1,8 +1,8 @@
 """Exact nearest rows by similarity of vectors.
 
 Scores are computed in blocks by matrix products. A query set within
-``BROADCAST_QUERIES`` rows goes to every task, which returns its own best k of
-each query: the items themselves are never shuffled. Larger query sets meet
+``BROADCAST_QUERIES`` rows goes to every task, which keeps its own best k of
+each query over all its batches: the items themselves are never shuffled. Larger query sets meet
 the items block by block, each pair of blocks in one task. Either way a final
 window ranks a few rows per query; results do not depend on the way.
 """
@@ -56,6 +56,15 @@ def _best(queries: np.ndarray, items: np.ndarray, metric: str, k: int | None, th
         yield i, where, own[where]
 
 
+def _first_of_each(found: list[pa.Table], k: int) -> pa.Table:
+    """The k best rows of each query, ties to smaller items."""
+    ordered = pa.concat_tables(found).sort_by([("query_id", "ascending"), ("score", "descending"), ("item_id", "ascending")])
+    whose = ordered.column("query_id").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    begins = np.flatnonzero(np.concatenate([[True], whose[1:] != whose[:-1]]))
+    place = np.arange(len(whose)) - np.repeat(begins, np.diff(np.concatenate([begins, [len(whose)]])))
+    return ordered.filter(pa.array(place < k))
+
+
 def nearest(
     queries: DataFrame,
     items: DataFrame,
@@ -94,9 +103,22 @@ def nearest(
         shared = spark.sparkContext.broadcast((names, vectors))
 
         def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: list[pa.Table] = []
+            held = 0
             for batch in batches:
-                if batch.num_rows and len(shared.value[1]):
-                    yield from rows(*shared.value, batch.column(0), _matrix(batch.column(1))).to_batches()
+                if not batch.num_rows or not len(shared.value[1]):
+                    continue
+                found = rows(*shared.value, batch.column(0), _matrix(batch.column(1)))
+                if k is None:
+                    yield from found.to_batches()
+                    continue
+                best.append(found)
+                held += found.num_rows
+                if held > 4 * k * len(shared.value[1]):
+                    best = [_first_of_each(best, k)]
+                    held = best[0].num_rows
+            if held:
+                yield from _first_of_each(best, k).to_batches()
 
         partial = given.mapInArrow(score_batches, schema)
     else:

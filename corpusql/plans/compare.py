@@ -10,10 +10,12 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusql.errors import EvaluationError
+from corpusql.errors import CorpusError, EvaluationError
 from corpusql.functions.text import preview
 from corpusql.functions.vectors import DIGITS
 from corpusql.storage import written
@@ -30,7 +32,8 @@ class Comparator:
     """Runs registered systems over a table of queries and keeps their metrics.
 
     A system is a function from queries (query_id, query) to answers
-    (query_id, response, confidence, chunks_retrieved), one per query.
+    (query_id, response, confidence, chunks_retrieved), one per query. Answers
+    may also state retrieval_time and generation_time, as ``System.query`` does.
     """
 
     def __init__(self) -> None:
@@ -44,7 +47,9 @@ class Comparator:
         """Metrics of each system on all queries, added to the history.
 
         Systems run on whole tables, so the time of a query is its share of
-        its system's run. A system that fails has rows of zeros with an error.
+        its system's run. Of answers that do not state how long the search
+        took, all of it counts as search. A system that fails has rows of zeros
+        with an error; mistakes in its Python code are raised.
         """
         chosen = list(self.systems) if names is None else names
         if unknown := [n for n in chosen if n not in self.systems]:
@@ -56,12 +61,15 @@ class Comparator:
             try:
                 answers = written(self.systems[name](queries))
                 spent = (time.perf_counter() - began) / n
-                rows = answers.selectExpr(
-                    f"'{name}' as rag_name", "cast(query_id as string) as query_id", f"{spent}D as retrieval_time", "0D as generation_time",
-                    f"{spent}D as total_time", "cast(confidence as double) as confidence_score", "cast(chunks_retrieved as int) as chunks_retrieved",
-                    "cast(length(response) as int) as response_length", "cast(null as string) as error",
+                told = {"retrieval_time", "generation_time"} <= set(answers.columns)
+                search, answer = (F.col(c).cast("double") for c in ("retrieval_time", "generation_time")) if told else (F.lit(spent), F.lit(0.0))
+                rows = answers.select(
+                    F.lit(name).alias("rag_name"), F.col("query_id").cast("string").alias("query_id"),
+                    search.alias("retrieval_time"), answer.alias("generation_time"), F.lit(spent).alias("total_time"),
+                    F.col("confidence").cast("double").alias("confidence_score"), F.col("chunks_retrieved").cast("int").alias("chunks_retrieved"),
+                    F.length("response").cast("int").alias("response_length"), F.lit(None).cast("string").alias("error"),
                 )
-            except Exception as e:
+            except (CorpusError, PySparkException, Py4JError) as e:
                 rows = queries.select(
                     F.lit(name).alias("rag_name"), F.col("query_id").cast("string").alias("query_id"),
                     *[F.lit(0.0).alias(c) for c in METRICS[:4]], F.lit(0).alias("chunks_retrieved"), F.lit(0).alias("response_length"), F.lit(str(e)[:500]).alias("error"),

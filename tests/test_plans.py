@@ -135,3 +135,18 @@ def test_systems(spark, docs, queries, kind, tmp_path):
     assert one.stats()["documents"] == 0
     with pytest.raises(ConfigurationError):
         system("other", spark)
+
+
+def test_comparator_keeps_stated_times(spark):
+    queries = spark.createDataFrame([("a", "x"), ("b", "y")], "query_id string, query string")
+    answers = lambda q: q.select("query_id", F.lit("text").alias("response"), F.lit(0.5).alias("confidence"), F.lit(2).alias("chunks_retrieved"))
+    comparator = CP.Comparator()
+    comparator.register("plain", answers)
+    comparator.register("timed", lambda q: answers(q).withColumn("retrieval_time", F.lit(0.25)).withColumn("generation_time", F.lit(0.125)))
+    rows = comparator.compare(queries).collect()
+    assert {(r.retrieval_time, r.generation_time) for r in rows if r.rag_name == "timed"} == {(0.25, 0.125)}
+    assert all(r.generation_time == 0 and r.retrieval_time == r.total_time > 0 for r in rows if r.rag_name == "plain")
+
+    comparator.register("mistaken", lambda q: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        comparator.compare(queries, ["mistaken"])

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -120,3 +122,18 @@ def _lines(text, config):
 
 
 _lines.__module__ = "__main__"  # pickled by value: the executors do not have the tests
+
+
+def test_tokens_by_a_tokenizer_file(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    if not os.path.exists(path):
+        pytest.skip("no tokenizer file")
+    library = tokenizers.Tokenizer.from_file(path)
+    texts = ["", "one", "A longer text, with several words and numbers: 12345.", "naïve café 東京 " * 50, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    rows = df.select("i", T.token_count(F.col("text"), path).alias("n"), T.truncate(F.col("text"), 5, path).alias("cut")).orderBy("i").collect()
+    for text, row in zip(texts, rows, strict=True):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        assert row.n == len(ids)
+        assert row.cut == (text if len(ids) <= 5 else library.decode(ids[:5], skip_special_tokens=False))

@@ -84,3 +84,18 @@ def test_pairwise_and_benchmark(spark):
     assert len(rows) == 9 and rows["a", "c"] == rows["c", "a"] == pytest.approx(0.707107) and rows["a", "b"] == 0
     found = V.benchmark(["x y", "z"], [EmbeddingConfig(dimension=16), EmbeddingConfig("some/model")])
     assert found[0]["dimension"] == 16 and "error" in found[1]
+
+
+def test_running_best_over_many_batches(spark):
+    items = spark.range(500).select(F.format_string("i%03d", "id").alias("item_id"), F.array(F.pmod(F.col("id") * 7, F.lit(11)).cast("double"), F.lit(1.0)).alias("embedding"))
+    queries = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [-1.0, 2.0])], "query_id string, embedding array<double>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        found = {(r.query_id, r["rank"]): (r.item_id, r.score) for r in N.nearest(queries, items.coalesce(2), 4, "dot").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    all_items = [(f"i{i:03d}", float(i * 7 % 11)) for i in range(500)]
+    for name, score in (("a", lambda x: x), ("b", lambda x: 2 - x)):
+        best = sorted(((-score(x), item) for item, x in all_items))[:4]
+        assert [found[name, k + 1] for k in range(4)] == [(item, -s) for s, item in best]
