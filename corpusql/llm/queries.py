@@ -13,6 +13,7 @@ from corpusql.llm.licenses import license_scan, templates
 from corpusql.llm.lm import score
 from corpusql.llm.mixing import mix
 from corpusql.llm.packing import pack
+from corpusql.llm.prefix_trie import Encoded, build, encode, graft
 from corpusql.llm.simhash import near_duplicates
 from corpusql.llm.tokens import token_counts
 from corpusql.llm.topk import top_k
@@ -65,8 +66,18 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def grafted(conversations: DataFrame) -> Encoded:
+    """Each conversation c rebuilt on the first crc32(c) mod 9 turns of c - c % 5."""
+    conv = F.col("conv")
+    return graft(encode(conversations), conv - conv % 5, F.crc32(conv.cast("string").cast("binary")) % 9, 8)
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build(grafted(spark.read.parquet(f"{sf_dir}/conversations.parquet"))).drop("turn_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_mixing, op3_token_counts, op4_licenses, op5_packing, op6_language, op7_toxicity, op8_exact_dedup, op9_lm_scores, op10_topk)
+    f.__name__: f for f in (op1_simhash, op2_mixing, op3_token_counts, op4_licenses, op5_packing, op6_language, op7_toxicity, op8_exact_dedup, op9_lm_scores, op10_topk, op11_prefix_trie)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -74,6 +85,10 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _TERMS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 _NOTICES = ", ".join(f"({n}, '{name}', '{notice}')" for n, (name, notice) in enumerate(templates()))
 
+#: CRC-32 of a text of ASCII characters, bit by bit.
+_CRC32 = """xor(list_reduce(flatten(list_transform(string_split({}, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+    lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384::BIGINT), 4294967295::BIGINT), 4294967295::BIGINT)"""
+
 ORACLES: dict[str, str] = {
     "op4_licenses": rf"""
         WITH d AS (
@@ -166,6 +181,29 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op11_prefix_trie": f"""
+        WITH t AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC32.format('conv_id::VARCHAR')} % 9 AS head FROM t GROUP BY conv_id),
+        r AS (
+            SELECT c.conv_id, place, role, text FROM c JOIN t ON t.conv_id = base WHERE place <= head
+            UNION ALL SELECT c.conv_id, 9 + place, role, text FROM c JOIN t USING (conv_id) WHERE place > head
+        ), q AS (SELECT conv_id, list(struct_pack(role, text) ORDER BY place) AS turns FROM r GROUP BY conv_id),
+        p AS (
+            SELECT conv_id, len(turns) AS length, unnest(range(0, len(turns) + 1)) AS depth, turns[1:depth] AS prefix
+            FROM (SELECT conv_id, coalesce(turns, []) AS turns FROM c LEFT JOIN q USING (conv_id))
+        ), n AS (
+            SELECT prefix, depth, min(conv_id) AS node, count(*) AS n_convs, bool_and(length = depth) AS leaf,
+                   CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * octet_length(encode(prefix[-1].text)) END AS saved,
+                   coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (length = depth), '') AS ends
+            FROM p GROUP BY prefix, depth
+        ), u AS (SELECT depth - above AS depth, prefix[1:depth - above] AS prefix, above, leaf, saved FROM (SELECT *, unnest(range(0, depth + 1)) AS above FROM n)),
+        s AS (SELECT prefix, depth, count(*) FILTER (above = 1) AS n_children, count(*) FILTER (leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM u GROUP BY prefix, depth)
+        SELECT n.node AS conv_id, n.depth, a.node AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, sha256(n.ends) AS ends_sha256
+        FROM n JOIN s USING (prefix, depth) LEFT JOIN n a ON a.prefix = n.prefix[1:n.depth - 1] AND a.depth = n.depth - 1
+    """,
     "op8_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
