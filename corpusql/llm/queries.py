@@ -18,6 +18,7 @@ from corpusql.llm.simhash import near_duplicates
 from corpusql.llm.tokens import token_counts
 from corpusql.llm.topk import top_k
 from corpusql.llm.toxicity import toxicity
+from corpusql.llm.url_rules import Stated, url_verdicts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +77,16 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build(grafted(spark.read.parquet(f"{sf_dir}/conversations.parquet"))).drop("turn_id")
 
 
+#: What is known of hosts beforehand; these rules label the URLs they fit.
+URL_RULES = [Stated("allow", "org", "/"), Stated("block", "example.org", "/es/"), Stated("block", "example.org", "/en/1"), Stated("allow", "com", "/fr/"), Stated("block", "com", "/de/")]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_mixing, op3_token_counts, op4_licenses, op5_packing, op6_language, op7_toxicity, op8_exact_dedup, op9_lm_scores, op10_topk, op11_prefix_trie)
+    f.__name__: f for f in (op1_simhash, op2_mixing, op3_token_counts, op4_licenses, op5_packing, op6_language, op7_toxicity, op8_exact_dedup, op9_lm_scores, op10_topk, op11_prefix_trie, op12_url_filters)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

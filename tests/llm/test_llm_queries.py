@@ -45,6 +45,7 @@ COLUMNS = {
     "op9_lm_scores": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
     "op10_topk": ["query_id", "rank", "vec_id", "score"],
     "op11_prefix_trie": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
+    "op12_url_filters": ["page_id", "host", "path", "rule", "verdict"],
 }
 
 
@@ -53,4 +54,4 @@ def test_columns_and_rows(spark, name):
     found = QUERIES[name](spark, SF)
     assert found.columns[: len(COLUMNS[name])] == COLUMNS[name]
     if name not in ("op5_packing", "op10_topk", "op11_prefix_trie"):
-        assert found.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+        assert found.count() == spark.read.parquet(f"{SF}/{'pages' if name == 'op12_url_filters' else 'documents'}.parquet").count()
