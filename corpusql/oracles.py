@@ -83,17 +83,22 @@ def _embedded(source: str, key: str, text: str, name: str) -> str:
 
 _EPS = "(1.0::DOUBLE + 1e-8) * (1.0::DOUBLE + 1e-8)"
 
-#: Hits of the exact search on fixed-size chunks: ends with hits(query_id, chunk_id, doc_id, content, score, rank).
-_HITS = f"""WITH RECURSIVE {fixed_chunks()}, named AS (
+def _exact_hits(questions: str = "qv", scored: str = "scored") -> str:
+    """CTEs from ``chunks`` to hits(query_id, chunk_id, doc_id, content, score, rank) of the exact search; the names given keep it apart from other searches."""
+    return f"""named AS (
             SELECT doc_id::VARCHAR || '_fixed_size_' || chunk_index::VARCHAR AS chunk_id, * FROM chunks
-        ), {_embedded("named", "chunk_id", "content", "cv")}, {_embedded("benchmark", "item_id", "text", "qv")}, scored AS (
+        ), {_embedded("named", "chunk_id", "content", "cv")}, {_embedded("benchmark", "item_id", "text", questions)}, {scored} AS (
             SELECT q.item_id AS query_id, c.chunk_id, round(sum(q.value * c.value) / ({_EPS}), 6) AS score
-            FROM qv q JOIN cv c USING (bucket) GROUP BY ALL
+            FROM {questions} q JOIN cv c USING (bucket) GROUP BY ALL
         ), ranked AS (
-            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM scored WHERE score >= 0.5
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM {scored} WHERE score >= 0.5
         ), hits AS (SELECT query_id, rank, chunk_id, doc_id, content, score FROM ranked JOIN named USING (chunk_id) WHERE rank <= 5)"""
 
 
+#: Hits of the exact search on fixed-size chunks.
+_HITS = f"WITH RECURSIVE {fixed_chunks()}, {_exact_hits()}"
+
+
 def _preview(x: str, n: int = 200) -> str:
     return f"CASE WHEN len({x}) > {n} THEN substr({x}, 1, {n}) || '...' ELSE {x} END"
 
@@ -282,6 +287,18 @@ _STAGES = f"""{_TREE}, {_embedded("nodes", "node_id", "content", "nv")}, {_embed
         ), rep AS (SELECT *, unnest(range(0, times)) AS copy FROM two),
         top AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank, chunk_id, doc_id, score, similarity, parent_similarity FROM two WHERE score >= 0.4 QUALIFY rank <= 5)"""
 
+#: Both searches beside each other, for the job that compares them: ends with top and hits.
+SYSTEMS_SQL = f"{_STAGES}, {_exact_hits('vq', 'vanilla_scored')}"
+
+
+def vector_texts(source: str, key: str, text: str) -> str:
+    """CTEs up to ``vectors(key, vector)``: the whole unit vector in millionths, joined by commas."""
+    return f"""{_embedded(source, key, text, "v")}, vectors AS (
+            SELECT {key}, string_agg(coalesce(round(value * 1000000)::BIGINT, 0)::VARCHAR, ',' ORDER BY b.bucket) AS vector
+            FROM (SELECT {key}, unnest(range(64))::INT AS bucket FROM {source}) b LEFT JOIN v USING ({key}, bucket) GROUP BY {key}
+        )"""
+
+
 ORACLES: dict[str, str] = {
     "summaries": f"SELECT doc_id, {_summary('text')} AS summary FROM documents",
     "hierarchy_nodes": f"{_TREE} SELECT node_id, doc_id, level, parent_id, seq, content, summary FROM nodes",
@@ -416,6 +433,10 @@ ORACLES: dict[str, str] = {
     "aggregate_analysis": f"""WITH {_METRICS}, l AS ({_LONG})
         SELECT rag_name, metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max,
                round(median(value), 6) AS median, count(*) AS count FROM l GROUP BY ALL""",
+    "comparison_cube": f"""WITH {_METRICS}
+        SELECT ['system_kind', 'system', 'kind', 'all'][grouping(rag_name, kind)::INT + 1] AS level, rag_name AS system, kind, count(*) AS n,
+               {", ".join(f"round(avg({c}), 6) AS mean_{c}, round(median({c}::DOUBLE), 6) AS median_{c}" for c in ("total_time", "confidence_score", "chunks_retrieved"))}
+        FROM (SELECT *, 'kind ' || (query_id::BIGINT % 3)::VARCHAR AS kind FROM ok) GROUP BY CUBE (rag_name, kind)""",
     "comparison_summary": f"WITH {_METRICS} SELECT rag_name, mean_time, mean_confidence, queries_per_second, win_rate, n FROM sm",
     "rankings": f"""WITH {_METRICS}, l AS ({_LONG}), v AS (
             SELECT 'overall' AS metric, rag_name, round(CASE WHEN max(mean_time) OVER () > 0 THEN 0.3::DOUBLE * (1 - mean_time / max(mean_time) OVER ()) ELSE 0 END

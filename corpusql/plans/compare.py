@@ -138,6 +138,24 @@ def aggregate(metrics: DataFrame) -> DataFrame:
     )
 
 
+def cube(metrics: DataFrame, kind: str, columns: list[str]) -> DataFrame:
+    """Measures by system, by ``kind`` of query, by both and over all, in one pass by grouping sets.
+
+    ``level`` says by what a row is grouped: 'system_kind', 'system', 'kind' or
+    'all'. Each of ``columns`` gives its mean and its median as ``mean_...``
+    and ``median_...``; ``n`` counts rows. A system or kind that is null itself
+    is told from one that is not grouped by the level.
+    """
+    r = lambda c, name: F.round(c, DIGITS).alias(name)
+    rows = _sound(metrics).select(F.col("rag_name").alias("system"), F.col(kind).alias("kind"), *[F.col(c).cast("double") for c in columns])
+    own = rows.cube("system", "kind").agg(
+        F.grouping_id().alias("grouped"), F.count("*").alias("n"),
+        *[r(F.avg(c), f"mean_{c}") for c in columns], *[r(F.median(c), f"median_{c}") for c in columns],
+    )
+    level = F.element_at(F.array(*map(F.lit, ("system_kind", "system", "kind", "all"))), F.col("grouped").cast("int") + 1)
+    return own.select(level.alias("level"), "system", "kind", "n", *[f"{m}_{c}" for c in columns for m in ("mean", "median")])
+
+
 def summary(metrics: DataFrame) -> DataFrame:
     """(rag_name, mean_time, mean_confidence, queries_per_second, win_rate, n) over all systems with any sound row."""
     won = winners(metrics)

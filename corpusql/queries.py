@@ -567,6 +567,13 @@ def comparison_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CP.summary(_metrics(spark, sf_dir))
 
 
+@query
+def comparison_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures by system, by kind of query, by both and over all; users stand for queries of three kinds."""
+    metrics = _metrics(spark, sf_dir).withColumn("kind", F.concat(F.lit("kind "), F.col("query_id").cast("long") % 3))
+    return CP.cube(metrics, "kind", ["total_time", "confidence_score", "chunks_retrieved"])
+
+
 @query
 def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CP.rankings(_metrics(spark, sf_dir))
