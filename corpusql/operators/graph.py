@@ -440,20 +440,108 @@ def _numbered(values: DataFrame, column: str, into: str) -> DataFrame:
     return ranges.join(F.broadcast(counts.select("range", before.alias("before"))), "range").withColumn(into, (F.col("before") + place).cast("int")).drop("range", "before")
 
 
-def communities(vertices: DataFrame, edges: DataFrame, algorithm: str = "louvain", rounds: int | None = None) -> DataFrame:
+def weighted_arcs(edges: DataFrame) -> DataFrame:
+    """(node, next, w): edges between two nodes in both directions, as many as there are; a loop counts 2."""
+    ends = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).unionAll(edges.select("dst", "src"))
+    return ends.groupBy("node", "next").agg(F.count("*").cast("double").alias("w"))
+
+
+def modularity(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row (communities, modularity) of (name, community): the share of edges within communities, less what chance would give.
+
+    Vertices without an edge count as communities only.
+    """
+    arcs = weighted_arcs(edges)
+    own = members.select(F.col("name").alias("node"), F.col("community").alias("a"))
+    labelled = arcs.join(own, "node").join(own.select(F.col("node").alias("next"), F.col("a").alias("b")), "next")
+    parts = labelled.groupBy("a").agg(F.sum("w").alias("degree"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)).alias("inner"))
+    sums = parts.agg(F.sum("degree").alias("m2"), F.sum("inner").alias("inner"), F.sum(F.col("degree") * F.col("degree")).alias("squares"))
+    value = F.coalesce(F.try_divide("inner", "m2") - F.try_divide("squares", F.col("m2") * F.col("m2")), F.lit(0.0))
+    count = members.agg(F.countDistinct("community").alias("communities"))
+    return count.join(sums.select(F.round(value, DIGITS).alias("modularity")), F.lit(True))  # one row each
+
+
+#: A gain of modularity below this is none; so many rounds without a gain end a level.
+LEAST_GAIN, PATIENCE = 1e-6, 2
+
+
+def _moved(arcs: DataFrame, m2: float) -> tuple[DataFrame, float]:
+    """(node, label) with the highest modularity that rounds of moves from one community per node reach, and that modularity.
+
+    In a round every node looks for the neighbouring community to which moving
+    gains most, by the weights into it and its sum of degrees; about half of the nodes,
+    chosen by a hash of node and round, go there. Equal gains go to the least label.
+    """
+    state = written(arcs.groupBy("node").agg(F.sum("w").alias("k")).withColumn("label", F.col("node")))
+    loops = arcs.filter("node = next").agg(F.sum("w")).first()[0] or 0.0
+    others = written(arcs.filter("node <> next"))
+    best, most, stale, turn = state, -1.0, 0, 0
+    while True:
+        own = state.select("node", "k", F.col("label").alias("own"))
+        totals = state.groupBy("label").agg(F.sum("k").alias("total"))
+        into = others.join(state.select(F.col("node").alias("next"), "label"), "next").groupBy("node", "label").agg(F.sum("w").alias("w"))
+        votes = written(into.join(own, "node"))
+        inner = votes.filter("label = own").agg(F.sum("w")).first()[0] or 0.0
+        now = (inner + loops) / m2 - (totals.agg(F.sum(F.col("total") * F.col("total"))).first()[0] or 0.0) / m2 / m2
+        if now > most + LEAST_GAIN:
+            best, most, stale = state, now, 0
+        elif (stale := stale + 1) >= PATIENCE:
+            break
+        stays = F.col("label") == F.col("own")
+        gain = F.round(F.col("w") - F.col("k") * (F.col("total") - F.when(stays, F.col("k")).otherwise(0.0)) / m2, 9)
+        ranked = votes.join(totals, "label").groupBy("node").agg(
+            F.min(F.struct((-gain).alias("minus"), F.when(stays, 0).otherwise(1).alias("moves"), "label")).alias("to"), F.max(F.when(stays, gain)).alias("stay")
+        )
+        alone = F.round(-F.col("k") * (F.col("total") - F.col("k")) / m2, 9)  # to stay without a neighbour in one's community
+        goes = F.coalesce(-F.col("to.minus") > F.coalesce("stay", alone), F.lit(False))
+        wishes = written(state.join(ranked, "node", "left").join(totals, "label").select("node", "k", "label", F.when(goes, F.col("to.label")).alias("wish")))
+        wishing = wishes.filter("wish IS NOT NULL").select("node")
+        if wishing.isEmpty():
+            break
+        half = lambda: F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(2)) == 0  # noqa: B023, E731
+        while wishing.filter(half()).isEmpty():  # a round in which none of them may move is none
+            turn += 1
+        state = written(wishes.select("node", "k", F.when(half(), F.coalesce("wish", "label")).otherwise(F.col("label")).alias("label")))
+        turn += 1
+    return best.select("node", "label"), most
+
+
+def louvain(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, community) by modularity: nodes move between communities, these become the nodes of a smaller weighted graph, and so on.
+
+    Directions are ignored and edges between two nodes counted. It ends when a
+    level gains nothing. Numbers follow the least name of a community; a vertex
+    without an edge is its own.
+    """
+    names = written(_numbered(vertices.select("name").distinct(), "name", "node"))
+    ids = lambda end: names.select(F.col("name").alias(end), F.col("node").alias(f"{end}_id"))
+    arcs = weighted_arcs(edges).join(ids("node"), "node").join(ids("next"), "next").select(F.col("node_id").alias("node"), F.col("next_id").alias("next"), "w")
+    arcs = written(arcs)
+    members = names.withColumn("label", F.col("node"))
+    m2, reached = arcs.agg(F.sum("w")).first()[0] or 0.0, -1.0
+    while m2:
+        labels, now = _moved(arcs, m2)
+        if now <= reached + LEAST_GAIN:
+            break
+        reached = now
+        up = labels.select("node", F.col("label").alias("up"))
+        members = written(members.join(up, members["label"] == up["node"], "left").select("name", members["node"], F.coalesce("up", "label").alias("label")))
+        there = up.select(F.col("node").alias("next"), F.col("up").alias("next_up"))
+        arcs = written(arcs.join(up, "node").join(there, "next").groupBy(F.col("up").alias("node"), F.col("next_up").alias("next")).agg(F.sum("w").alias("w")))
+    first = members.groupBy("label").agg(F.min("node").alias("first"))
+    return members.join(first.join(_numbered(first.select("first"), "first", "community"), "first"), "label").select("name", "community")
+
+
+def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(name, community): label propagation on the undirected simple graph, then gaps in numbering closed.
 
     In each round about half of the vertices, chosen by a hash of name and
     round, take the label most of their neighbours have; a vertex whose own
     label is among the most frequent keeps it, else the least of them counts.
     It ends when no vertex would change, or after ``rounds`` if these are given.
-    Another algorithm's name gives no rows, and so do fewer than two vertices.
     """
     steps = written(both_ways(edges).filter("node <> next"))
-    labels = vertices.select("name", F.col("name").alias("label"))
-    if algorithm != "louvain" or vertices.limit(2).count() < 2:
-        return labels.limit(0).select("name", F.lit(0).alias("community"))
-    labels = written(labels)
+    labels = written(vertices.select("name", F.col("name").alias("label")))
     for turn in itertools.count() if rounds is None else range(rounds):
         votes = steps.join(labels.withColumnRenamed("name", "next"), "next").groupBy("node", "label").agg(F.count("*").alias("n"))
         own = labels.select(F.col("name").alias("node"), F.col("label").alias("own"))
@@ -470,57 +558,135 @@ def communities(vertices: DataFrame, edges: DataFrame, algorithm: str = "louvain
     return labels.join(_numbered(labels.select("label").distinct(), "label", "community"), "label").select("name", "community")
 
 
-def query_entities_of(queries: DataFrame, vertices: DataFrame, mentions: DataFrame, embed_names, threshold: float = 0.3) -> DataFrame:
-    """(query_id, name): entities named in each query, else the three most similar ones.
+def communities(vertices: DataFrame, edges: DataFrame, algorithm: str = "louvain", rounds: int | None = None) -> DataFrame:
+    """(name, community) by 'louvain' or 'label_propagation' (at most ``rounds``); no rows for another algorithm, or fewer than two vertices."""
+    ways = {"louvain": lambda: louvain(vertices, edges), "label_propagation": lambda: label_propagation(vertices, edges, rounds)}
+    if algorithm not in ways or vertices.limit(2).count() < 2:
+        return vertices.limit(0).select("name", F.lit(0).alias("community"))
+    return ways[algorithm]()
+
+
+#: Characters of a key in the index of names: a form is found by its beginning, then checked as a whole.
+KEY_LENGTH = 8
+
 
-    A name counts if it, or all its words, or one of its mentions, occurs in
-    the query without regard to case. Names are matched in blocks of queries
-    held by every task; ``mentions`` has (name, mention).
+def _keyed_names(vertices: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(key, name, parts): what a query must contain for a name to count, under the beginning of its longest part.
+
+    A name of several words counts where all its words occur, any other form where it occurs whole.
     """
-    spark = vertices.sparkSession
-    spoken = (
-        vertices.select("name", F.col("name").alias("form"), F.lit(True).alias("own"))
-        .unionAll(mentions.select("name", "mention", F.lit(False)))
-        .withColumn("form", F.lower("form"))
-        .distinct()
-    )
-    asked = queries.select("query_id", F.lower("query").alias("low"))
-    kind = asked.schema["query_id"].dataType.simpleString()
-
-    def matched(held: list[tuple]) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                whose, names = [], []
-                for name, form, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    words = form.split() if own else []
-                    for query_id, low in held:
-                        if form in low or (len(words) > 1 and all(w in low for w in words)):
-                            whose.append(query_id)
-                            names.append(name)
-                yield pa.RecordBatch.from_arrays([pa.array(whose, batch_type), pa.array(names, pa.string())], ["query_id", "name"])
-
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        batch_type = to_arrow_type(asked.schema["query_id"].dataType)
-        return spoken.mapInArrow(run, f"query_id {kind}, name string").distinct()
-
-    blocks, block = [], []
-    for r in asked.toLocalIterator():  # queries pass through the driver a block at a time
-        block.append((r["query_id"], r["low"] or ""))
-        if len(block) == 4_096:
-            blocks.append(matched(block))
-            block = []
-    if block or not blocks:
-        blocks.append(matched(block))
-    exact = blocks[0]
-    for more in blocks[1:]:
-        exact = exact.unionByName(more)
-    exact = written(exact)
+    words = F.filter(F.split(F.lower("name"), r"\s+"), lambda w: w != "")
+    own = vertices.select("name", F.when(F.size(words) > 1, F.array_distinct(words)).otherwise(F.array(F.lower("name"))).alias("parts"))
+    spoken = mentions.select("name", F.array(F.lower("mention")).alias("parts"))
+    longest = F.reduce("parts", F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
+    return own.unionAll(spoken).distinct().select(F.substring(longest, 1, KEY_LENGTH).alias("key"), "name", "parts")
+
+
+def named_in(queries: DataFrame, vertices: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(query_id, name): names of which all words, or a mention, occur in the query without regard to case.
+
+    Every name stands in an index under the first characters of its longest
+    part; a query looks up its substrings of up to that length in one equi join
+    and checks the few names it meets. Neither side is held whole anywhere.
+    """
+    low = queries.select("query_id", F.coalesce(F.lower("query"), F.lit("")).alias("low"))
+    at = F.sequence(F.lit(1), F.length("low"))
+    grams = F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(KEY_LENGTH), F.length("low") - i + 1)), lambda n: F.substr("low", i, n)))
+    keys = low.filter(F.length("low") > 0).select("query_id", F.explode(F.array_distinct(F.flatten(grams))).alias("key"))
+    met = keys.join(_keyed_names(vertices, mentions), "key").select("query_id", "name", "parts")
+    return met.join(low, "query_id").filter(F.forall("parts", lambda w: F.contains("low", w))).select("query_id", "name").distinct()
+
+
+def query_entities_of(queries: DataFrame, vertices: DataFrame, mentions: DataFrame, embed_names, threshold: float = 0.3) -> DataFrame:
+    """(query_id, name): entities named in each query, else the three most similar ones; ``mentions`` has (name, mention)."""
+    exact = written(named_in(queries, vertices, mentions))
     lone = queries.join(exact.select("query_id").distinct(), "query_id", "left_anti")
+    if lone.isEmpty():
+        return exact
     similar = nearest(embed_names(lone, "query"), embed_names(vertices.select("name"), "name"), 3, "cosine", threshold, item_id="name")
     return exact.unionByName(similar.select("query_id", F.col("item_id").alias("name")))
 
 
+#: Queries whose reach is kept in one number, a bit for each.
+BLOCK = 64
+
+
+def numbered_queries(queries: DataFrame) -> DataFrame:
+    """(query_id, block, bit) of the distinct queries, in order."""
+    numbers = _numbered(queries.select("query_id").distinct(), "query_id", "number")
+    return numbers.select("query_id", (F.col("number") / BLOCK).cast("int").alias("block"), (F.col("number") % BLOCK).alias("bit"))
+
+
+def reach(named: DataFrame, numbers: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
+    """(block, name, own, reached): which queries of a block name an entity, and which are within ``depth`` steps of it.
+
+    A step takes 64 queries at once along each edge, so its rows are arcs times
+    blocks, however many entities the queries name.
+    """
+    steps = both_ways(edges).filter("node <> next")
+    own = named.join(numbers, "query_id").groupBy("block", "name").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    own = written(own)
+    front = own
+    for _ in range(depth):
+        further = front.join(steps, front["name"] == steps["node"]).groupBy("block", F.col("next").alias("name")).agg(F.bit_or("bits").alias("bits"))
+        front = front.unionByName(further).groupBy("block", "name").agg(F.bit_or("bits").alias("bits"))
+    mine = own.withColumnRenamed("bits", "own")
+    return front.withColumnRenamed("bits", "reached").join(mine, ["block", "name"], "left").fillna(0, ["own"])
+
+
+def links(named: DataFrame, wanted: DataFrame, edges: DataFrame, relationships: DataFrame) -> DataFrame:
+    """(query_id, name, link) of wanted (query_id, name): the best link to an entity of the query within three steps.
+
+    The same entity counts 1; others the mean confidence along a shortest path
+    over its length plus one. Of several shortest paths from the query's entity the one least in
+    order of names counts. Where there is none the row is left out.
+
+    Both sides meet in the middle: steps from the query's entities and steps
+    from the wanted ones are joined on the node between. Places on a path are compared one
+    by one, no path is ever listed. A longer path can only matter to a row whose link so far is
+    below the greatest confidence over the longer length, so most rows need no long ones.
+    """
+    known = step_relations(relationships)
+    steps = written(
+        both_ways(edges)
+        .filter("node <> next")
+        .join(known.select("lo", "hi", "confidence"), (F.least("node", "next") == F.col("lo")) & (F.greatest("node", "next") == F.col("hi")))
+        .select("node", "next", "confidence")
+    )
+    most = steps.agg(F.max("confidence")).first()[0] or 0.0
+    wanted = wanted.select("query_id", "name").distinct()
+    same = wanted.join(named, ["query_id", "name"], "left_semi").withColumn("link", F.lit(1.0))
+    rest = written(wanted.join(named, ["query_id", "name"], "left_anti"))
+    # One step from the query's entities: what is next to them, with the first confidence.
+    near = written(named.join(steps, F.col("name") == F.col("node")).select("query_id", F.col("name").alias("origin"), F.col("next").alias("a"), F.col("confidence").alias("c1")))
+    key = ["query_id", "name"]
+
+    def best(found: DataFrame, length: int) -> DataFrame:
+        return found.groupBy(*key).agg(F.max(F.col("total") / length / (length + 1)).alias("link"))
+
+    def still_open(rows: DataFrame, found: DataFrame, length: int) -> DataFrame:
+        told = found.groupBy(*key).agg(F.max("link").alias("link"))
+        return rows.join(told, key, "left").filter(F.coalesce("link", F.lit(0.0)) < most / (length + 1)).select(*key)
+
+    adjacent = near.withColumnRenamed("a", "name").join(rest, key, "left_semi")
+    one = written(best(adjacent.withColumn("total", F.col("c1")), 1))
+
+    second = written(still_open(rest, one, 2))
+    ahead = second.join(steps, F.col("name") == F.col("node")).select(*key, F.col("next").alias("a"), F.col("confidence").alias("c2"))
+    met = near.join(ahead, ["query_id", "a"]).filter("origin <> name").join(adjacent.select(*key, "origin"), [*key, "origin"], "left_anti")
+    two = written(met.groupBy(*key, "origin").agg(F.min_by(F.col("c1") + F.col("c2"), "a").alias("total")))
+
+    found = one.unionByName(best(two, 2))
+    third = written(still_open(second, found, 3))
+    behind = third.join(steps, F.col("name") == F.col("node")).select(*key, F.col("next").alias("b"), F.col("confidence").alias("c3"))
+    ahead = behind.join(steps, F.col("b") == F.col("node")).select(*key, "b", "c3", F.col("next").alias("a"), F.col("confidence").alias("c2"))
+    nearer = adjacent.select(*key, "origin").unionByName(two.select(*key, "origin"))
+    met = near.join(ahead, ["query_id", "a"]).filter("origin <> name AND origin <> b").join(nearer, [*key, "origin"], "left_anti")
+    three = met.groupBy(*key, "origin").agg(F.min_by(F.col("c1") + F.col("c2") + F.col("c3"), F.struct("a", "b")).alias("total"))
+    best_of_all = found.unionByName(best(three, 3)).groupBy(*key).agg(F.max("link").alias("link"))
+    return same.unionByName(best_of_all)
+
+
 def drawing(vertices: DataFrame, relationships: DataFrame, important: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges with sizes, widths and colours for drawing."""
     pick = lambda table, column, other: F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[column], F.lit(other))

@@ -336,14 +336,15 @@ def relations_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def relations_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _graph_chunks(spark, sf_dir)
-    return E.filtered(E.relations(found), E.merged(E.mentions(found)))[0]
+    both = written(E.extracted(_graph_chunks(spark, sf_dir)))
+    return E.filtered(E.relations_of(both), E.merged(E.mentions_of(both)))[0]
 
 
 @query
 def extraction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _graph_chunks(spark, sf_dir)
-    return E.document_stats(E.extraction_stats(found, E.mentions(found), E.relations(found)))
+    found = written(_graph_chunks(spark, sf_dir))
+    both = written(E.extracted(found))
+    return E.document_stats(E.extraction_stats(found, E.mentions_of(both), E.relations_of(both)))
 
 
 # The graph of all parts: brands develop items, items are part of types and use sizes, types relate to sizes
@@ -522,8 +523,8 @@ def graph_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def graph_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, graph, hits = _graph_hits(spark, sf_dir)
-    return GP.answer(asked, hits, graph, GRAPH_CONFIG)
+    asked, graph = _questions(spark, sf_dir), GP.index(_table(spark, sf_dir, "documents"), GRAPH_CONFIG)
+    return GP.query(asked, graph, GRAPH_CONFIG)
 
 
 @query
