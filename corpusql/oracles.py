@@ -132,6 +132,15 @@ _MEASURES = f"""
             JOIN (SELECT label, count(*) AS total FROM embeddings GROUP BY label) t ON t.label = a.label
         ) GROUP BY query_id"""
 
+_SIMILAR = f"""own AS (SELECT doc_id, list_sort(list_distinct({_words("lower(coalesce(text, ''))")})) AS w FROM documents),
+        cls AS (SELECT w, min(doc_id) AS class_id, count(*) AS size FROM own WHERE len(w) > 0 GROUP BY w),
+        prs AS (
+            SELECT least(a.class_id, b.class_id) AS doc_a, greatest(a.class_id, b.class_id) AS doc_b,
+                   len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS similarity
+            FROM cls a JOIN cls b ON (len(a.w), a.class_id) < (len(b.w), b.class_id) AND len(a.w) >= 0.8::DOUBLE * len(b.w) - 1e-9
+            WHERE similarity >= 0.8::DOUBLE
+        )"""
+
 _TURNS = "turns AS (SELECT a.conv_id, a.turn, a.text, b.text AS reply FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
 
 _PARTS = """
@@ -323,6 +332,14 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, unnest(range(0, len(p)))::INT AS seq, unnest(p) AS part FROM b""",
     "jaccard_turns": f"""WITH {_TURNS}, w AS (SELECT conv_id, turn, list_distinct({_words("lower(text)")}) AS a, list_distinct({_words("lower(reply)")}) AS b FROM turns)
         SELECT conv_id, turn, round(coalesce(len(list_intersect(a, b))::DOUBLE / nullif(len(list_distinct(list_concat(a, b))), 0), 0), 6) AS similarity FROM w""",
+    "similar_pairs": f"WITH {_SIMILAR} SELECT doc_a, doc_b, round(similarity, 6) AS similarity FROM prs",
+    "similar_counts": f"""WITH {_SIMILAR}, lnk AS (
+            SELECT class_id, sum(size) AS others FROM (
+                SELECT doc_a AS class_id, size FROM prs JOIN cls ON cls.class_id = doc_b UNION ALL SELECT doc_b, size FROM prs JOIN cls ON cls.class_id = doc_a
+            ) GROUP BY class_id
+        )
+        SELECT doc_id, coalesce(c.class_id, doc_id) AS class_id, coalesce(size - 1 + coalesce(others, 0), 0)::BIGINT AS n_links
+        FROM own LEFT JOIN cls c USING (w) LEFT JOIN lnk ON lnk.class_id = c.class_id""",
     "json_profile": """SELECT event_id, CASE json_type(props) WHEN 'OBJECT' THEN 'dict' WHEN 'ARRAY' THEN 'list' END AS json_type,
         array_to_string(json_keys(props), ',') AS json_keys, len(json_keys(props))::INT AS json_length FROM events""",
     "chunk_fixed": f"WITH RECURSIVE {fixed_chunks()} {_chunk_rows('fixed_size')}",

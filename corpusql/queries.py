@@ -16,6 +16,7 @@ from corpusql.operators import evaluation as EV
 from corpusql.operators import graph as G
 from corpusql.operators.context import compressed, gathered, templated
 from corpusql.operators.nearest import nearest
+from corpusql.operators.similar import similar_counts, similar_pairs
 from corpusql.plans import compare as CP
 from corpusql.plans import graph as GP
 from corpusql.plans import hierarchical as H
@@ -112,6 +113,10 @@ def jaccard_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turns(spark, sf_dir).select("conv_id", "turn", F.round(T.jaccard(F.col("text"), F.col("reply")), 6).alias("similarity"))
 
 
+QUERIES["similar_pairs"] = lambda spark, sf_dir: similar_pairs(_table(spark, sf_dir, "documents"))
+QUERIES["similar_counts"] = lambda spark, sf_dir: similar_counts(_table(spark, sf_dir, "documents"))
+
+
 @query
 def json_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, keys, length = json_columns(F.col("props"))
