@@ -229,7 +229,7 @@ class _Shares:
         self.tails = tails[order]
         self.first = np.searchsorted(heads[order], np.arange(n + 1))
         self.distance, self.ways, self.share = np.full(n, -1), np.zeros(n), np.zeros(n)
-        self.total = np.zeros(n)
+        self.total, self.squares = np.zeros(n), np.zeros(n)
 
     def add(self, source: int) -> None:
         distance, ways, share = self.distance, self.ways, self.share
@@ -254,26 +254,30 @@ class _Shares:
         share[source] = 0
         touched = np.concatenate(reached)
         self.total[touched] += share[touched]
+        self.squares[touched] += share[touched] ** 2
         distance[touched], ways[touched], share[touched] = -1, 0, 0
 
 
-def betweenness(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(name, betweenness): exact, directed, normalised by (n - 1)(n - 2).
+def _numbered_arcs(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(name, node) of all vertices and (s, t) of the distinct arcs between them, loops left out."""
+    names = written(_numbered(vertices.select("name").distinct(), "name", "node"))
+    arcs = edges.filter("src <> dst").select("src", "dst").distinct()
+    for end, short in (("src", "s"), ("dst", "t")):
+        arcs = arcs.join(names.select(F.col("name").alias(end), F.col("node").alias(short)), end)
+    return names, written(arcs.select("s", "t"))
 
-    Each task takes some sources and adds up their shares. The graph goes to
-    every task where it has at most ``BROADCAST_EDGES`` edges; beyond that the
-    same sums are made by joins, level by level.
+
+def _shares(names: DataFrame, arcs: DataFrame, n: int, sources: DataFrame) -> DataFrame:
+    """(node, share, squares): sums, over sources (node), of each node's share of the shortest paths from a source, and of its square.
+
+    Each task takes some sources and adds up. The arcs, two numbers each, go to every task
+    where there are at most ``BROADCAST_EDGES``; beyond that the same sums are made by joins, level by level.
     """
-    spark = vertices.sparkSession
-    arcs = edges.filter("src <> dst").select("src", "dst").distinct()
-    names = vertices.select("name").distinct()
-    if (held := arcs.limit(BROADCAST_EDGES + 1).toArrow()).num_rows > BROADCAST_EDGES:
-        return _betweenness_by_joins(names, arcs)
-    n = names.count()
-    scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    ends = pa.concat_arrays([c for name in ("src", "dst") for c in held.column(name).chunks] or [pa.array([], pa.string())]).dictionary_encode()
-    known, codes = ends.dictionary, ends.indices.to_numpy()
-    shared = spark.sparkContext.broadcast((codes[: held.num_rows].astype(np.int64), codes[held.num_rows :].astype(np.int64), len(known)))
+    held = arcs.limit(BROADCAST_EDGES + 1).toArrow()
+    if held.num_rows > BROADCAST_EDGES:
+        return _shares_by_joins(arcs, sources)
+    spark = names.sparkSession
+    shared = spark.sparkContext.broadcast((held.column("s").to_numpy().astype(np.int64), held.column("t").to_numpy().astype(np.int64), n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shares = _Shares(*shared.value)
@@ -281,48 +285,84 @@ def betweenness(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             for source in batch.column(0).to_numpy():
                 shares.add(int(source))
         where = np.flatnonzero(shares.total)
-        yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(shares.total[where])], ["node", "share"])
+        yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(shares.total[where]), pa.array(shares.squares[where])], ["node", "share", "squares"])
 
-    tasks = max(1, min(math.ceil(len(known) / 64), 4 * spark.sparkContext.defaultParallelism))
-    sums = spark.range(0, len(known), 1, tasks).mapInArrow(run, "node long, share double").groupBy("node").agg(F.sum("share").alias("share"))
-    table = spark.createDataFrame(pa.table({"node": pa.array(np.arange(len(known))), "name": known}))
-    named = sums.join(table, "node").select("name", (F.col("share") * scale).alias("betweenness"))
-    return names.join(named, "name", "left").select("name", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+    tasks = max(1, min(math.ceil(n / 64), 4 * spark.sparkContext.defaultParallelism))
+    return sources.select("node").repartition(tasks).mapInArrow(run, "node long, share double, squares double").groupBy("node").agg(F.sum("share").alias("share"), F.sum("squares").alias("squares"))
 
 
-def _betweenness_by_joins(names: DataFrame, arcs: DataFrame) -> DataFrame:
+def _shares_by_joins(arcs: DataFrame, sources: DataFrame) -> DataFrame:
     """The same by joins on (source, node), one written table per level."""
-    n = names.count()
-    scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    front = names.select(F.col("name").alias("s"), F.col("name").alias("v"), F.lit(1.0).alias("ways"))
-    levels = [written(front)]
-    seen = levels[0].select("s", "v")
+    levels = [written(sources.select(F.col("node").alias("source"), F.col("node").alias("v"), F.lit(1.0).alias("ways")))]
+    seen = levels[0].select("source", "v")
     while True:
-        reached = levels[-1].join(arcs, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.sum("ways").alias("ways"))
-        level = written(reached.join(seen, ["s", "v"], "left_anti"))
+        reached = levels[-1].join(arcs, F.col("v") == F.col("s")).groupBy("source", F.col("t").alias("v")).agg(F.sum("ways").alias("ways"))
+        level = written(reached.join(seen, ["source", "v"], "left_anti"))
         if level.isEmpty():
             break
         levels.append(level)
-        seen = seen.unionByName(level.select("s", "v"))
+        seen = seen.unionByName(level.select("source", "v"))
     shares, below = [], None
     for level in reversed(levels):
         if below is None:
             own = level.withColumn("share", F.lit(0.0))
         else:
             up = (
-                level.join(arcs, F.col("v") == F.col("src"))
-                .join(below.select("s", F.col("v").alias("dst"), F.col("ways").alias("ways_below"), F.col("share").alias("share_below")), ["s", "dst"])
-                .groupBy("s", "v")
+                level.join(arcs, F.col("v") == F.col("s"))
+                .join(below.select("source", F.col("v").alias("t"), F.col("ways").alias("ways_below"), F.col("share").alias("share_below")), ["source", "t"])
+                .groupBy("source", "v")
                 .agg(F.sum(F.col("ways") / F.col("ways_below") * (1 + F.col("share_below"))).alias("share"))
             )
-            own = level.join(up, ["s", "v"], "left").fillna(0.0, ["share"])
+            own = level.join(up, ["source", "v"], "left").fillna(0.0, ["share"])
         below = written(own)
         shares.append(below)
     total = shares[0]
     for more in shares[1:]:
         total = total.unionByName(more)
-    sums = total.filter("s <> v").groupBy(F.col("v").alias("name")).agg((F.sum("share") * scale).alias("betweenness"))
-    return names.join(sums, "name", "left").fillna(0.0, ["betweenness"])
+    return total.filter("source <> v").groupBy(F.col("v").alias("node")).agg(F.sum("share").alias("share"), F.sum(F.col("share") * F.col("share")).alias("squares"))
+
+
+def betweenness(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, betweenness): exact, directed, normalised by (n - 1)(n - 2); costs vertices times edges."""
+    names, arcs = _numbered_arcs(vertices, edges)
+    n = names.count()
+    scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    found = _shares(names, arcs, n, arcs.select(F.col("s").alias("node")).distinct())
+    return names.join(found, "node", "left").select("name", (F.coalesce("share", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def betweenness_sampled(vertices: DataFrame, edges: DataFrame, error: float = 0.01, failure: float = 0.05, first: int = 256, seed: int = 0) -> DataFrame:
+    """(name, betweenness, error, sources): an unbiased estimate from a sample of sources, and how far it may be off.
+
+    Sources are taken in the order of a hash, without repetition, ``first`` of
+    them and then twice as many each time, until the bound of every vertex is
+    at most ``error``, or all are taken and the values are exact. With probability
+    1 - ``failure`` all true values lie within their vertex's ``error``: the empirical Bernstein bound
+    of a mean of values in [0, 1], over all vertices and rounds. What that needs does not
+    grow with the graph but by its logarithm, so the cost is that of so many walks along all edges.
+    """
+    names, arcs = _numbered_arcs(vertices, edges)
+    n = names.count()
+    out = written(_numbered(arcs.select(F.col("s").alias("node")).distinct().withColumn("drawn", F.xxhash64(F.lit(seed), "node")).select(F.struct("drawn", "node").alias("drawn")), "drawn", "place"))
+    total = out.count()
+    if n < 3 or not total:
+        return names.select("name", F.lit(0.0).alias("betweenness"), F.lit(0.0).alias("error"), F.lit(total).cast("long").alias("sources"))
+    rounds = 1 + max(0, math.ceil(math.log2(total / first)))
+    doubt = math.log(3 * n * rounds / failure)
+    taken, parts = 0, None
+    while True:
+        goal = min(total, max(first, 2 * taken))
+        new = written(_shares(names, arcs, n, out.filter((F.col("place") >= taken) & (F.col("place") < goal)).select("drawn.node")))
+        parts, taken = new if parts is None else parts.unionByName(new), goal
+        sums = parts.groupBy("node").agg(F.sum("share").alias("share"), F.sum("squares").alias("squares"))
+        mean, square = F.col("share") / taken / (n - 2), F.col("squares") / taken / (n - 2) ** 2
+        spread = F.sqrt(2 * F.greatest(square - mean * mean, F.lit(0.0)) * doubt / taken) + 3 * doubt / taken
+        scale = total / (n - 1)  # other vertices begin no path
+        told = sums.select("node", (mean * scale).alias("betweenness"), (F.lit(0.0) if taken == total else spread * scale).alias("error"))
+        unseen = 0.0 if taken == total else 3 * doubt / taken * scale  # the bound of a vertex no sampled path went through
+        if max(told.agg(F.max("error")).first()[0] or 0.0, unseen) <= error:
+            break
+    return names.join(told, "node", "left").select("name", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"), F.coalesce("error", F.lit(unseen)).alias("error"), F.lit(taken).cast("long").alias("sources"))
 
 
 def importance(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -452,6 +452,12 @@ def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.betweenness(vertices, edges).withColumn("betweenness", F.round("betweenness", 6))
 
 
+@query
+def betweenness_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vertices, _, edges = _part_graph(spark, sf_dir)
+    return G.betweenness_sampled(vertices, edges, error=0.02)
+
+
 @query
 def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     vertices, _, edges = _part_graph(spark, sf_dir)
@@ -495,6 +501,13 @@ def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.communities(vertices, edges)
 
 
+@query
+def communities_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How good the communities are."""
+    vertices, _, edges = _part_graph(spark, sf_dir)
+    return G.modularity(written(G.communities(vertices, edges)), edges)
+
+
 @query
 def graph_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vertices, relationships, _ = _part_graph(spark, sf_dir)

@@ -239,3 +239,28 @@ def test_louvain_beats_label_propagation(spark):
     vertices, _, edges = Q._part_graph(spark, SF)
     one, other = (G.modularity(G.communities(vertices, edges, way), edges).first().modularity for way in ("louvain", "label_propagation"))
     assert one >= other
+
+
+def test_sampled_betweenness_is_within_its_bound(spark):
+    vertices, _, edges = Q._part_graph(spark, SF)
+    exact = {r.name: r.betweenness for r in G.betweenness(vertices, edges).collect()}
+    sampled = G.betweenness_sampled(vertices, edges, error=0.05, first=64).collect()
+    assert {r.name for r in sampled} == set(exact)
+    assert all(abs(r.betweenness - exact[r.name]) <= r.error + 1e-12 for r in sampled)
+    whole = G.betweenness_sampled(vertices, edges, error=0.0, first=64).collect()  # never reached, so all sources are taken
+    assert all(r.error == 0 for r in whole) and {r.name: r.betweenness for r in whole} == pytest.approx(exact)
+
+
+def test_sampling_stops_early_and_is_unbiased(spark, monkeypatch):
+    """Stars of stars: many sources, few vertices between them; the mean over seeds comes near the truth."""
+    edges = [(f"l{i}", f"h{i % 3}") for i in range(900)] + [(f"h{i}", "m") for i in range(3)] + [("m", f"o{i}") for i in range(30)]
+    names = sorted({x for e in edges for x in e})
+    vertices, frame = framed(spark, edges, names)
+    exact = {r.name: r.betweenness for r in G.betweenness(vertices, frame).collect()}
+    runs = [{r.name: (r.betweenness, r.error, r.sources) for r in G.betweenness_sampled(vertices, frame, error=0.5, first=100, seed=seed).collect()} for seed in range(4)]
+    assert all(run["m"][2] < 904 and run["m"][1] <= 0.5 for run in runs)
+    assert all(abs(run[n][0] - exact[n]) <= run[n][1] for run in runs for n in names)
+    assert sum(run["h0"][0] for run in runs) / 4 == pytest.approx(exact["h0"], rel=0.25)
+    monkeypatch.setattr(G, "BROADCAST_EDGES", 2)
+    joined = {r.name: r.betweenness for r in G.betweenness_sampled(vertices, frame, error=0.5, first=100).collect()}
+    assert joined == pytest.approx({n: v[0] for n, v in runs[0].items()})
