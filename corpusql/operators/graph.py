@@ -226,27 +226,30 @@ class _Shares:
 
     def __init__(self, heads: np.ndarray, tails: np.ndarray, n: int):
         order = np.argsort(heads, kind="stable")
-        self.tails = tails[order]
+        self.tails = tails[order].astype(np.int32)
         self.first = np.searchsorted(heads[order], np.arange(n + 1))
-        self.distance, self.ways, self.share = np.full(n, -1), np.zeros(n), np.zeros(n)
-        self.total, self.squares = np.zeros(n), np.zeros(n)
+        self.count = np.diff(self.first)
+        self.distance, self.mark = np.full(n, -1, np.int32), np.zeros(n, np.int32)
+        self.ways, self.share, self.total, self.squares = (np.zeros(n) for _ in range(4))
 
     def add(self, source: int) -> None:
-        distance, ways, share = self.distance, self.ways, self.share
-        front = np.array([source])
+        distance, ways, share, mark = self.distance, self.ways, self.share, self.mark
+        front = np.array([source], np.int32)
         distance[source], ways[source] = 0, 1
         reached, levels = [front], []
         while len(front):
-            counts = self.first[front + 1] - self.first[front]
+            counts = self.count[front]
             heads = np.repeat(front, counts)
-            # The edges of each node of the front stand together: their places are runs.
-            place = np.arange(len(heads)) + np.repeat(self.first[front] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
+            # The arcs of each node of the front stand together: their places are runs.
+            place = np.arange(len(heads)) + np.repeat(self.first[front] - (np.cumsum(counts) - counts), counts)
             tails = self.tails[place]
-            new = distance[tails] < 0
+            new = np.flatnonzero(distance[tails] < 0)
             heads, tails = heads[new], tails[new]
             np.add.at(ways, tails, ways[heads])
             levels.append((heads, tails))
-            front = np.unique(tails)
+            here = np.arange(len(tails), dtype=np.int32)
+            mark[tails] = here  # each node keeps one of its places, so it is followed once
+            front = tails[mark[tails] == here]
             distance[front] = len(levels)
             reached.append(front)
         for heads, tails in reversed(levels):
