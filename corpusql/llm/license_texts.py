@@ -123,11 +123,6 @@ BODIES: dict[str, str] = {
         "theory of liability whether in contract strict liability or tort including negligence or otherwise arising in "
         "any way out of the use of this software even if advised of the possibility of such damage "
     ),
-    "CC-BY-SA-4.0": (
-        "graphosaurus c by the petgraph project graphosaurus is licensed under a creative commons attribution "
-        "sharealike 4 0 international license you should have received a copy of the license along with this work if "
-        "not see http creativecommons org licenses by sa 4 0 "
-    ),
     "CC0-1.0": (
         "creative commons legal code cc0 1 0 universal creative commons corporation is not a law firm and does not "
         "provide legal services distribution of this document does not create an attorney client relationship creative "

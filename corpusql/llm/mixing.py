@@ -6,10 +6,14 @@ Bernoulli copy with probability equal to the rate's fraction.
 
 A document's draw is 48 bits of the md5 of its id. A source's seed turns the
 draws of its documents by some ``SEEDS``-th parts of the range, and a turned
-draw below the fraction gives the copy, so that whatever the seed each document
-is drawn with the fraction as probability. One seed misses a source's target by
-the luck of its long documents; of all ``SEEDS`` that one is taken whose words
-come nearest, the least on ties. The words of every seed are summed per source
+draw below the fraction gives the copy: for one seed fixed beforehand each document is drawn with
+the fraction as probability. One seed misses a source's target by
+the luck of its long documents, so of all ``SEEDS`` that one is taken whose words
+come nearest, the least on ties. Given a table the seed is thus chosen by its
+result, and a document's probability is no longer the fraction: a source of one
+document is rounded to all or nothing, and the words of a source of few documents are
+rounded to the nearest of at most ``SEEDS`` sums; with many documents each is
+drawn about as often as the fraction says. The words of every seed are summed per source
 in one aggregation, which is partial in each task, so that no source meets in
 one task and no document is put in order.
 
