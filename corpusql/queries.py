@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +16,7 @@ from corpusql.operators import entities as E
 from corpusql.operators import evaluation as EV
 from corpusql.operators import graph as G
 from corpusql.operators.context import compressed, gathered, templated
+from corpusql.operators import vector_index
 from corpusql.operators.nearest import nearest
 from corpusql.operators.similar import similar_counts, similar_pairs
 from corpusql.plans import compare as CP
@@ -22,7 +24,7 @@ from corpusql.plans import graph as GP
 from corpusql.plans import hierarchical as H
 from corpusql.plans import vanilla as VP
 from corpusql.sources.files import json_columns
-from corpusql.storage import written
+from corpusql.storage import shared_folder, written
 from corpusql.streaming.ingest import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -178,6 +180,15 @@ QUERIES["euclidean_topk"] = _nearest(5, "euclidean")
 QUERIES["cosine_threshold"] = _nearest(None, "cosine", 0.4)
 
 
+@query
+def index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of cosine_topk in the probed lists of an index."""
+    asked, rows = _vectors(spark, sf_dir)
+    path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    vector_index.build(rows, path)
+    return vector_index.search(spark, path, asked, 5, vector_index.probes_for(spark, path))
+
+
 @query
 def normalized_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
