@@ -342,6 +342,8 @@ ORACLES: dict[str, str] = {
         FROM own LEFT JOIN cls c USING (w) LEFT JOIN lnk ON lnk.class_id = c.class_id""",
     "json_profile": """SELECT event_id, CASE json_type(props) WHEN 'OBJECT' THEN 'dict' WHEN 'ARRAY' THEN 'list' END AS json_type,
         array_to_string(json_keys(props), ',') AS json_keys, len(json_keys(props))::INT AS json_length FROM events""",
+    "json_fields": """SELECT event_id, j.fullkey[3:] AS path, CASE j.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind, j.atom->>'$' AS value
+        FROM events e, json_tree(e.props) j WHERE j.type NOT IN ('OBJECT', 'ARRAY')""",
     "chunk_fixed": f"WITH RECURSIVE {fixed_chunks()} {_chunk_rows('fixed_size')}",
     "chunk_semantic": f"WITH RECURSIVE {CLEANED}, {semantic_chunks(400, 50, 100)} {_chunk_rows('semantic')}",
     "chunk_overlapping": f"""WITH {CLEANED}, w AS (

@@ -23,7 +23,7 @@ from corpusql.plans import compare as CP
 from corpusql.plans import graph as GP
 from corpusql.plans import hierarchical as H
 from corpusql.plans import vanilla as VP
-from corpusql.sources.files import json_columns
+from corpusql.sources.files import json_columns, json_fields
 from corpusql.storage import shared_folder, written
 from corpusql.streaming.ingest import windowed_counts
 
@@ -125,6 +125,9 @@ def json_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", kind, F.array_join(keys, ",").alias("json_keys"), length)
 
 
+QUERIES["json_fields"] = lambda spark, sf_dir: json_fields(_table(spark, sf_dir, "events").select("event_id", "props"), "props")
+
+
 # Chunks
 
 

@@ -172,3 +172,27 @@ def json_columns(text: Column) -> list[Column]:
     return [
         F.when(keys.isNotNull(), "dict").when(length.isNotNull(), "list").alias("json_type"), keys.alias("json_keys"), F.coalesce(F.size(keys), length).alias("json_length")
     ]
+
+
+def json_fields(df: DataFrame, text: str, depth: int = 4) -> DataFrame:
+    """The values within a JSON column, a row each: the other columns, path, kind and value.
+
+    Objects and arrays are opened down to ``depth``; what lies deeper is given
+    as JSON text. A path names keys and places, joined by dots. A text that is
+    no JSON, null or a single value without a key gives no row; neither does an empty object or array.
+    """
+    kept, spark = [c for c in df.columns if c != text], df.sparkSession
+    level, found = df.select(*kept, F.lit(None).cast("string").alias("path"), F.try_parse_json(text).alias("held")), []
+    kind = F.regexp_extract(F.schema_of_variant("value"), "^[A-Z]+", 0)
+    named = F.when(kind == "OBJECT", "object").when(kind == "ARRAY", "array").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null").otherwise("number")
+    for at in range(depth):
+        inside = level.lateralJoin(spark.tvf.variant_explode(F.col("held").outer()))
+        rows = inside.select(*kept, F.concat_ws(".", "path", F.coalesce("key", F.col("pos").cast("string"))).alias("path"), named.alias("kind"), "value")
+        opened = F.col("kind").isin("object", "array") if at < depth - 1 else F.lit(False)
+        shown = F.when(F.col("kind") == "string", F.variant_get("value", "$", "string")).otherwise(F.to_json("value"))
+        found.append(rows.filter(~opened).select(*kept, "path", "kind", shown.alias("value")))
+        level = rows.filter(opened).select(*kept, "path", F.col("value").alias("held"))
+    whole = found[0]
+    for more in found[1:]:
+        whole = whole.unionByName(more)
+    return whole

@@ -106,3 +106,15 @@ def test_configuration(tmp_path):
     assert len(K.problems(bad)) == 3
     with pytest.raises(ConfigurationError):
         K.validated(bad)
+
+
+def test_json_fields(spark):
+    from corpusql.sources.files import json_fields
+
+    texts = ['{"a": 1, "b": {"c": [1, "x\\"y", null, true, 2.5]}, "d": "t", "e": {}}', "[[7], 8]", "no json", None, "7", '{"p": {"q": {"r": {"s": {"t": 1}}}}}']
+    df = spark.createDataFrame([(i, t, "v") for i, t in enumerate(texts)], "id long, text string, other string")
+    rows = {(r.id, r.path): (r.kind, r.value) for r in json_fields(df, "text").collect()}
+    assert rows == {
+        (0, "a"): ("number", "1"), (0, "b.c.0"): ("number", "1"), (0, "b.c.1"): ("string", 'x"y'), (0, "b.c.2"): ("null", "null"), (0, "b.c.3"): ("boolean", "true"), (0, "b.c.4"): ("number", "2.5"),
+        (0, "d"): ("string", "t"), (1, "0.0"): ("number", "7"), (1, "1"): ("number", "8"), (5, "p.q.r.s"): ("object", '{"t":1}'),
+    }
