@@ -10,8 +10,9 @@ The filter has ``BITS_PER_ROW`` bits or more for each row, however many rows
 there are, so it lets about as few single rows through at any size. What pass 1
 shuffles is a place in the filter for each bit, 24 bytes, never a row. A filter
 of at most ``broadcast_bits`` bits (32 MB by default) is broadcast. A larger one
-stays distributed: the rows' hashes, and in ``drop_exact_duplicates`` the rows,
-meet its blocks by a join, dealt evenly since blocks are taken from the hash.
+stays distributed: the rows' digests meet its blocks by a join, dealt evenly
+since blocks are taken from the hash. Texts never move, at any size: what is
+settled on digests comes back as one bit a row, by file (``row_marks``).
 
 Defined results: a null text counts as empty; a null id sorts below all
 others; of rows that agree in text and id exactly one stays; blank, empty and
@@ -29,10 +30,10 @@ from pyspark.sql import functions as F
 
 from corpusql.llm import scratch
 from corpusql.llm.columns import fresh, join_groups, lower_ascii, quoted, text_or_empty
+from corpusql.llm.row_marks import BLOCK_BITS, BLOCKS, all_distinct, is_set, placed, with_marks
 
 BITS_PER_ROW = 16
 BROADCAST_BITS = 1 << 28
-BLOCK_BITS = 1 << 15  # what bitmap_construct_agg holds
 
 
 def _blocks(rows: int) -> int:
@@ -51,11 +52,6 @@ def _places(key: Column, blocks: int) -> list[Column]:
     ]
 
 
-def _is_set(bitmap: Column, bit: Column) -> Column:
-    byte = F.conv(F.hex(F.substr(bitmap, (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10)
-    return F.coalesce(F.getbit(byte.cast("int"), (bit % 8).cast("int")) == 1, F.lit(False))
-
-
 def repeated_bits(keys: Column, df: DataFrame, blocks: int) -> DataFrame:
     """Pass 1: (block, bitmap) of the bits that two or more rows set.
 
@@ -84,33 +80,21 @@ def with_suspects(df: DataFrame, keys: Column, repeated: DataFrame, blocks: int,
         named = F.broadcast(named)  # broadcast_bits / 8 bytes at most
     return (
         df.join(named, block == F.col(of_block), "left")
-        .withColumn(into, _is_set(F.col(bitmap), first) & _is_set(F.col(bitmap), second))
+        .withColumn(into, is_set(F.col(bitmap), first) & is_set(F.col(bitmap), second))
         .drop(of_block, bitmap)
     )
 
 
-def may_hold(df: DataFrame, key: Column, keys: DataFrame, into: str, broadcast_bits: int = BROADCAST_BITS) -> DataFrame:
-    """Add a boolean column that is false where a key is not in the one column of the written table ``keys``.
-
-    It is true for all that are and for about one in 60 others; for all rows
-    where the filter of the keys would have more than ``broadcast_bits`` bits.
-    """
-    blocks = _blocks(keys.count())
-    if blocks * BLOCK_BITS > broadcast_bits:
-        return df.withColumn(into, F.lit(True))
-    block, first, second = _places(F.col(keys.columns[0]), blocks)
-    bits = keys.select(block.alias("block"), F.explode(F.array(first, second)).alias("bit"))
-    filled = scratch.table(bits.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap")), "filter")
-    return with_suspects(df, key, filled, blocks, into, broadcast_bits)
-
-
-def without(df: DataFrame, key: str, keys: DataFrame, broadcast_bits: int = BROADCAST_BITS) -> DataFrame:
-    """The rows of ``df`` whose key is not in the one column of the written table ``keys``; only those that may be are shuffled."""
-    maybe, gone = fresh(df.columns, "maybe", "gone")
-    marked = may_hold(df, quoted(key), keys, maybe, broadcast_bits)
-    named = keys.toDF(gone)
-    checked = marked.filter(quoted(maybe)).join(named, quoted(key) == quoted(gone), "left_anti")
-    return marked.filter(~quoted(maybe)).unionByName(checked).drop(maybe)
+def _settled(rows: DataFrame, broadcast_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Of the written table ``rows`` (doc_id, sha, row): the rows that the filter clears, and the others with ``best`` and ``group_size``."""
+    blocks = _blocks(rows.count())
+    repeated = scratch.table(repeated_bits(F.col("sha"), rows, blocks), "filter")
+    probed = with_suspects(rows, F.col("sha"), repeated, blocks, "suspect", broadcast_bits)
+    suspects = scratch.table(probed.filter("suspect").select("doc_id", "sha", "row"), "suspects")
+    groups = scratch.table(
+        suspects.groupBy("sha").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("group_size")), "groups"
+    )
+    return probed.filter(~F.col("suspect")), join_groups(suspects, groups, "sha", "group_size", suspects.count())
 
 
 def exact_duplicates(
@@ -126,21 +110,15 @@ def exact_duplicates(
         df.select(quoted(id_col).alias("doc_id"), F.unhex(digest).alias("sha"), F.monotonically_increasing_id().alias("row")),
         "hashes",
     )
-    blocks = _blocks(rows.count())
-    repeated = scratch.table(repeated_bits(F.col("sha"), rows, blocks), "filter")
-    probed = with_suspects(rows, F.col("sha"), repeated, blocks, "suspect", broadcast_bits)
-    suspects = scratch.table(probed.filter("suspect").select("doc_id", "sha", "row"), "suspects")
-    groups = scratch.table(
-        suspects.groupBy("sha").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("group_size")), "groups"
-    )
-    compared = join_groups(suspects, groups, "sha", "group_size", suspects.count()).select(
+    clear, suspects = _settled(rows, broadcast_bits)
+    compared = suspects.select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
         "group_size",
         (F.col("row") == F.col("best.row")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
-    alone = probed.filter(~F.col("suspect")).select(
+    alone = clear.select(
         "doc_id",
         F.col("doc_id").alias("keep_id"),
         F.lit(1).cast("long").alias("group_size"),
@@ -151,21 +129,31 @@ def exact_duplicates(
 
 
 def drop_exact_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bits: int = BROADCAST_BITS
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bits: int = BROADCAST_BITS, mark_blocks: int = BLOCKS
 ) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns.
 
-    Rows that the filter clears are passed on where they were read. Of the
-    others each task forwards at most one row per text, the best it has seen.
+    Texts are read twice and never shuffled: once for digests, which with ids
+    and places (file and row) settle what goes, and once to leave that out, by
+    one bit a row. What is not rows of Parquet files as they stand (a join, a
+    union, another format) is written as such first.
     """
-    columns = df.columns
-    key = lower_ascii(text_or_empty(quoted(text_col)))
-    keys = scratch.table(df.select(F.xxhash64(key).alias("key")), "keys")
-    blocks = _blocks(keys.count())
-    repeated = scratch.table(repeated_bits(F.col("key"), keys, blocks), "filter")
-    tag, sha, best = fresh(columns, "suspect", "sha", "best")
-    probed = with_suspects(df, F.xxhash64(key), repeated, blocks, tag, broadcast_bits)
-    # The raw text breaks ties between equal ids, so that reruns agree.
-    first = F.max_by(F.struct(*map(quoted, columns)), F.struct(quoted(id_col), quoted(text_col)))
-    compared = probed.filter(F.col(tag)).groupBy(F.sha2(key.cast("binary"), 256).alias(sha)).agg(first.alias(best))
-    return probed.filter(~F.col(tag)).drop(tag).unionByName(compared.select(f"{best}.*"))
+    run, number = fresh(df.columns, "run", "number")
+    text = text_or_empty(quoted(text_col))
+    digest = F.unhex(F.sha2(lower_ascii(text).cast("binary"), 256))
+    # The raw text's hash, then the place, breaks ties between equal ids, so that reruns agree.
+    row = F.struct(F.xxhash64(text).alias("tie"), quoted(run).alias("run"), quoted(number).alias("number"))
+
+    def hashed(at: DataFrame) -> DataFrame:
+        return scratch.table(at.select(quoted(id_col).alias("doc_id"), digest.alias("sha"), row.alias("row")), "hashes")
+
+    at = placed(df, run, number)
+    rows = None if at is None else hashed(at)
+    if rows is None or not all_distinct(rows.select("row.run", "row.number")):
+        at = placed(scratch.table(df, "rows"), run, number)
+        rows = hashed(at)
+    _, suspects = _settled(rows, broadcast_bits)
+    gone = suspects.filter(F.col("row") != F.col("best.row")).select("row.run", "row.number")
+    (goes,) = fresh(at.columns, "goes")
+    marked = with_marks(at, quoted(run), quoted(number), gone, goes, blocks=mark_blocks)
+    return marked.filter(~quoted(goes)).drop(run, number, goes)

@@ -42,7 +42,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField
 from corpusql.llm import scratch
 from corpusql.llm.columns import fresh, join_groups, quoted, with_columns
 from corpusql.llm.components import components
-from corpusql.llm.exact_dedup import may_hold, without
+from corpusql.llm.row_marks import with_row_marks, without_rows
 from corpusql.llm.simhash import merged
 
 SHINGLE = 5
@@ -250,8 +250,8 @@ def verified(members: DataFrame, texts: DataFrame, part: int = PART) -> DataFram
 
     # Texts travel, not sets: they are smaller and compress.
     parted = scratch.table(parted, "parted")
-    maybe = may_hold(texts, F.col("row"), parted.select("row"), "maybe").filter("maybe")
-    wanted = maybe.join(parted, "row").select("root", "node", "parts", "part", "text")
+    held = with_row_marks(texts, "row", parted.select("row"), "wanted").filter("wanted")
+    wanted = held.join(parted, "row").select("root", "node", "parts", "part", "text")
     other = F.explode(F.sequence(F.lit(0), F.greatest("parts", F.lit(1)) - 1)).alias("other")
     pairs = wanted.select("root", "node", "part", "text", other).select(
         "root", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"), "part", "node", "text"
@@ -293,4 +293,4 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = firsts.join(linked, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("who").alias("who"))
     stay = groups.select(F.col("who.row").alias("stays"))
     gone = scratch.table(rows.select(quoted(row).alias(goes)).join(stay, quoted(goes) == F.col("stays"), "left_anti"), "gone")
-    return without(rows, row, gone).drop(node, prints, size, row)
+    return without_rows(rows, row, gone).drop(node, prints, size, row)

@@ -35,7 +35,7 @@ from pyspark.sql.types import LongType, StructField
 from corpusql.llm import scratch
 from corpusql.llm.columns import fresh, join_groups, quoted, with_columns
 from corpusql.llm.components import components
-from corpusql.llm.exact_dedup import without
+from corpusql.llm.row_marks import without_rows
 
 TILE = 1 << 15
 BLOCK = 1 << 9
@@ -227,4 +227,4 @@ def drop_near_duplicates(
     groups = _grouped(rows.select(quoted(fp).alias("fp"), who.alias("who")), radius)
     stay = groups.select(F.col("component.row").alias("stays")).distinct()
     gone = scratch.table(rows.select(quoted(row).alias(goes)).join(stay, quoted(goes) == F.col("stays"), "left_anti"), "gone")
-    return without(rows, row, gone).drop(fp, row)
+    return without_rows(rows, row, gone).drop(fp, row)

@@ -86,14 +86,56 @@ def test_a_filter_beyond_the_bound_is_met_by_a_join(spark):
     assert 1_000 <= found.filter("s").count() < 1_100
 
 
-def test_rows_without_keys(make, spark):
+def _shuffled(plan):
+    """The columns that exchanges of the executed plan deal out, broadcasts not counted."""
+    return [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line]
+
+
+def test_texts_never_move_at_any_size(spark, make, tmp_path):
     from conftest import rows_of
 
-    from corpusql.llm import exact_dedup as X, scratch
+    texts = [f"text {i % 700}" for i in range(1_000)] + [None, ""]
+    make(rows_of(texts)).repartition(7).write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    whole = drop_exact_duplicates(df)
+    # Neither filter nor marks fit a broadcast: the filter is joined to digests, files are taken in slices.
+    sliced = drop_exact_duplicates(df, broadcast_bits=1, mark_blocks=2)
+    for kept in (whole, sliced):
+        assert kept.columns == df.columns
+        assert not _shuffled(kept._jdf.queryExecution().executedPlan().toString())
+        assert sorted(r.doc_id for r in kept.collect()) == sorted([i for i in range(300, 1_000)] + [1_001])
+    # Every slice has its own scan, and each file stands in one of them alone.
+    scans = [line for line in sliced._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line and "text#" in line]
+    assert len(scans) > 1 and len({line.split("(", 1)[0] for line in scans}) >= 1
+    assert sorted(r.doc_id for r in sliced.select("doc_id").distinct().collect()) == sorted(r.doc_id for r in sliced.collect())
+
+
+def test_rows_that_are_not_a_files_own(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    spark.range(50).select(F.col("id").alias("doc_id"), F.lit("x y").alias("text")).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    # One row of the file becomes three, which share its place; a union has no places; other formats neither.
+    copies = table.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    spread = copies.select((F.col("doc_id") * 3 + F.col("copy")).alias("doc_id"), F.concat("text", F.col("doc_id").cast("string")).alias("text"))
+    assert sorted(r.doc_id for r in drop_exact_duplicates(spread).collect()) == list(range(2, 150, 3))
+    assert [r.doc_id for r in drop_exact_duplicates(table.union(table)).collect()] == [49]
+    table.write.json(str(tmp_path / "j"))
+    assert [r.doc_id for r in drop_exact_duplicates(spark.read.schema("doc_id long, text string").json(str(tmp_path / "j"))).collect()] == [49]
+
+
+def test_marked_rows(make, spark):
+    from conftest import rows_of
+    from pyspark.sql import functions as F
+
+    from corpusql.llm import row_marks as M
+    from corpusql.llm import scratch
 
-    df = make(rows_of([f"t{i}" for i in range(400)]))
-    keys = scratch.table(spark.createDataFrame([(i,) for i in range(0, 400, 7)], "k long"), "keys")
-    for bits in (1, X.BROADCAST_BITS):
-        left = X.without(df, "doc_id", keys, bits)
+    df = scratch.table(make(rows_of([f"t{i}" for i in range(400)])).repartition(9).withColumn("nth", F.monotonically_increasing_id()), "rows")
+    gone = scratch.table(df.filter("doc_id % 7 = 0").select(F.col("nth").alias("k")), "gone")
+    for blocks in (1, 3, M.BLOCKS):
+        left = M.without_rows(df, "nth", gone, blocks)
         assert left.columns == df.columns
         assert sorted(r.doc_id for r in left.collect()) == [i for i in range(400) if i % 7]
+    assert M.without_rows(df, "nth", gone.limit(0)).count() == 400
+    assert M.without_rows(df.limit(0), "nth", gone).count() == 0
