@@ -355,6 +355,14 @@ ORACLES: dict[str, str] = {
         SELECT count(*) AS total_chunks, sum(chunk_size)::BIGINT AS total_characters, sum(token_count)::BIGINT AS total_tokens, round(avg(chunk_size), 6) AS avg_chunk_size,
                min(chunk_size) AS min_chunk_size, max(chunk_size) AS max_chunk_size, 'fixed_size' AS strategies FROM r""",
     "hash_embed": f"""WITH {CLEANED}, {_embedded("cleaned", "doc_id", "content", "v")} SELECT doc_id, bucket, round(value, 6) AS value FROM v""",
+    "vector_cache": """
+        WITH d AS (SELECT coalesce(text, '') AS t FROM documents), b AS (SELECT t FROM d UNION ALL SELECT coalesce(text, '') FROM conversations),
+        s AS (
+            SELECT 'first' AS load, count(*) AS n_rows, count(DISTINCT t) AS n_texts, count(DISTINCT t) AS n_embedded FROM d
+            UNION ALL
+            SELECT 'second', count(*), count(DISTINCT t), count(DISTINCT t) FILTER (t NOT IN (SELECT t FROM d)) FROM b
+        )
+        SELECT load, n_rows, n_texts, n_embedded, round(1 - n_embedded / n_rows, 6) AS hit_rate FROM s""",
     "embed_once": f"""SELECT doc_id, CASE WHEN len({_words("text")}) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents""",
     "cosine_topk": _vector_search(_COSINE, 5),
     "dot_topk": _vector_search("list_inner_product(q.v, e.v)", 5),

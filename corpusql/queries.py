@@ -23,6 +23,7 @@ from corpusql.plans import compare as CP
 from corpusql.plans import graph as GP
 from corpusql.plans import hierarchical as H
 from corpusql.plans import vanilla as VP
+from corpusql.sources import vector_cache as VC
 from corpusql.sources.files import json_columns, json_fields
 from corpusql.storage import shared_folder, written
 from corpusql.streaming.ingest import windowed_counts
@@ -169,6 +170,18 @@ def embed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"))
 
 
+@query
+def vector_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of two loads: all documents, then all documents and turns of conversations."""
+    path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    docs = _table(spark, sf_dir, "documents").select(F.col("text").alias("content"))
+    both = docs.unionByName(_table(spark, sf_dir, "conversations").select(F.col("text").alias("content")))
+    VC.clear(spark, path)
+    VC.add(docs, path, "first")
+    VC.add(both, path, "second")
+    return VC.statistics(docs, path, "first").unionByName(VC.statistics(both, path, "second"))
+
+
 def _nearest(k: int | None, metric: str, threshold: float | None = None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         asked, rows = _vectors(spark, sf_dir)
