@@ -5,7 +5,8 @@ every piece that matches somewhere in it, and for a character outside the
 vocabulary an arc of the pieces of its UTF-8 bytes. A forward recursion in log
 space adds up all paths. Words of one length are computed together; a word too
 long for that is read a stretch at a time, with a band of as many positions
-held as the longest piece has.
+held as the longest piece has. ``expected`` adds the backward recursion, for
+learning the probabilities of pieces from words.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 
 MARK = "▁"
 BATCH_CELLS = 1 << 20
+STRETCH = 1 << 12  # characters of a very long word that are counted together
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -177,3 +179,33 @@ class Lattice:
             _, logs, _ = self._arcs(codes)
             out[own] = self._forward(logs, codes.shape[1], len(own))[-1]
         return out
+
+    def _count(self, codes: np.ndarray, into: np.ndarray) -> None:
+        """Add the expected uses of pieces and bytes in strings of one length."""
+        numbers, logs, spelt = self._arcs(codes)
+        rows, size = codes.shape
+        first = len(self.vocabulary.pieces)
+        forward = self._forward(logs, size, rows)
+        backward = np.full((size + 1, rows), -np.inf)
+        backward[size] = 0
+        for start in range(size - 1, -1, -1):
+            backward[start] = self._sum([logs[k - 1][start] + backward[start + k] for k in range(1, min(size - start, len(logs)) + 1)])
+        for k, (number, log) in enumerate(zip(numbers, logs, strict=True), 1):
+            there = np.isfinite(log)
+            share = np.exp((forward[: size - k + 1] + log + backward[k:] - forward[-1])[there])
+            arc = number[there]
+            into[:first] += np.bincount(arc[arc >= 0], share[arc >= 0], minlength=first)
+            for c, n in zip(spelt, np.bincount(-2 - arc[arc < 0], share[arc < 0], minlength=len(spelt)) if k == 1 else (), strict=False):
+                for b in chr(int(c)).encode("utf-8", "surrogatepass"):
+                    into[first + b] += n
+
+    def expected(self, words: list[str]) -> np.ndarray:
+        """How often each piece and byte is used in these words, over all segmentations by their probability; very long words by stretches."""
+        out = np.zeros(len(self.log))
+        for word in words:
+            if self._is_long(len(word)):
+                for at in range(0, len(word) + 1, STRETCH):
+                    self._count(_codes([(MARK + word)[at : at + STRETCH]]), out)
+        for _, codes in self._batches(words):
+            self._count(codes, out)
+        return out

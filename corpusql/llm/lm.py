@@ -2,11 +2,17 @@
 
 A text is a sequence of words and the end. ``score`` takes a word's probability
 as the sum over all its segmentations into pieces of the existing unigram
-vocabulary, weighted by the vocabulary's scores alone (``lattice``, which says
+vocabulary, weighted by the vocabulary's scores (``lattice``, which says
 how a score becomes a probability), and the end's from the number of documents
 and tokens learnt from; a text's probability is their product, so the marginal
 over all segmentations of the whole text.
 
+With ``rounds`` the scores are a prior only: in each round every distinct
+training word is read once, the expected uses of the pieces in it are added up
+(forward and backward along its lattice), and these and ``PRIOR`` uses dealt
+by the prior make the pieces' new probabilities. Each word counts once, as the
+pieces serve words that were not seen.
+
 What the corpus teaches about words goes into further columns: ``base_score``,
 the add-one word model, and ``adapted_score``, in which a word seen in training
 has one more arc over the whole word that carries its discounted share of the
@@ -31,7 +37,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +52,7 @@ from corpusql.llm.tokens import tokenizer_file
 FREQUENT = 1 << 18
 FREQUENT_BYTES = 64  # longer words are never broadcast
 HELD_WORDS = 1 << 18  # distinct words a task counts before it passes them on, or keeps the lattice's scores of
+PRIOR = 1_000  # uses of pieces that the vocabulary's own scores stand for in learning
 HASH_SEED = 42  # that of the built-in xxhash64
 
 
@@ -87,6 +94,7 @@ class Model:
     distinct: int
     discount: float
     path: str
+    learnt: np.ndarray | None = None  # probabilities of pieces and bytes, in place of the vocabulary's own
 
     @property
     def tokens(self) -> int:
@@ -103,7 +111,7 @@ class Model:
 
     def lattice(self) -> Lattice:
         known = vocabulary(tokenizer_file(self.path))
-        return Lattice(known, known.prior)
+        return Lattice(known, known.prior if self.learnt is None else self.learnt)
 
     def base(self, c: Column) -> Column:
         """log10 of the add-one probability of a token with this count."""
@@ -138,6 +146,24 @@ def train(texts: DataFrame, vocabulary_path: str) -> tuple[Model, DataFrame]:
     return Model(documents, sums["words"], sums["distinct"], discount, vocabulary_path), counts
 
 
+def learn(model: Model, counts: DataFrame) -> Model:
+    """The model after one more round of learning the pieces from all distinct words of ``counts``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = model.lattice()
+        total = np.zeros(len(lattice.log))
+        for batch in batches:
+            total += lattice.expected(batch.column(0).to_pylist())
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["piece", "n"])
+
+    prior = vocabulary(tokenizer_file(model.path)).prior
+    uses = PRIOR * prior
+    sums = counts.select("word").mapInArrow(count, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()  # a row for each piece
+    uses[sums.column("piece").to_numpy()] += sums.column("n").to_numpy()
+    return replace(model, learnt=uses / uses.sum())
+
+
 def _frequent(model: Model, counts: DataFrame) -> dict[bytes, tuple[float, float, float]]:
     """Base, score and adapted score of the most frequent words, ``FREQUENT`` at most."""
     bucket = F.floor(F.log2("c") * 8).cast("int")
@@ -172,11 +198,17 @@ def score(
     vocabulary_path: str = "piece_bpe_32k.model",
     folds: int = 7,
     held: int = 2,
+    rounds: int = 0,
 ) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and adapted_score (log10)."""
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and adapted_score (log10).
+
+    ``rounds`` of learning come before the scores; without any the pieces keep the vocabulary's own.
+    """
     spark = docs.sparkSession
     slim = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
     model, counts = train(slim.filter(fold(F.col("doc_id"), folds) != held), vocabulary_path)
+    for _ in range(rounds):
+        model = learn(model, counts)
     table = spark.sparkContext.broadcast(_frequent(model, counts))  # FREQUENT words of FREQUENT_BYTES at most
     end_base, end_score = float(np.log10((model.documents + 1) / (model.tokens + model.types + 1))), float(np.log10(model.end))
     end_known = int(model.documents > 0)

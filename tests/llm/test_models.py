@@ -166,3 +166,46 @@ def test_language_model_of_awkward_rows(awkward, nothing):
     assert len(found) == awkward.count()
     assert all(r.score < 0 and math.isfinite(r.score) and math.isfinite(r.adapted_score) for r in found)
     assert lm.score(nothing).count() == 0
+
+
+def test_expected_uses_of_pieces():
+    """Against counting the pieces of every segmentation."""
+    known = vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    lattice, number = Lattice(known, known.prior), {p: i for i, p in enumerate(known.pieces)}
+
+    def segmentations(text):
+        if not text:
+            yield 1.0, []
+        for k in range(1, len(text) + 1):
+            arcs = [number[text[:k]]] if text[:k] in number else [len(number) + b for b in text[:1].encode()] if k == 1 else None
+            for p, rest in segmentations(text[k:]) if arcs else ():
+                yield p * math.prod(known.prior[a] for a in arcs), arcs + rest
+
+    wanted = np.zeros(len(known.prior))
+    for word in ("the", "there", "\U0001d518x", ""):
+        found = list(segmentations(MARK + word))
+        for p, arcs in found:
+            np.add.at(wanted, arcs, p / sum(q for q, _ in found))
+    assert lattice.expected(["the", "there", "\U0001d518x", ""]) == pytest.approx(wanted)
+
+
+def test_long_words_are_counted_in_stretches(monkeypatch):
+    known = vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    lattice = Lattice(known, known.prior)
+    whole = lattice.expected(["abcde" * 60])
+    monkeypatch.setattr("corpusql.llm.lattice.BATCH_CELLS", 20 * known.longest)
+    monkeypatch.setattr("corpusql.llm.lattice.STRETCH", 150)
+    sizes = np.array([len(p) for p in known.pieces])
+    assert whole[: len(sizes)] @ sizes == pytest.approx(301)
+    assert lattice.expected(["abcde" * 60])[: len(sizes)] @ sizes == pytest.approx(301)
+
+
+def test_scores_of_held_out_rows_are_near_the_word_model(spark):
+    """The vocabulary's scores alone gave -8.56 a token, and -5.68 with the words' own arcs."""
+    from corpusql.llm.queries import op9_lm_scores
+
+    rows = [r for r in op9_lm_scores(spark, SF).collect() if r.held_out]
+    tokens = sum(r.n_tokens for r in rows)
+    own, base = (sum(getattr(r, c) for r in rows) / tokens for c in ("score", "base_score"))
+    assert all(math.isfinite(r.score) and r.score < 0 for r in rows)
+    assert own > -4.8 and own > base - 0.7
