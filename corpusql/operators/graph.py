@@ -177,26 +177,29 @@ def shortest_paths(origins: DataFrame, edges: DataFrame, relationships: DataFram
 
     Of several the one least in order of names, seen from the origin. Only one
     path per origin and node is kept at each step, so nothing grows with the
-    number of paths.
+    number of paths; and of it only its place among the paths of its length, as
+    paths to one node differ before their last step.
     """
     known = step_relations(relationships)
-    steps = (
+    steps = written(
         both_ways(edges)
         .filter("node <> next")
         .join(known.select("lo", "hi", "confidence"), (F.least("node", "next") == F.col("lo")) & (F.greatest("node", "next") == F.col("hi")))
         .select("node", "next", "confidence")
     )
-    front = origins.select("origin").distinct().select("origin", F.col("origin").alias("node"), F.array("origin").alias("path"), F.lit(0.0).alias("total"))
-    seen = front.withColumn("length", F.lit(0))
+    front = origins.select("origin").distinct().select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("total"), F.lit(0).alias("place"))
+    seen = front.select("origin", "node", "total", F.lit(0).alias("length"))
     for length in range(1, max_length + 1):
         reached = (
             front.join(steps, "node")
-            .groupBy("origin", "next")
-            .agg(F.min(F.struct(F.concat("path", F.array("next")).alias("path"), (F.col("total") + F.col("confidence")).alias("total"))).alias("best"))
-            .select("origin", F.col("next").alias("node"), "best.path", "best.total")
+            .groupBy("origin", F.col("next").alias("node"))
+            .agg(F.min("place").alias("before"), F.min_by(F.col("total") + F.col("confidence"), "place").alias("total"))
         )
         front = reached.join(seen.select("origin", "node"), ["origin", "node"], "left_anti")
-        seen = seen.unionByName(front.withColumn("length", F.lit(length)))
+        if length < max_length:
+            order = F.struct("origin", "before", "node")
+            front = written(_numbered(front.select("origin", "node", "total", order.alias("order")), "order", "place").drop("order"))
+        seen = seen.unionByName(front.select("origin", "node", "total", F.lit(length).alias("length")))
     return seen.select("origin", "node", "length", F.coalesce(F.try_divide("total", "length"), F.lit(1.0)).alias("mean_confidence"))
 
 
