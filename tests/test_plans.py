@@ -150,3 +150,12 @@ def test_comparator_keeps_stated_times(spark):
     comparator.register("mistaken", lambda q: 1 / 0)
     with pytest.raises(ZeroDivisionError):
         comparator.compare(queries, ["mistaken"])
+
+
+def test_three_digits_are_those_of_the_exact_value(spark):
+    """Scores of six digits that end in 500, where rounding the decimal gives another digit in half of the cases."""
+    from corpusql.operators.context import fixed
+
+    values = [i / 1_000_000 for i in range(-1_000_500, 1_002_000, 500)] + [0.0625, 0.1875, -0.0625, 3.0, 0.1234567]
+    found = spark.createDataFrame([(x,) for x in values], "x double").select("x", fixed(F.col("x")).alias("t")).collect()
+    assert [r.t for r in found] == [f"{r.x:.3f}" for r in found]
