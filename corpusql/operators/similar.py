@@ -3,16 +3,23 @@
 Two sets of Jaccard similarity ``t`` or more share one of their first
 ``n - ceil(t n) + 1`` words in any common order of words. With rare words first
 few sets share such a word, so an equi join on these prefixes finds all pairs;
-lengths and places rule most out before the sets themselves are compared.
+lengths and places rule most out before the sets themselves are compared, and
+so do sketches: bits of words, added modulo two, differ in at most as many places
+as the sets do. All this happens within the join, so what is ruled out is never
+shuffled or written.
 Texts of one word set are one class and are compared once.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
+import operator
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +30,9 @@ from corpusql.storage import written
 
 #: Words held by every task because they are the most frequent; all others count as rare.
 FREQUENT_WORDS = 4_096
+#: Numbers of 64 bits in a sketch.
+SKETCH = 4
+_BITS = [f"s{i}" for i in range(SKETCH)]
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,8 +54,15 @@ def prefix_length(n: int, threshold: float) -> int:
     return n - math.ceil(threshold * n - 1e-9) + 1
 
 
+def sketch(words: list[str]) -> np.ndarray:
+    """The parity of the words at each of the bits."""
+    places = np.fromiter((zlib.crc32(w.encode()) % (64 * SKETCH) for w in words), np.int64, len(words))
+    odd = np.bincount(places, minlength=64 * SKETCH) % 2
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(class_id, n, word, place): the first words of each set, rare ones by a hash, then frequent ones by rising frequency."""
+    """(class_id, n, word, place, s0, ...): with their set's sketch the first words of each set, rare ones by a hash, then frequent ones by rising frequency."""
     counts = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     common = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).collect()]
     sent = sets.sparkSession.sparkContext.broadcast({w: -i for i, w in enumerate(common, 1)})
@@ -55,16 +72,18 @@ def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
         rank = sent.value
         order = lambda w: (rank.get(w, -FREQUENT_WORDS - 1), hashlib.md5(w.encode()).digest() if w not in rank else b"")
         for batch in batches:
-            owner, size, found, place = [], [], [], []
+            owner, size, found, place, bits = [], [], [], [], []
             for i, own in enumerate(batch.column(1).to_pylist()):
                 first = sorted(own, key=order)[: prefix_length(len(own), threshold)]
                 owner += [i] * len(first)
                 size += [len(own)] * len(first)
                 found += first
                 place += range(1, len(first) + 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(size, pa.int32()), pa.array(found, pa.string()), pa.array(place, pa.int32())], ["class_id", "n", "word", "place"])
+                bits.append(sketch(own))
+            marks = [pa.array(column[owner]) for column in np.array(bits, np.int64).reshape(-1, SKETCH).T]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(size, pa.int32()), pa.array(found, pa.string()), pa.array(place, pa.int32()), *marks], ["class_id", "n", "word", "place", *_BITS])
 
-    return sets.select("class_id", "words").mapInArrow(run, f"class_id {kind}, n int, word string, place int")
+    return sets.select("class_id", "words").mapInArrow(run, f"class_id {kind}, n int, word string, place int, " + ", ".join(f"{b} long" for b in _BITS))
 
 
 def similar_pairs(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", members: DataFrame | None = None) -> DataFrame:
@@ -77,11 +96,12 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     members = written(classes(docs, id_col, text_col)) if members is None else members
     sets = written(_representatives(docs, members, id_col, text_col))
     index = written(prefixes(sets, threshold))
-    a, b = (index.select("word", *[F.col(c).alias(f"{c}_{end}") for c in ("class_id", "n", "place")]) for end in "ab")
+    a, b = (index.select("word", *[F.col(c).alias(f"{c}_{end}") for c in ("class_id", "n", "place", *_BITS)]) for end in "ab")
     longer = F.struct("n_a", "class_id_a") < F.struct("n_b", "class_id_b")
     shared = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - 1e-9)  # words that such a pair shares
     left = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    met = a.join(b, "word").filter(longer & (F.col("n_a") >= F.lit(threshold) * F.col("n_b") - 1e-9) & (left >= shared))
+    differ = functools.reduce(operator.add, (F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in _BITS))
+    met = a.join(b, "word").filter(longer & (F.col("n_a") >= F.lit(threshold) * F.col("n_b") - 1e-9) & (left >= shared) & (differ <= F.col("n_a") + F.col("n_b") - 2 * shared))
     pairs = met.select("class_id_a", "class_id_b").distinct()
     both = pairs.join(sets.select(F.col("class_id").alias("class_id_a"), F.col("words").alias("words_a")), "class_id_a").join(
         sets.select(F.col("class_id").alias("class_id_b"), F.col("words").alias("words_b")), "class_id_b"

@@ -62,3 +62,15 @@ def test_prefix_length():
     for n in range(1, 60):
         for threshold in (0.5, 0.8, 1.0):
             assert S.prefix_length(n, threshold) == min(p for p in range(1, n + 2) if n - p + 1 <= -(-round(threshold * 10 * n) // 10))
+
+
+def test_sketches_differ_no_more_than_sets_and_rule_pairs_out():
+    rng = random.Random(4)
+    for n in (1, 20, 200):
+        one = [f"w{rng.randrange(10_000)}" for _ in range(n)]
+        for other in ([*one[: n - n // 10], *(f"v{i}" for i in range(n // 10))], [f"u{i}" for i in range(n)]):
+            a, b = set(one), set(other)
+            apart = sum(int(x).bit_count() for x in (S.sketch(list(a)) ^ S.sketch(list(b))).view("uint64"))
+            assert apart <= len(a ^ b)
+    # Two sets of 200 words that share the prefix's word alone are not met.
+    assert apart > 400 - 2 * -(-0.8 / 1.8 * 400 // 1)
