@@ -38,25 +38,40 @@ def similarities(queries: np.ndarray, items: np.ndarray, metric: str) -> np.ndar
     return np.round(products, DIGITS)
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return values.reshape(len(flat), len(values) // len(flat) if len(flat) else 0)
 
 
-def _best(queries: np.ndarray, items: np.ndarray, metric: str, k: int | None, threshold: float | None, names: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query the places and scores of its best items, ties to smaller names."""
+def best_of(queries: np.ndarray, items: np.ndarray, metric: str, k: int | None, threshold: float | None, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of queries and items and the scores of each query's best items, ties to smaller names."""
     scores = similarities(queries, items, metric)
-    for i, own in enumerate(scores):
-        where = np.flatnonzero(own >= threshold) if threshold is not None else np.arange(len(own))
-        if k is not None and len(where) > k:
-            least = np.partition(own[where], len(where) - k)[len(where) - k]
-            where = where[own[where] >= least]
-            where = where[np.lexsort((names[where], -own[where]))][:k]
-        yield i, where, own[where]
-
-
-def _first_of_each(found: list[pa.Table], k: int) -> pa.Table:
+    wanted = scores >= threshold if threshold is not None else np.ones(scores.shape, bool)
+    if k is not None and 0 < k < scores.shape[1]:
+        at = scores.shape[1] - k
+        wanted &= scores >= np.partition(scores, at, axis=1)[:, at, None]
+    whose, which = np.nonzero(wanted)
+    score = scores[whose, which]
+    if k is None:
+        return whose, which, score
+    order = np.lexsort((names[which], -score, whose))
+    whose, which, score = whose[order], which[order], score[order]
+    first = np.arange(len(whose)) - np.searchsorted(whose, whose) < k
+    return whose[first], which[first], score[first]
+
+
+def matches(names: pa.Array, vectors: np.ndarray, ids: pa.Array, batch: np.ndarray, metric: str, k: int | None, threshold: float | None) -> pa.Table:
+    """(query_id, item_id, score) of the best items of a block for each query of a block."""
+    plain = np.array(ids.to_pylist(), dtype=object)
+    order = np.argsort(plain, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    whose, which, score = best_of(vectors, batch, metric, k, threshold, place)
+    return pa.table({"query_id": names.take(pa.array(whose)), "item_id": ids.take(pa.array(which)), "score": pa.array(score)})
+
+
+def first_of_each(found: list[pa.Table], k: int) -> pa.Table:
     """The k best rows of each query, ties to smaller items."""
     ordered = pa.concat_tables(found).sort_by([("query_id", "ascending"), ("score", "descending"), ("item_id", "ascending")])
     whose = ordered.column("query_id").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
@@ -88,18 +103,10 @@ def nearest(
     schema = f"query_id {q_type.simpleString()}, item_id {i_type.simpleString()}, score double"
 
     def rows(names: pa.Array, vectors: np.ndarray, batch_ids: pa.Array, batch: np.ndarray) -> pa.Table:
-        plain = np.array(batch_ids.to_pylist(), dtype=object)
-        order = np.argsort(plain, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        found = list(_best(vectors, batch, metric, k, threshold, place))
-        whose = np.concatenate([np.full(len(w), i) for i, w, _ in found] or [np.zeros(0)]).astype(np.int64)
-        which = np.concatenate([w for _, w, _ in found] or [np.zeros(0)]).astype(np.int64)
-        score = np.concatenate([s for _, _, s in found] or [np.zeros(0)])
-        return pa.table({"query_id": names.take(pa.array(whose)), "item_id": batch_ids.take(pa.array(which)), "score": pa.array(score)})
+        return matches(names, vectors, batch_ids, batch, metric, k, threshold)
 
     if (held := asked.limit(BROADCAST_QUERIES + 1).toArrow()).num_rows <= BROADCAST_QUERIES:
-        names, vectors = held.column("query_id").combine_chunks(), _matrix(held.column("v"))
+        names, vectors = held.column("query_id").combine_chunks(), matrix(held.column("v"))
         shared = spark.sparkContext.broadcast((names, vectors))
 
         def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,17 +115,17 @@ def nearest(
             for batch in batches:
                 if not batch.num_rows or not len(shared.value[1]):
                     continue
-                found = rows(*shared.value, batch.column(0), _matrix(batch.column(1)))
+                found = rows(*shared.value, batch.column(0), matrix(batch.column(1)))
                 if k is None:
                     yield from found.to_batches()
                     continue
                 best.append(found)
                 held += found.num_rows
                 if held > 4 * k * len(shared.value[1]):
-                    best = [_first_of_each(best, k)]
+                    best = [first_of_each(best, k)]
                     held = best[0].num_rows
             if held:
-                yield from _first_of_each(best, k).to_batches()
+                yield from first_of_each(best, k).to_batches()
 
         partial = given.mapInArrow(score_batches, schema)
     else:
@@ -152,6 +159,6 @@ def _by_blocks(asked: DataFrame, given: DataFrame, rows, schema: str) -> DataFra
         for batch in batches:
             for r in range(batch.num_rows):
                 names, vectors, ids, others = (batch.column(c)[r].values for c in ("query_ids", "query_v", "item_ids", "item_v"))
-                yield from rows(names, _matrix(vectors), ids, _matrix(others)).to_batches()
+                yield from rows(names, matrix(vectors), ids, matrix(others)).to_batches()
 
     return queries.join(items, ["q", "i"]).select("query_ids", "query_v", "item_ids", "item_v").mapInArrow(compare, schema)

@@ -10,19 +10,24 @@ compares the two.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusql.functions.vectors import DIGITS, cosine, norm
-from corpusql.operators.nearest import nearest
+from corpusql.functions.vectors import DIGITS, norm
+from corpusql.operators.nearest import ITEM_BLOCK, QUERY_BLOCK, first_of_each, matches, matrix, nearest
+from corpusql.storage import written
 
 #: About so many vectors, drawn at random, train the centres.
 SAMPLE = 100_000
 #: There are at most so many lists, so centres and the numbers of probed lists are small.
 MOST_LISTS = 4_096
+#: A task of a search puts its hits together beyond so many.
+HELD_HITS = 1 << 18
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -54,16 +59,45 @@ def build(vectors: DataFrame, path: str, lists: int | None = None, id_col: str =
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: int = 8) -> DataFrame:
     """(query_id, item_id, score, rank): the k best by cosine in the ``probes`` lists whose centres are nearest; ties to smaller items.
 
+    A list's vectors meet the queries that probe it block by block, by matrix
+    products; a long list, or one that many queries probe, is several blocks.
     ``queries`` has query_id and embedding; null ones find nothing.
     """
-    asked = queries.select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("q")).filter("q IS NOT NULL")
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q")).filter("q IS NOT NULL")
     centres = spark.read.parquet(f"{path}/centres")
-    near = nearest(asked.withColumnRenamed("q", "embedding"), centres, probes, "cosine", item_id="list").select("query_id", F.col("item_id").cast("int").alias("list"))
+    near = written(nearest(asked.withColumnRenamed("q", "embedding"), centres, probes, "cosine", item_id="list").select("query_id", F.col("item_id").cast("int").alias("list")))
     probed = [r["list"] for r in near.select("list").distinct().collect()]  # at most MOST_LISTS numbers
-    items = spark.read.parquet(f"{path}/lists").filter(F.col("list").isin(probed))
-    scored = items.join(near.join(asked, "query_id"), "list").select("query_id", "item_id", F.round(cosine(F.col("embedding"), F.col("q")), DIGITS).alias("score"))
+    items = spark.read.parquet(f"{path}/lists").filter(F.col("list").isin(probed)).select("list", "item_id", F.col("embedding").alias("v"))
+    pairs = _blocked(near.join(asked, "query_id"), "query_id", "q", QUERY_BLOCK).join(_blocked(items, "item_id", "v", ITEM_BLOCK), "list")
+    kinds = (asked.schema["query_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString())
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[pa.Table] = []
+        held = 0
+        for batch in batches:
+            for r in range(batch.num_rows):
+                names, vectors, ids, others = (batch.column(c)[r].values for c in ("query_ids", "qs", "item_ids", "vs"))
+                best.append(matches(names, matrix(vectors), ids, matrix(others), "cosine", k, None))
+                held += best[-1].num_rows
+                if held > HELD_HITS:
+                    best = [first_of_each(best, k)]
+                    held = best[0].num_rows
+                    if held > HELD_HITS // 2:  # very many queries: little would be saved by holding on
+                        yield from best.pop().to_batches()
+                        held = 0
+        if held:
+            yield from first_of_each(best, k).to_batches()
+
+    found = pairs.select("query_ids", "qs", "item_ids", "vs").mapInArrow(compare, f"query_id {kinds[0]}, item_id {kinds[1]}, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _blocked(rows: DataFrame, name: str, vector: str, size: int) -> DataFrame:
+    """(list, ``name``s, ``vector``s): the rows of each list in blocks of about ``size``."""
+    parts = F.broadcast(rows.groupBy("list").agg(F.ceil(F.count("*") / size).alias("parts")))  # at most MOST_LISTS rows
+    dealt = rows.join(parts, "list").withColumn("part", F.pmod(F.xxhash64(name), F.col("parts")))
+    return dealt.groupBy("list", "part").agg(F.collect_list(name).alias(f"{name}s"), F.collect_list(vector).alias(f"{vector}s")).drop("part")
 
 
 def probes_for(spark: SparkSession, path: str, target: float = 0.95, k: int = 10, sample: int = 200, seed: int = 0) -> int:

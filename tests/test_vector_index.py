@@ -47,3 +47,19 @@ def test_few_vectors(spark, tmp_path):
     assert VI.build(df, f"file://{tmp_path}/one") == 1
     asked = df.withColumnRenamed("vec_id", "query_id")
     assert [r.item_id for r in VI.search(spark, f"file://{tmp_path}/one", asked, 3).collect()] == [1]
+
+
+def test_lists_meet_queries_block_by_block(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(VI, "ITEM_BLOCK", 16)
+    monkeypatch.setattr(VI, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(VI, "HELD_HITS", 64)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=8)], 7) for i in range(120)]
+    rows += [(1000 + i, rows[0][1], 7) for i in range(100)]
+    df = frame(spark, rows)
+    lists = VI.build(df, f"file://{tmp_path}/index", lists=5)
+    asked = df.filter("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
+    found = VI.search(spark, f"file://{tmp_path}/index", asked, 4, probes=lists).select("query_id", "rank", "item_id", "score")
+    exact = nearest(asked, df, 4, item_id="vec_id").select("query_id", "rank", "item_id", "score")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, exact.collect()))
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
