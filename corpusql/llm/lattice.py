@@ -22,6 +22,9 @@ BATCH_CELLS = 1 << 20
 STRETCH = 1 << 12  # characters of a very long word that are counted together
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+FIRST_BITS = 20
+_REST = np.uint64(64 - FIRST_BITS)
+LEAST = -500.0  # log probability that a double and the products of two leave room for
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -44,10 +47,18 @@ class Vocabulary:
     prior: np.ndarray  # probabilities of the pieces, then of the 256 bytes
     longest: int
 
+    def __post_init__(self) -> None:
+        self.begun = np.zeros(1 << FIRST_BITS, bool)  # whether a piece's hash begins with these bits
+        self.begun[self.hashes >> _REST] = True
+
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Number of the piece with each hash, or -1."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
+        """Number of the piece with each hash, or -1; most strings are no piece and are told by the first bits."""
+        out = np.full(hashes.shape, -1, np.int64)
+        some = np.flatnonzero(self.begun[(hashes >> _REST).view(np.int64)])
+        own = hashes.ravel()[some]
+        at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+        out.ravel()[some] = np.where(self.hashes[at] == own, at, -1)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -120,7 +131,9 @@ class Lattice:
         for k in range(1, min(size, self.vocabulary.longest) + 1):
             value = _extend(value[: size - k + 1], columns[k - 1 :])
             piece = self.vocabulary.find(value)
-            log = np.where(piece >= 0, self.log[piece], -np.inf)
+            log = np.full(piece.shape, -np.inf)
+            there = piece >= 0
+            log[there] = self.log[piece[there]]
             if k == 1 and (piece < 0).any():
                 spelt, which = np.unique(columns[piece < 0], return_inverse=True)
                 log[piece < 0] = self._byte_arcs(spelt)[which]
@@ -177,22 +190,65 @@ class Lattice:
                 out[i] = self._marginal_of_long(word)
         for own, codes in self._batches(words):
             _, logs, _ = self._arcs(codes)
-            out[own] = self._forward(logs, codes.shape[1], len(own))[-1]
+            plain = self._plain(logs)
+            if plain.any():
+                values = [np.exp(log[:, plain]) for log in logs]
+                out[own[plain]] = np.log(self._forward_plain(values, codes.shape[1])[-1])
+            if not plain.all():
+                logs = [log[:, ~plain] for log in logs]
+                out[own[~plain]] = self._forward(logs, codes.shape[1], logs[0].shape[1])[-1]
         return out
 
+    @staticmethod
+    def _plain(logs: list[np.ndarray]) -> np.ndarray:
+        """Words whose sums can be made of probabilities themselves: the path of single characters, a part of each sum, is not too small for a double."""
+        return logs[0].sum(axis=0) > LEAST
+
+    @staticmethod
+    def _forward_plain(values: list[np.ndarray], size: int) -> np.ndarray:
+        """``_forward`` of probabilities."""
+        alpha = np.zeros((size + 1, values[0].shape[1]))
+        alpha[0] = 1
+        for end in range(1, size + 1):
+            own = alpha[end]
+            for k in range(1, min(end, len(values)) + 1):
+                own += alpha[end - k] * values[k - 1][end - k]
+        return alpha
+
+    def _shares(self, logs: list[np.ndarray], size: int) -> list[np.ndarray]:
+        """Per arc length the probability that a segmentation has the arc, by (start, word)."""
+        shares = [np.zeros(log.shape) for log in logs]
+        plain = self._plain(logs)
+        if plain.any():
+            values = [np.exp(log[:, plain]) for log in logs]
+            forward = self._forward_plain(values, size)
+            backward = np.zeros_like(forward)
+            backward[size] = 1
+            for start in range(size - 1, -1, -1):
+                own = backward[start]
+                for k in range(1, min(size - start, len(values)) + 1):
+                    own += values[k - 1][start] * backward[start + k]
+            for k, (share, value) in enumerate(zip(shares, values, strict=True), 1):
+                share[:, plain] = forward[: size - k + 1] / forward[-1] * value * backward[k:]
+        if not plain.all():
+            rest = [log[:, ~plain] for log in logs]
+            forward = self._forward(rest, size, rest[0].shape[1])
+            backward = np.full_like(forward, -np.inf)
+            backward[size] = 0
+            for start in range(size - 1, -1, -1):
+                backward[start] = self._sum([rest[k - 1][start] + backward[start + k] for k in range(1, min(size - start, len(rest)) + 1)])
+            for k, (share, log) in enumerate(zip(shares, rest, strict=True), 1):
+                share[:, ~plain] = np.exp(forward[: size - k + 1] + log + backward[k:] - forward[-1])
+        return shares
+
     def _count(self, codes: np.ndarray, into: np.ndarray) -> None:
         """Add the expected uses of pieces and bytes in strings of one length."""
         numbers, logs, spelt = self._arcs(codes)
-        rows, size = codes.shape
+        size = codes.shape[1]
         first = len(self.vocabulary.pieces)
-        forward = self._forward(logs, size, rows)
-        backward = np.full((size + 1, rows), -np.inf)
-        backward[size] = 0
-        for start in range(size - 1, -1, -1):
-            backward[start] = self._sum([logs[k - 1][start] + backward[start + k] for k in range(1, min(size - start, len(logs)) + 1)])
-        for k, (number, log) in enumerate(zip(numbers, logs, strict=True), 1):
+        for k, (number, log, shares) in enumerate(zip(numbers, logs, self._shares(logs, size), strict=True), 1):
             there = np.isfinite(log)
-            share = np.exp((forward[: size - k + 1] + log + backward[k:] - forward[-1])[there])
+            share = shares[there]
             arc = number[there]
             into[:first] += np.bincount(arc[arc >= 0], share[arc >= 0], minlength=first)
             for c, n in zip(spelt, np.bincount(-2 - arc[arc < 0], share[arc < 0], minlength=len(spelt)) if k == 1 else (), strict=False):

@@ -52,6 +52,7 @@ from corpusql.llm.tokens import tokenizer_file
 FREQUENT = 1 << 18
 FREQUENT_BYTES = 64  # longer words are never broadcast
 HELD_WORDS = 1 << 18  # distinct words a task counts before it passes them on, or keeps the lattice's scores of
+LATTICE_WORDS, LATTICE_BYTES = 1 << 16, 1 << 22  # words, and their bytes, that are brought to the lattice at a time
 PRIOR = 1_000  # uses of pieces that the vocabulary's own scores stand for in learning
 HASH_SEED = 42  # that of the built-in xxhash64
 
@@ -146,14 +147,26 @@ def train(texts: DataFrame, vocabulary_path: str) -> tuple[Model, DataFrame]:
     return Model(documents, sums["words"], sums["distinct"], discount, vocabulary_path), counts
 
 
+def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The same rows, more at a time: the lattice computes words of one length together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= LATTICE_WORDS or sum(b.nbytes for b in held) >= LATTICE_BYTES:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def learn(model: Model, counts: DataFrame) -> Model:
     """The model after one more round of learning the pieces from all distinct words of ``counts``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = model.lattice()
         total = np.zeros(len(lattice.log))
-        for batch in batches:
-            total += lattice.expected(batch.column(0).to_pylist())
+        for rows in _larger(batches):
+            total += lattice.expected(rows.column(0).to_pylist())
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["piece", "n"])
 
@@ -180,9 +193,8 @@ def _frequent(model: Model, counts: DataFrame) -> dict[bytes, tuple[float, float
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = model.lattice()
-        for batch in batches:
-            found = lattice.marginals(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], ["word", "c", "m"])
+        for rows in _larger(batches):
+            yield from rows.append_column("m", pa.array(lattice.marginals(rows.column(0).to_pylist()))).to_batches()
 
     c, m = F.col("c"), F.col("m")
     rated = short.filter(F.col("bucket") >= least).select("word", "c").mapInArrow(rate, "word string, c long, m double")

@@ -6,6 +6,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import rows_of
 
@@ -209,3 +210,25 @@ def test_scores_of_held_out_rows_are_near_the_word_model(spark):
     own, base = (sum(getattr(r, c) for r in rows) / tokens for c in ("score", "base_score"))
     assert all(math.isfinite(r.score) and r.score < 0 for r in rows)
     assert own > -4.8 and own > base - 0.7
+
+
+def test_plain_and_log_sums_of_the_lattice_agree(monkeypatch):
+    from corpusql.llm import lattice as LA
+    from corpusql.llm.tokens import tokenizer_file
+
+    known = LA.vocabulary(tokenizer_file("piece_bpe_32k.model"))
+    model = LA.Lattice(known, known.prior)
+    words = ["the", "word", "", "naïve", "漢字", "x" * 300, "ab😀" * 40, "�" * 30, "segmentation"]
+    plain = model.marginals(words), model.expected(words)
+    assert known.find(known.hashes).tolist() == list(range(len(known.hashes))) and (known.find(known.hashes ^ np.uint64(1)) < 0).all()
+    monkeypatch.setattr(LA, "LEAST", np.inf)  # all by logarithms
+    assert np.allclose(plain[0], model.marginals(words), rtol=1e-12) and np.allclose(plain[1], model.expected(words), rtol=1e-9, atol=1e-12)
+
+
+def test_the_lattice_takes_many_words_at_a_time():
+    from corpusql.llm import lm
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([f"{i}a", f"{i}b"])], ["word"]) for i in range(1000)]
+    taken = list(lm._larger(iter(batches)))
+    assert [t.num_rows for t in taken] == [2000] and taken[0].column(0)[1999].as_py() == "999b"
+    assert [t.num_rows for t in lm._larger(iter([pa.RecordBatch.from_arrays([pa.array(["x" * lm.LATTICE_BYTES])], ["word"])] * 2))] == [1, 1]
