@@ -193,3 +193,24 @@ def test_tables_of_the_part_graph_are_written(spark):
 
     for table in _part_graph(spark, "/root/testdata/sf0.001"):
         assert not any("part.parquet" in file for file in table.inputFiles())
+
+
+def test_patterns_are_tried_only_where_a_match_can_begin():
+    import re
+    import sys
+
+    for letter in "abcdefghijklmnopqrstuvwxyz":  # whatever equals a letter for the patterns does so here
+        like = re.findall(letter, "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000), re.IGNORECASE)
+        assert all(E.folded_words(c) == {letter} for c in like)
+    text = "A NEURAL network by Dr. Ann Lee and Bo Chan PhD in C++x, ſYSTEM, lİbrary, GPT-4; an apikey is no match. "
+    plain = [(m.group().strip(), kind) for kind, pattern, _, _ in E._ENTITIES for m in pattern.finditer(text) if len(m.group().strip()) > 2]
+    assert plain == [(m.name, m.entity_type) for m in E.mentions_in(text) if m.method == "pattern"] and len(plain) >= 6
+
+
+def test_merging_reads_a_table_and_not_the_extraction(spark):
+    import corpusql.queries as Q
+
+    for name, most in (("entities_merged", 0), ("entity_mentions", 1)):
+        plan = Q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == most
+        assert name == "entities_merged" or "RepartitionByExpression" in plan  # one row group is not one task
