@@ -214,3 +214,43 @@ def test_merging_reads_a_table_and_not_the_extraction(spark):
         plan = Q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapInArrow") == most
         assert name == "entities_merged" or "RepartitionByExpression" in plan  # one row group is not one task
+
+
+def test_betweenness_walks_once_for_nodes_alike(spark, monkeypatch):
+    """Nodes with the same arcs are one class, on cycles too, and the values are those of a walk from each."""
+    edges = [(f"{x}{i}", y) for x, ends in (("p", "ab"), ("q", "c"), ("r", "ad")) for i in range(6) for y in ends]
+    edges += [("a", "c"), ("b", "c"), ("c", "d"), ("d", "p0"), ("d", "p1"), ("c", "q2"), ("a", "r0"), ("d", "e")]
+    frame = spark.createDataFrame([(*e, "X", 1.0) for e in edges], "src string, dst string, relation_type string, confidence double")
+    nodes = sorted({n for e in edges for n in e} | {"z"})
+    vertices = spark.createDataFrame([(n, 1.0) for n in nodes], "name string, confidence double")
+    nexts = {n: [b for a, b in edges if a == n] for n in nodes}
+    want = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        for t in nodes:
+            front, found = [[s]], []
+            while front and not found and s != t:
+                front = [[*p, b] for p in front for b in nexts[p[-1]] if b not in p]
+                found = [p for p in front if p[-1] == t]
+            for p in found:
+                for v in p[1:-1]:
+                    want[v] += 1 / len(found) / (len(nodes) - 1) / (len(nodes) - 2)
+    walks = []
+    add = G._shares
+    monkeypatch.setattr(G, "_shares", lambda names, arcs, n, classes: walks.append(classes.filter("source = v").count()) or add(names, arcs, n, classes))
+    assert {r.name: r.betweenness for r in G.betweenness(vertices, frame).collect()} == pytest.approx(want)
+    monkeypatch.setattr(G, "BROADCAST_EDGES", 2)
+    assert {r.name: r.betweenness for r in G.betweenness(vertices, frame).collect()} == pytest.approx(want)
+    assert walks == [6, 6]  # p, q, r, a, d, and c; b has the arcs of q
+    monkeypatch.setattr(G, "ALIKE_ARCS", 1)
+    assert {r.name: r.betweenness for r in G.betweenness(vertices, frame).collect()} == pytest.approx(want)
+
+
+def test_drawn_edges_measure_nothing(spark, small, monkeypatch):
+    """The query of edges for drawing needs no importance of the nodes."""
+    from corpusql import queries
+
+    vertices, relationships, edges = small
+    monkeypatch.setattr(queries, "_part_graph", lambda spark, sf_dir: (vertices, relationships, edges))
+    monkeypatch.setattr(G, "importance", lambda *tables: pytest.fail("importance was computed"))
+    assert queries.graph_drawing_edges(spark, "").count() == relationships.count()
+    assert {r.id for r in G.drawing_nodes(vertices, vertices.selectExpr("name", "0.5D AS importance")).collect()} == set("abcdefg")
