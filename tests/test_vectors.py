@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,17 @@ def test_nearest_both_ways(spark, monkeypatch, metric):
         assert sorted(scores[r.query_id], reverse=True)[r["rank"] - 1] == r.score
 
 
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    """A row of the search by blocks holds thousands of vectors: a task must not get all of its rows as one batch."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    blocks = spark.range(0, 40, 1, 1).select(F.expr("transform(sequence(1, 131072), x -> double(x))").alias("v"))  # 1 MB a row
+    found = [r.n for r in blocks.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) == 40 and max(found) <= 8
+
+
 def test_nearest_ties_threshold_and_nothing(spark):
     items = spark.createDataFrame([(c, [1.0, 0.0]) for c in "dbca"] + [("x", [-1.0, 0.0])], "item_id string, embedding array<double>")
     queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
