@@ -264,3 +264,13 @@ def test_sampling_stops_early_and_is_unbiased(spark, monkeypatch):
     monkeypatch.setattr(G, "BROADCAST_EDGES", 2)
     joined = {r.name: r.betweenness for r in G.betweenness_sampled(vertices, frame, error=0.5, first=100).collect()}
     assert joined == pytest.approx({n: v[0] for n, v in runs[0].items()})
+
+
+def test_communities_send_no_table_of_nodes_to_the_driver(spark):
+    """Tables of numbers look small in files; their joins deal both sides by key nevertheless."""
+    vertices = spark.createDataFrame([(f"n{i:03}",) for i in range(60)], "name string")
+    edges = spark.createDataFrame([(f"n{i:03}", f"n{i - i % 5 + j:03}", "X", 1.0) for i in range(60) for j in range(5) if i % 5 < j], "src string, dst string, relation_type string, confidence double")
+    members = G.louvain(vertices, edges)
+    assert len({r.community for r in members.collect()}) == 12
+    plan = members._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") <= 2  # the ranges' counts only, a row for each; the plan is told before and after
