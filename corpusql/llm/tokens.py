@@ -7,6 +7,8 @@ character, an ASCII letter adjoins a digit, or common punctuation other than an
 apostrophe or a bar follows a letter or digit. For the ``.json`` vocabularies no token reaches
 across such a place, no special string holds one and no look-ahead of the
 splitting pattern sees past it, so the pieces' tokens are the text's.
+Where the vocabulary's rank table is known, plain texts take that (``Ids``)
+and all others the library; the numbers are the library's either way.
 
 Defined results: a null text counts as empty and has no tokens; blank texts
 are encoded like any other; special strings inside texts are handled as the
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 
 from corpusql.llm.columns import quoted
 
+#: Rank tables of public ``.json`` vocabularies.
+RANKS = {"byte_bpe_50k.json": "byte_bpe_50k.tiktoken"}
 GROUP_BYTES = 1 << 21
 PIECE_CHARS = 1 << 15
 
@@ -123,10 +127,9 @@ def token_counts(
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path = tokenizer_file(tokenizer)
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
-            n = lengths([t or "" for t in batch.column(1).to_pylist()], sizes, path)
+            n = counted([t or "" for t in batch.column(1).to_pylist()], sizes, tokenizer)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -160,8 +163,15 @@ class Ids:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def is_plain(self, text: str) -> bool:
+        return not self._odd.search(text)
+
+    def plain_length(self, text: str) -> int:
+        """Number of ids of a plain text."""
+        return sum(len(self.fast.encode_ordinary(piece)) for piece in safe_pieces(text))
+
     def encode(self, text: str) -> np.ndarray:
-        if self._odd.search(text):
+        if not self.is_plain(text):
             encode = lambda piece: self.tokenizer.encode(piece, add_special_tokens=False).ids
         else:
             encode = self.fast.encode_ordinary
@@ -172,3 +182,16 @@ class Ids:
 @lru_cache(maxsize=2)
 def ids(json_name: str, ranks_name: str) -> Ids:
     return Ids(tokenizer_file(json_name), tokenizer_file(ranks_name))
+
+
+def counted(texts: list[str], sizes: list[int], tokenizer: str) -> list[int]:
+    """Number of tokens of each text, whose bytes are ``sizes``: plain texts by the vocabulary's rank table, if it has one, others by the library."""
+    path, ranks = tokenizer_file(tokenizer), RANKS.get(tokenizer)
+    if ranks is None:
+        return lengths(texts, sizes, path)
+    own = ids(tokenizer, ranks)
+    counts = [own.plain_length(text) if own.is_plain(text) else -1 for text in texts]
+    others = [i for i, n in enumerate(counts) if n < 0]
+    for i, n in zip(others, lengths([texts[i] for i in others], [sizes[i] for i in others], path), strict=True):
+        counts[i] = n
+    return counts

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from corpusql.llm import tokens
 from corpusql.llm.packing import pack, pack_histogram, places
 from corpusql.llm.tokens import Ids, ids, safe_pieces, token_counts
 
@@ -136,3 +137,14 @@ def test_patterns_hold_the_histogram(histogram):
     assert held == Counter(histogram)
     assert len(patterns) < 2_000
     assert {k: sum(1 for _ in v) > 0 for k, v in places(patterns).items()} == {k: True for k in histogram}
+
+
+def test_plain_texts_are_counted_by_ranks_and_others_by_the_library(monkeypatch):
+    texts = ["", "a plain text, with 12 words' ends\r\n\n  and tabs\t", "δέλτα", "漢字 and words", "<|endoftext|>x", " " * 300 + "x", "y" * 3_000, "é ÿ ɏ ß 1/2", "It's I'LL 'tis <b>x</b> " * 5_000]
+    sizes, path = [len(t.encode()) for t in texts], tokens.tokenizer_file("byte_bpe_50k.json")
+    library = tokens.json_tokenizer(path)
+    asked, lengths = [], tokens.lengths
+    monkeypatch.setattr(tokens, "lengths", lambda some, *rest: asked.extend(some) or lengths(some, *rest))
+    assert tokens.counted(texts, sizes, "byte_bpe_50k.json") == [len(library.encode(t, add_special_tokens=False)) for t in texts]
+    assert asked == texts[2:7]
+    assert tokens.counted(texts, sizes, path) == tokens.counted(texts, sizes, "byte_bpe_50k.json")
