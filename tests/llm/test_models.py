@@ -102,6 +102,51 @@ def test_windows_do_not_change_scores(monkeypatch):
     assert abs(toxicity.Scorer(model).raw(long)[0] - whole) < 1e-4
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch, quick):
+    """More rows of a label than the 3,000 that were taken once."""
+    rows = [(i, f"{'awful' if i % 2 else 'fine'} w{i % 50} day{i}", "en") for i in range(9_000)]
+    docs = spark.createDataFrame(rows + rows[:100], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9_000)], "doc_id long, toxic int")
+    used, starts, advance, calibrated, start = [], [], toxicity.advance, toxicity.calibrated, toxicity.start
+    monkeypatch.setattr(toxicity, "advance", lambda model, places, weights, changes: used.append(int(weights[places == -1][0])) or advance(model, places, weights, changes))
+    monkeypatch.setattr(toxicity, "calibrated", lambda model, found: used.append(sum(r[2] + r[3] for r in found)) or calibrated(model, found))
+    monkeypatch.setattr(toxicity, "start", lambda counts: starts.append(counts) or start(counts))
+    found = toxicity.toxicity(docs, labels).collect()
+    learnt = [i for i in range(9_000) if fold(i, 5)]
+    assert len(set(used[:-1])) == 1 and used[0] + used[-1] == len(learnt) > 6_000
+    toxic = sum(i % 2 for i in learnt)
+    assert starts[0].rows == {True: toxic, False: len(learnt) - toxic} and toxic > 3_000
+    bucket = toxicity.buckets_of(["awful"])[0, 0]
+    assert starts[0].seen[bucket] == starts[0].tongues[bucket, 0] == toxic
+    assert len(found) == 9_100 and all(r.predicted == r.doc_id % 2 for r in found)
+
+
+def test_pooling_in_windows(monkeypatch):
+    rng = np.random.default_rng(1)
+    products = rng.normal(size=(len(toxicity._TAPS), 40, toxicity.FILTERS)).astype(np.float32)
+    texts = [rng.integers(0, 40, n) for n in (1, 2, 3, 14, 15, 16, 17, 100)]
+    whole = [toxicity.pooled(products, t) for t in texts]
+    monkeypatch.setattr(toxicity, "WINDOW", 16)
+    for (best, where), text in zip(whole, texts, strict=True):
+        found = toxicity.pooled(products, text)
+        assert (found[0] == best).all() and (found[1] == where).all()
+
+
+def test_moves_of_tasks_are_averaged_over_those_that_moved():
+    model = toxicity.start(toxicity.Counts({False: 9, True: 9}, np.full(toxicity.BUCKETS, 9), np.zeros((toxicity.BUCKETS, 0))))
+    one, two = toxicity._copy(model), toxicity._copy(model)
+    one.embedding[1] += 1
+    one.offset, two.offset = 3.0, 1.0
+    sums = {}
+    for task, weight in ((one, 10), (two, 30)):
+        for place, n, change in zip(*toxicity.moves(model, task, weight), strict=True):
+            old = sums.get(place, (0, 0))
+            sums[place] = (old[0] + n, old[1] + change)
+    new = toxicity.advance(model, np.array(list(sums)), np.array([n for n, _ in sums.values()]), np.array([c for _, c in sums.values()]))
+    assert np.allclose(new.embedding[1], model.embedding[1] + 1) and (new.embedding[2:] == model.embedding[2:]).all()
+    assert new.offset == pytest.approx(1.5) and np.allclose(new.taps, model.taps) and np.allclose(new.out, model.out)
+
+
 def brute_lattice(text, table):
     if not text:
         return 1.0
