@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
@@ -62,8 +61,6 @@ class Provider(ABC):
 class HashingProvider(Provider):
     """Word counts by bucket of the word's md5: similar where texts share words, without a model."""
 
-    _words = re.compile(r"\S+")
-
     def __init__(self, config: EmbeddingConfig):
         self.name, self.dimension = config.model_name, config.dimension
         self._known: dict[str, int] = {}
@@ -76,8 +73,10 @@ class HashingProvider(Provider):
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimension))
         for row, text in zip(out, texts, strict=True):
-            known = self._known
-            buckets = [n if (n := known.get(w)) is not None else self._bucket(w) for w in self._words.findall(text.lower())]
+            words = text.lower().split()
+            buckets = [*map(self._known.get, words)]
+            if None in buckets:
+                buckets = [self._bucket(w) for w in words]
             row += np.bincount(np.array(buckets, dtype=np.int64), minlength=self.dimension)
         return out
 
@@ -132,17 +131,26 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.where(lengths == 0, 1, lengths)
 
 
+def embedder(config: EmbeddingConfig) -> Callable[[list[str]], np.ndarray]:
+    """A function from texts to one row for each, in batches of the provider's size."""
+    make = provider(config)
+
+    def run(texts: list[str]) -> np.ndarray:
+        parts = [make.embed(texts[i : i + config.batch_size]) for i in range(0, len(texts), config.batch_size)]
+        vectors = np.vstack(parts) if parts else np.zeros((0, config.dimension))
+        return unit(vectors) if config.normalize else vectors
+
+    return run
+
+
 def embed(df: DataFrame, config: EmbeddingConfig = EmbeddingConfig(), text_col: str = "content", into: str = "embedding") -> DataFrame:
     """Add a vector to each row, in batches of the provider's size; null texts count as empty."""
-    make = provider(config)
+    vectors_of = embedder(config)
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            whole = texts.fillna("").tolist()
-            parts = [make.embed(whole[i : i + config.batch_size]) for i in range(0, len(whole), config.batch_size)]
-            vectors = np.vstack(parts) if parts else np.zeros((0, config.dimension))
-            yield pd.Series(list(unit(vectors) if config.normalize else vectors), dtype=object)
+            yield pd.Series(list(vectors_of(texts.fillna("").tolist())), dtype=object)
 
     return df.withColumn(into, run(F.col(text_col)))
 

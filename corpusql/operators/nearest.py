@@ -9,15 +9,16 @@ window ranks a few rows per query; results do not depend on the way.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusql.config import EmbeddingConfig
 from corpusql.errors import RetrievalError
-from corpusql.functions.vectors import DIGITS, EPSILON
+from corpusql.functions.vectors import DIGITS, EPSILON, embed, embedder
 
 BROADCAST_QUERIES = 1_024
 QUERY_BLOCK = 512
@@ -61,14 +62,15 @@ def best_of(queries: np.ndarray, items: np.ndarray, metric: str, k: int | None,
     return whose[first], which[first], score[first]
 
 
-def matches(names: pa.Array, vectors: np.ndarray, ids: pa.Array, batch: np.ndarray, metric: str, k: int | None, threshold: float | None) -> pa.Table:
-    """(query_id, item_id, score) of the best items of a block for each query of a block."""
+def matches(names: pa.Array, vectors: np.ndarray, ids: pa.Array, batch: np.ndarray, metric: str, k: int | None, threshold: float | None, rest: dict[str, pa.Array] | None = None) -> pa.Table:
+    """(query_id, item_id, score) of the best items of a block for each query of a block, and these items' part of the rest."""
     plain = np.array(ids.to_pylist(), dtype=object)
     order = np.argsort(plain, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     whose, which, score = best_of(vectors, batch, metric, k, threshold, place)
-    return pa.table({"query_id": names.take(pa.array(whose)), "item_id": ids.take(pa.array(which)), "score": pa.array(score)})
+    at = pa.array(which)
+    return pa.table({"query_id": names.take(pa.array(whose)), "item_id": ids.take(at), "score": pa.array(score)} | {c: own.take(at) for c, own in (rest or {}).items()})
 
 
 def first_of_each(found: list[pa.Table], k: int) -> pa.Table:
@@ -89,21 +91,29 @@ def nearest(
     query_id: str = "query_id",
     item_id: str = "item_id",
     vector: str = "embedding",
+    text: str | None = None,
+    embedding: EmbeddingConfig = EmbeddingConfig(),
+    carried: Sequence[str] = (),
 ) -> DataFrame:
     """query_id, item_id, score, rank: the k best items of each query (all within the threshold, if k is None).
 
+    With ``text`` the items' vectors are made of that column by ``embedding``, where they are scored,
+    and leave no task. Columns of the items that are ``carried`` stand beside the rank, so hits need not meet their items again.
+
     Rows with null vectors take no part; vectors of one call have one length.
     Ties go to smaller item ids. A threshold is applied before the limit,
     which is the same as after it, as both follow the score.
     """
     spark = queries.sparkSession
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
-    given = items.select(F.col(item_id).alias("item_id"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
+    texts = items.select(F.col(item_id).alias("item_id"), F.col(text or vector).alias("v"), *carried)
+    vectors_of = matrix if text is None else lambda column, make=embedder(embedding): make([t or "" for t in column.to_pylist()])
+    given = texts.withColumn("v", F.col("v").cast("array<double>")).filter("v is not null") if text is None else texts
     q_type, i_type = asked.schema["query_id"].dataType, given.schema["item_id"].dataType
     schema = f"query_id {q_type.simpleString()}, item_id {i_type.simpleString()}, score double"
 
-    def rows(names: pa.Array, vectors: np.ndarray, batch_ids: pa.Array, batch: np.ndarray) -> pa.Table:
-        return matches(names, vectors, batch_ids, batch, metric, k, threshold)
+    def rows(names: pa.Array, vectors: np.ndarray, batch_ids: pa.Array, batch: np.ndarray, rest: dict[str, pa.Array] | None = None) -> pa.Table:
+        return matches(names, vectors, batch_ids, batch, metric, k, threshold, rest)
 
     if (held := asked.limit(BROADCAST_QUERIES + 1).toArrow()).num_rows <= BROADCAST_QUERIES:
         names, vectors = held.column("query_id").combine_chunks(), matrix(held.column("v"))
@@ -115,7 +125,7 @@ def nearest(
             for batch in batches:
                 if not batch.num_rows or not len(shared.value[1]):
                     continue
-                found = rows(*shared.value, batch.column(0), matrix(batch.column(1)))
+                found = rows(*shared.value, batch.column(0), vectors_of(batch.column(1)), {c: batch.column(c) for c in carried})
                 if k is None:
                     yield from found.to_batches()
                     continue
@@ -127,12 +137,13 @@ def nearest(
             if held:
                 yield from first_of_each(best, k).to_batches()
 
-        partial = given.mapInArrow(score_batches, schema)
+        partial = given.mapInArrow(score_batches, ", ".join([schema, *(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in carried)]))
     else:
-        partial = _by_blocks(asked, given, rows, schema)
+        partial = _by_blocks(asked, (given if text is None else embed(given, embedding, "v", "v")).select("item_id", "v"), rows, schema)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
     ranked = partial.withColumn("rank", F.row_number().over(order))
-    return ranked if k is None else ranked.filter(F.col("rank") <= k)
+    ranked = ranked if k is None else ranked.filter(F.col("rank") <= k)
+    return ranked.join(given.select("item_id", *carried), "item_id") if carried and held.num_rows > BROADCAST_QUERIES else ranked
 
 
 def pairwise(items: DataFrame, metric: str = "cosine", threshold: float | None = None, k: int | None = None, item_id: str = "item_id", vector: str = "embedding") -> DataFrame:

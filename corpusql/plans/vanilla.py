@@ -24,12 +24,16 @@ STEPS = [
 ]
 
 
-def index(docs: DataFrame, config: RetrievalConfig, id_col: str = "doc_id", text_col: str = "text", clean: bool = True) -> DataFrame:
-    """Chunks with vectors, of documents that are cleaned first unless told otherwise."""
+def cut(docs: DataFrame, config: RetrievalConfig, id_col: str = "doc_id", text_col: str = "text", clean: bool = True) -> DataFrame:
+    """Chunks of documents that are cleaned first unless told otherwise."""
     text = clean_text(F.col(text_col)) if clean else F.col(text_col)
     dealt = spread(docs.select(id_col, text_col), id_col, text_col)
-    found = chunks(dealt.select(F.col(id_col).alias("doc_id"), text.alias("content")), config.chunking)
-    return embed(found, config.embedding)
+    return chunks(dealt.select(F.col(id_col).alias("doc_id"), text.alias("content")), config.chunking)
+
+
+def index(docs: DataFrame, config: RetrievalConfig, id_col: str = "doc_id", text_col: str = "text", clean: bool = True) -> DataFrame:
+    """Chunks with vectors, of documents that are cleaned first unless told otherwise."""
+    return embed(cut(docs, config, id_col, text_col, clean), config.embedding)
 
 
 def embedded_queries(queries: DataFrame, config: RetrievalConfig) -> DataFrame:
@@ -51,6 +55,13 @@ def retrieve(queries: DataFrame, indexed: DataFrame, config: RetrievalConfig, to
     )
 
 
+def search(queries: DataFrame, docs: DataFrame, config: RetrievalConfig, top_k: int | None = None) -> DataFrame:
+    """The hits of ``retrieve`` (query_id, rank, chunk_id, doc_id, score) without an index: documents are cut, embedded and scored in one pass."""
+    threshold = config.similarity_threshold if config.similarity_threshold > 0 else None
+    found = nearest(embedded_queries(queries, config), cut(docs, config), top_k or config.top_k, "cosine", threshold, item_id="chunk_id", text="content", embedding=config.embedding, carried=["doc_id"])
+    return found.select("query_id", "rank", F.col("item_id").alias("chunk_id"), "doc_id", "score")
+
+
 def confidence(hits: DataFrame, top_k: int) -> DataFrame:
     """query_id, confidence: mean positive score, less where fewer than the configured k were found."""
     positive = F.avg(F.when(F.col("score") > 0, F.col("score")))

@@ -167,3 +167,51 @@ def test_the_tree_cuts_each_text_once(spark):
     for name in ("hierarchy_nodes", "hierarchy_stage_one"):
         plan = Q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "cut(" not in plan  # chunks are read from tables
+
+
+def test_sections_of_one_document():
+    parts = ["a b c a", "x y", "", "ÄB c", "d e f"]
+    sections = ["b c", "c a B", "äb", "q d", "d q"]
+    want = [max(range(5), key=lambda s: (len(set(p.lower().split()) & set(sections[s].lower().split())), -s)) for p in parts]
+    assert H.sections_of(parts, sections) == want == [1, 0, 0, 0, 3]
+
+
+def test_the_sections_are_those_of_the_tables(spark):
+    import corpusql.queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    tree = {(r.doc_id, r.seq): r.parent_id for r in Q.hierarchy_nodes(spark, sf).filter("level = 2").collect()}
+    assert tree == {(r.doc_id, r.chunk_index): f"{r.doc_id}_sec_{r.section_index}" for r in Q.section_assign(spark, sf).collect()}
+
+
+def test_two_stages_write_only_the_documents_found(spark, monkeypatch):
+    """The tree of all documents, with its vectors, was written for every search."""
+    import corpusql.queries as Q
+
+    sf, tables = "/root/testdata/sf0.01", []
+
+    def kept(df, write=H.written):
+        tables.append(write(df))
+        return tables[-1]
+
+    for module in (H, Q):
+        monkeypatch.setattr(module, "written", kept)
+    docs, asked = Q._table(spark, sf, "documents"), Q._questions(spark, sf)
+    found = sorted(map(tuple, Q.hierarchy_retrieve(spark, sf).collect()))
+    near = Q.hierarchy_stage_one(spark, sf)
+    ids = {r.doc_id for t in tables for r in t.select("doc_id").collect()}
+    assert ids == {r.doc_id for r in near.collect()} and len(ids) < docs.count()
+    whole = H.index(docs, Q.FIXED).cache()
+    assert found == sorted(map(tuple, H.retrieve(asked, whole, Q.FIXED, 5).drop("content").collect()))
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, H.stage_one(asked, whole, Q.FIXED, 5).select(near.columns).collect()))
+
+
+def test_a_search_in_one_pass_is_that_of_an_index(spark, monkeypatch):
+    import corpusql.queries as Q
+    from corpusql.operators import nearest
+
+    docs, asked = Q._table(spark, "/root/testdata/sf0.001", "documents"), Q._questions(spark, "/root/testdata/sf0.001")
+    want = sorted(map(tuple, V.retrieve(asked, V.index(docs, Q.FIXED), Q.FIXED).drop("content").collect()))
+    assert sorted(map(tuple, V.search(asked, docs, Q.FIXED).collect())) == want
+    monkeypatch.setattr(nearest, "BROADCAST_QUERIES", 3)
+    assert sorted(map(tuple, V.search(asked, docs, Q.FIXED).collect())) == want
