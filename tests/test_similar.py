@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from corpusql.operators import similar as S
@@ -74,3 +75,54 @@ def test_sketches_differ_no_more_than_sets_and_rule_pairs_out():
             assert apart <= len(a ^ b)
     # Two sets of 200 words that share the prefix's word alone are not met.
     assert apart > 400 - 2 * -(-0.8 / 1.8 * 400 // 1)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.8, 0.95, 1.0])
+def test_similar_sets_share_a_signature_in_a_slice_they_differ_little_in(threshold):
+    rng = random.Random(5)
+    hashed = lambda words: np.array([w * 0x9E3779B97F4A7C15 % 2**64 for w in words], np.uint64)
+    met = 0
+    for n in [*range(1, 30), 100, 250, 700, 2_000]:
+        known = S.ranges(threshold, 2 * n)
+        one = rng.sample(range(10**9), n)
+        for _ in range(6):
+            other = one[rng.randrange(int(n * (1 - threshold)) + 1) :] + rng.sample(range(10**9, 2 * 10**9), rng.randrange(int(n * (1 - threshold) / threshold) + 1))
+            a, b = sorted((one, other), key=len)
+            if len(set(a) & set(b)) < threshold * len(set(a) | set(b)):
+                continue
+            at = [next(r.place for r in known if r.top >= len(x)) for x in (a, b)]
+            assert at[1] - at[0] in (0, 1)
+            (keys, bits), (others, theirs) = (S.signatures(hashed(x), known[at[1]]) for x in (a, b))
+            apart = np.bitwise_count((bits ^ theirs).view(np.uint64)).sum(axis=1)
+            assert ((keys == others).any(axis=1) & (apart <= known[at[1]].differ)).any()
+            met += 1
+    assert met > 50
+
+
+def test_large_sets_of_common_words_are_not_compared(spark, monkeypatch):
+    """Sketches of whole sets of a thousand words told nothing, so all pairs that shared a word of their prefixes were written and met as wholes."""
+    rng, tables = random.Random(6), []
+
+    def kept(df, write=S.written):
+        tables.append(write(df))
+        return tables[-1]
+
+    monkeypatch.setattr(S, "written", kept)
+    vocabulary = [f"w{i}" for i in range(4_000)]
+    texts = [(i, " ".join(rng.sample(vocabulary, 1_000))) for i in range(60)]
+    texts += [(100 + i, " ".join([*text.split()[50:], *(f"x{j}" for j in range(40))])) for i, text in texts[:5]]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert sorted((r.doc_a, r.doc_b) for r in S.similar_pairs(df).collect()) == [(i, 100 + i) for i in range(5)]
+    assert [t.count() for t in tables if "class_id_a" in t.columns] == [5]
+
+
+def test_a_common_signature_over_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(S, "PAIRS", 7)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        common = " ".join(f"c{i}" for i in range(20))
+        df = spark.createDataFrame([(i, f"{common} own{i}") for i in range(23)], "doc_id long, text string")
+        assert S.similar_pairs(df).count() == 23 * 22 // 2
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
