@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -274,3 +275,54 @@ def test_communities_send_no_table_of_nodes_to_the_driver(spark):
     assert len({r.community for r in members.collect()}) == 12
     plan = members._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") <= 2  # the ranges' counts only, a row for each; the plan is told before and after
+
+
+def dependencies(arcs, n):
+    """Shares of shortest paths by listing them."""
+    near, total = {}, [0.0] * n
+    for a, b in sorted(arcs):
+        near.setdefault(a, []).append(b)
+    for s in range(n):
+        paths, ended = [[s]], {s}
+        while paths:
+            paths = [[*p, x] for p in paths for x in near.get(p[-1], []) if x not in ended]
+            ways = {}
+            for p in paths:
+                ways.setdefault(p[-1], []).append(p)
+            for same in ways.values():
+                for p in same:
+                    for x in p[1:-1]:
+                        total[x] += 1 / len(same)
+            ended |= set(ways)
+    return total
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_walks_that_count_for_the_nodes_before_them(seed):
+    """Few arcs and many, so that nodes with one arc stand before others, in chains and in circles; alike nodes are one class."""
+    rng = random.Random(seed)
+    n = rng.choice([5, 9, 14])
+    arcs = {(rng.randrange(n), rng.randrange(n)) for _ in range(rng.choice([n, 2 * n, 3 * n]))}
+    arcs = np.array(sorted((a, b) for a, b in arcs if a != b), np.int64)
+    to = {}
+    for a, b in arcs.tolist():
+        to.setdefault(a, []).append(b)
+    kind, classes = np.arange(n), {}
+    for a, bs in to.items():
+        classes.setdefault(tuple(bs), []).append(a)
+    for members in classes.values():
+        kind[members] = members[0]
+    shares = G._Shares(arcs[:, 0], arcs[:, 1], kind, merged=True)
+    for members in classes.values():
+        shares.add(members[0], len(members))
+    assert shares.total.tolist() == pytest.approx(dependencies(arcs.tolist(), n))
+    alone = G._Shares(arcs[:, 0], arcs[:, 1], np.arange(n))
+    for a in to:
+        alone.add(a)
+    assert alone.total.tolist() == pytest.approx(shares.total.tolist()) and not alone.counted
+
+
+def test_nodes_with_one_arc_are_not_walked_from():
+    arcs = np.array([(0, 1), (1, 2), (1, 3), (2, 0), (3, 0), (4, 1), (5, 4)], np.int64)
+    shares = G._Shares(arcs[:, 0], arcs[:, 1], np.array([0, 1, 2, 2, 0, 5]), merged=True)
+    assert shares.counted == {0} and shares.before == {1: [0]}  # the class of 0 and 4; what 2 and 3 lead to has one arc itself
